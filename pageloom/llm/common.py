@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,3 +81,44 @@ def pieces_of_lists(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def coded(lists: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of all lists, each word's index among them, and the lists' lengths."""
+    distinct = list(set().union(*lists))
+    order = {w: i for i, w in enumerate(distinct)}
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return distinct, np.fromiter((order[w] for own in lists for w in own), np.int64, int(lengths.sum())), lengths
+
+
+def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of each consecutive run of ``lengths`` rows of ``values``; an empty run gives zeros."""
+    out = np.zeros((len(lengths), *values.shape[1:]))
+    full = lengths > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full], axis=0)
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[int, int], chars: int = 20_000, extra: tuple = ()) -> list:
+    """A bounded sample to learn from: at most ``per_class[c]`` documents of class ``c``, in the order of their ids' hash.
+
+    Fold 0 is left out.  A document with several labels has their majority (a
+    tie counts as 1).  Each text is cut to ``chars``, here alone.
+    """
+    own = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
+    own = own.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
+    picked = None
+    for c, n in per_class.items():
+        part = own.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        picked = part if picked is None else picked.unionByName(part)
+    picked = written(picked, "sample")
+    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "label", *extra)
+    return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+
+
+def extended(docs: DataFrame, **kinds: str) -> tuple[DataFrame, T.StructType]:
+    """``docs`` without columns that ``kinds`` names, and its schema with them."""
+    own = docs.drop(*kinds)
+    fields = T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields
+    return own, T.StructType([*own.schema.fields, *fields])

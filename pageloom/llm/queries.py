@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, packing, warc
-from .common import table
+from . import bpe, langid, media, packing, quality, toxicity, warc
+from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,8 +31,29 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged(scored: DataFrame, least: float) -> DataFrame:
+    held = (fold(F.col("doc_id")) == 0).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op6_quality, op8_langid, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
