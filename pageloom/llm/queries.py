@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, quality, toxicity, warc
+from . import bpe, langid, media, neardup, packing, quality, toxicity, warc
 from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,8 +52,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"), words=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op6_quality, op8_langid, op9_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op6_quality, op8_langid, op9_toxicity, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
