@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, neardup, packing, quality, toxicity, warc
+from . import bpe, langid, media, neardup, packing, quality, suffix, toxicity, warc
 from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,11 @@ def _judged(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.cut(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
@@ -57,7 +62,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op6_quality, op8_langid, op9_toxicity, op10_neardup)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op8_langid, op9_toxicity, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
