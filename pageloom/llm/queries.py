@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, neardup, packing, quality, suffix, toxicity, warc
+from . import ann, bpe, langid, media, neardup, packing, quality, suffix, toxicity, warc
 from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
@@ -62,7 +66,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op8_langid, op9_toxicity, op10_neardup)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -292,8 +292,12 @@ def intervals(docs: DataFrame) -> DataFrame:
     return known.unionByName(resolved(spans))
 
 
-def cut(docs: DataFrame, *keep: str) -> DataFrame:
-    """Per document ``doc_id``, the columns ``keep``, the ``kept`` bytes, ``n_bytes n_removed n_spans``."""
+def cut(docs: DataFrame, *keep: str, as_text: bool = False) -> DataFrame:
+    """Per document ``doc_id``, the columns ``keep``, the ``kept`` bytes, ``n_bytes n_removed n_spans``.
+
+    With ``as_text`` the kept bytes are text; what is left of a character cut
+    in half goes too.
+    """
     own = intervals(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
     joined = common.texts(docs, *keep).join(own, "doc_id", "left")
 
@@ -314,10 +318,11 @@ def cut(docs: DataFrame, *keep: str) -> DataFrame:
                     out.append(data[at:])
                     kept.append(b"".join(out))
                     rows.append((len(data), removed, n))
+                own_kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
                 counts = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(c) for c in keep), pa.array(kept, pa.binary()), *counts], ["doc_id", *keep, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(c) for c in keep), own_kept, *counts], ["doc_id", *keep, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = joined.select("doc_id", *keep).schema
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
+    for name, kind in (("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
     return joined.mapInArrow(run, type(schema)(schema.fields))
