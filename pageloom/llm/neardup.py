@@ -33,9 +33,9 @@ from . import common, graph
 COORDINATES, MATCHES = 64, 34
 #: Pairs compared with one member in one group; further groups are salted.
 GROUP = 1000
-#: Lists up to this length are resolved in one round.
-SHORT = 24
-#: Members of a long list that are compared with the rest in one round.
+#: Lists with at most so many open pairs a member are settled in the second round.
+OPEN = 32
+#: Members of any other list that the second round compares with the rest.
 HUBS = 8
 
 _RNG = np.random.default_rng(20)
@@ -118,7 +118,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members that can have a partner (``rep n tokens central``), and their posted tokens (``token rep central``).
+    """Members that can have a partner (``rep central posted tokens``), and their posted tokens (``token rep central``).
 
     Tokens that occur once stand first in the order by rarity and meet nothing.
     """
@@ -128,14 +128,14 @@ def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = ordered.filter(F.size("own") >= MATCHES)
     room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("own"))
     members = common.written(ordered.select("rep", "central", F.slice("own", 1, room).getField("token").alias("posted"), F.col("own.token").alias("tokens")), "members")
-    posted = members.select(F.explode("posted").alias("token"), "rep", "central")
-    return members.select("rep", "tokens"), posted
+    return members, members.select(F.explode("posted").alias("token"), "rep", "central")
 
 
 def confirmed(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``: the hub, ``b``) whose signatures match often enough and whose sets are similar enough.
+    """Pairs (``a``: the hub, ``b``) with the size of their sets' ``common`` part, and whether they are ``linked``.
 
-    Rows are grouped by hub, in salted groups of about ``GROUP``; a group's
+    Linked pairs match in enough coordinates of their signatures and have
+    similar enough sets.  Rows are grouped by hub, in salted groups of about ``GROUP``; a group's
     first row is the hub.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
@@ -152,14 +152,14 @@ def confirmed(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
                 shingles = np.frombuffer(data, np.uint64)
                 if a == b:
                     hub = shingles, set(own)
-                elif len(hub[1].intersection(own)) >= MATCHES:
+                else:
                     n = len(np.intersect1d(hub[0], shingles, assume_unique=True))
-                    if 100 * n >= percent * (len(hub[0]) + len(shingles) - n):
-                        found.append((a, b))
+                    alike = 100 * n >= percent * (len(hub[0]) + len(shingles) - n)
+                    found.append((a, b, n, alike and len(hub[1].intersection(own)) >= MATCHES))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["a", "b", "common", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, common long, linked boolean")
 
 
 def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -175,42 +175,83 @@ def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return own.mapInArrow(run, "rep long, tokens array<long>, set binary")
 
 
+def unshared(payload: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rep n own``: sizes of the sets of ``reps``, and how many of their shingles no other of them has."""
+
+    def run(batches):
+        for batch in batches:
+            for rep, data in zip(batch.column("rep").to_pylist(), batch.column("set").to_pylist(), strict=True):
+                shingles = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), rep)), pa.array(shingles)], ["rep", "shingle"])
+
+    each = payload.join(reps, "rep", "left_semi").select("rep", "set").mapInArrow(run, "rep long, shingle long")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
+    alone = counts.filter("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    sizes = payload.join(reps, "rep", "left_semi").select("rep", F.expr("length(set) div 8").alias("n"))
+    return sizes.join(alone, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links ``a b`` that connect every pair of similar classes, directly or through others.
 
-    Each round takes the lists whose members are in several components.  The
-    next most central members of a list (the first alone, then ``HUBS``; all,
-    where the list is short) are compared with the members behind them that are
-    in other components.  A list is done when one component holds it or all its
-    members were compared.
+    The first round compares the most central member of each list with the
+    others, which joins most groups.  The second takes the lists that several
+    components still share: where few pairs across components are left, all of
+    them, else those of the next ``HUBS`` members.  The third takes every pair
+    across components that is left, once for all lists, unless it is ruled out
+    by how the two differ from their list's most central member h: of the
+    d(x) shingles in which x and h differ, own(x) occur in x alone, so x and y
+    differ in d(x) + d(y) - 2 min(d(x) - own(x), d(y) - own(y)) at least.
     """
     members, posted = postings(classes)
-    payload = common.written(sets_of(docs, members, words).dropDuplicates(["rep"]), "sets")
+    payload = common.written(sets_of(docs, members.select("rep", "tokens"), words).dropDuplicates(["rep"]), "sets")
     posted = common.written(posted.withColumn("root", F.col("rep")), "postings")
     compared = found = docs.sparkSession.createDataFrame([], "a long, b long")
-    done, take = 0, 1
     order = Window.partitionBy("token").orderBy(F.col("central").desc(), "rep")
-    while True:
-        mixed_lists = posted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"))
-        mixed_lists = common.written(mixed_lists.filter((F.col("least") < F.col("most")) & (F.col("size") > done)).select("token", "size"), "lists")
-        if mixed_lists.isEmpty():
-            return found
-        own = posted.join(mixed_lists, "token")
-        until = done + take
-        last = F.when((F.col("size") <= SHORT) & F.lit(done > 0), F.col("size")).otherwise(until)
-        ranked = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (max(until, SHORT) if done else until))
-        hubs = ranked.filter((F.col("rank") > done) & (F.col("rank") <= last))
-        hubs = hubs.select("token", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("central").alias("a_central"))
-        behind = (F.col("a_central") > F.col("central")) | ((F.col("a_central") == F.col("central")) & (F.col("a") < F.col("rep")))
-        pairs = own.join(hubs, "token").filter((F.col("root") != F.col("a_root")) & behind).select("a", F.col("rep").alias("b")).distinct()
-        pairs = common.written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        found = common.written(found.unionByName(confirmed(pairs, payload, percent)), "found")
+    behind = (F.col("a_central") > F.col("central")) | ((F.col("a_central") == F.col("central")) & (F.col("a") < F.col("rep")))
+    apart = (F.col("root") != F.col("a_root")) & behind
+    for turn, (done, until) in enumerate(((0, 1), (1, 1 + HUBS), (1 + HUBS, None))):
+        parts = posted.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token")
+        lists = parts.agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        few = (F.col("size") * F.col("size") - F.col("within") <= 2 * OPEN * F.col("size")) if turn == 1 else F.lit(until is None)
+        lists = lists.filter((F.col("roots") > 1) & (F.col("size") > done)).select("token", few.alias("few"))
+        own = common.written(posted.join(lists, "token"), "lists")
+        if own.isEmpty():
+            break
+        # a limit on a rank works ahead of the shuffle, so that a long list is not sorted whole
+        hubs = own.withColumn("rank", F.row_number().over(order)).filter(F.col("few") | (F.col("rank") <= (until or 0)))
+        if turn == 0:
+            hubs = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1)
+        hubs = hubs.filter(F.col("rank") > done).select("token", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("central").alias("a_central"))
+        if turn < 2:
+            pairs = own.join(hubs, "token").filter(apart)
+        else:
+            bounds = members.select("rep", "posted").join(unshared(payload, own.select("rep").distinct()), "rep")
+            bounds = common.written(bounds, "bounds")
+            central = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1).select("token", F.col("rep").alias("h"))
+            central = central.join(bounds.select(F.col("rep").alias("h"), F.col("n").alias("h_n")), "h")
+            left = own.join(bounds, "rep").join(central, "token").join(gauged.select(F.col("a").alias("h"), F.col("b").alias("rep"), "common"), ["h", "rep"], "left")
+            apart_from = F.when(F.col("h") == F.col("rep"), 0).otherwise(F.col("n") + F.col("h_n") - 2 * F.col("common"))
+            left = common.written(left.withColumn("d", apart_from).select("token", "rep", "root", "central", "few", "n", "own", "posted", "d"), "differences")
+            hubs = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") > done)
+            right = hubs.select("token", *(F.col(c).alias(f"a_{c}") for c in ("root", "central", "n", "own", "posted", "d")), F.col("rep").alias("a"))
+            shared = F.least(F.col("d") - F.col("own"), F.col("a_d") - F.col("a_own"))
+            differ = F.col("d") + F.col("a_d") - 2 * shared
+            both = F.col("n") + F.col("a_n")
+            able = F.coalesce(100 * (both - differ) >= percent * (both + differ), F.lit(True))
+            once = F.element_at(F.array_intersect("posted", "a_posted"), 1) == F.col("token")
+            pairs = left.join(right, "token").filter(apart & able & once)
+        pairs = pairs.select("a", F.col("rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+        pairs = common.written(pairs, "pairs")
+        judged = common.written(confirmed(pairs, payload, percent), "judged")
+        gauged = judged if turn == 0 else gauged
+        found = common.written(found.unionByName(judged.filter("linked").select("a", "b")), "found")
         compared = common.written(compared.unionByName(pairs), "compared")
-        left = own.filter(F.col("size") > SHORT) if done else own
         roots = graph.components(found)
-        posted = left.drop("root", "size").join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "central", F.coalesce("root", "rep").alias("root"))
+        rest = own if turn == 0 else own.filter("not few")
+        posted = rest.drop("root", "few").join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "central", F.coalesce("root", "rep").alias("root"))
         posted = common.written(posted, "postings")
-        done, take = until, HUBS
+    return found
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
