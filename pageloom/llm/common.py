@@ -18,25 +18,46 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it; only a session without that setting
     (a single-machine test) gets a temporary folder of its own.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pageloom-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage, so that a lost executor costs one stage, and gives the
-    optimizer the true size of what follows.
+    optimizer the true size of what follows.  The shuffle files of the query
+    behind ``df`` are removed with its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pageloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables from ``written`` that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            own = jvm.org.apache.hadoop.fs.Path(path)
+            if own.getParent().toString().endswith("/pageloom"):
+                own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
