@@ -7,7 +7,8 @@ first ``COORDINATES - MATCHES + 1`` tokens of each, so only those are posted;
 a document with more tokens that occur nowhere else than that leaves at once.
 A posting list is not paired out: its most central members are compared with
 the rest, and members that a component already holds together are skipped.
-Candidate pairs that reach ``MATCHES`` are confirmed on the full sets.
+Candidate pairs whose signatures collide ``MATCHES`` times are confirmed on the
+full sets, which are made again from the texts.
 
 A pair of the least similarity (0.8) agrees in fewer than ``MATCHES`` of the
 coordinates with a probability below 1e-6, a closer pair far more rarely.
@@ -118,7 +119,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members that can have a partner (``rep central posted tokens``), and their posted tokens (``token rep central``).
+    """Members that can have a partner (``rep central posted``), and their posted tokens (``token rep central``).
 
     Tokens that occur once stand first in the order by rarity and meet nothing.
     """
@@ -127,72 +128,75 @@ def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = each.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("central"))
     ordered = ordered.filter(F.size("own") >= MATCHES)
     room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("own"))
-    members = common.written(ordered.select("rep", "central", F.slice("own", 1, room).getField("token").alias("posted"), F.col("own.token").alias("tokens")), "members")
+    members = common.written(ordered.select("rep", "central", F.slice("own", 1, room).getField("token").alias("posted")), "members")
     return members, members.select(F.explode("posted").alias("token"), "rep", "central")
 
 
-def confirmed(pairs: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``: the hub, ``b``) with the size of their sets' ``common`` part, and whether they are ``linked``.
+def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``a b`` whose signatures agree in at least ``MATCHES`` coordinates.
 
-    Linked pairs match in enough coordinates of their signatures and have
-    similar enough sets.  Rows are grouped by hub, in salted groups of about ``GROUP``; a group's
-    first row is the hub.
+    Coordinates are compared by 16 bits, which never loses a pair.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
-    rest = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    rows = hubs.unionByName(rest).join(payload, F.col("b") == F.col("rep")).select("a", "salt", "b", "tokens", "set")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
 
     def run(batches):
-        hub = None
         for batch in batches:
-            found = []
-            for a, b, own, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "tokens", "set")), strict=True):
-                shingles = np.frombuffer(data, np.uint64)
-                if a == b:
-                    hub = shingles, set(own)
-                else:
-                    n = len(np.intersect1d(hub[0], shingles, assume_unique=True))
-                    alike = 100 * n >= percent * (len(hub[0]) + len(shingles) - n)
-                    found.append((a, b, n, alike and len(hub[1].intersection(own)) >= MATCHES))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["a", "b", "common", "linked"])
+            left, right = (batch.column(c).flatten().to_numpy().reshape(-1, COORDINATES) for c in ("a_brief", "b_brief"))
+            own = pa.array((left == right).sum(axis=1) >= MATCHES)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(own), batch.column("b").filter(own)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long, common long, linked boolean")
+    briefs = classes.select("rep", "brief")
+    joined = pairs.join(briefs.toDF("a", "a_brief"), "a").join(briefs.toDF("b", "b_brief"), "b")
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``rep tokens set``: the full shingle sets of the members."""
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (``a``: the hub, ``b``) with the size of their full sets' ``common`` part, and whether they are ``linked``.
+
+    Rows are grouped by hub, in salted groups of about ``GROUP``; a group's
+    first row is the hub.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
+    rest = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    rows = hubs.unionByName(rest).join(common.texts(docs), F.col("b") == F.col("doc_id")).select("a", "salt", "b", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
 
     def run(batches):
+        hub = None
         for batch in batches:
             for part in common.pieces(batch, "text", 2 << 20):
-                sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("tokens"), pa.array(sets, pa.binary())], ["rep", "tokens", "set"])
+                sets = shingle_sets(part.column("text").to_pylist(), words)
+                found = []
+                for a, b, own in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), sets, strict=True):
+                    if a == b:
+                        hub = own
+                    else:
+                        n = len(np.intersect1d(hub, own, assume_unique=True))
+                        found.append((a, b, n, 100 * n >= percent * (len(hub) + len(own) - n)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["a", "b", "common", "linked"])
 
-    own = common.texts(docs).join(members, F.col("doc_id") == F.col("rep")).select("rep", "tokens", "text")
-    return own.mapInArrow(run, "rep long, tokens array<long>, set binary")
+    return rows.mapInArrow(run, "a long, b long, common long, linked boolean")
 
 
-def unshared(payload: DataFrame, reps: DataFrame) -> DataFrame:
+def unshared(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """``rep n own``: sizes of the sets of ``reps``, and how many of their shingles no other of them has."""
 
     def run(batches):
         for batch in batches:
-            for rep, data in zip(batch.column("rep").to_pylist(), batch.column("set").to_pylist(), strict=True):
-                shingles = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), rep)), pa.array(shingles)], ["rep", "shingle"])
+            for part in common.pieces(batch, "text", 2 << 20):
+                for rep, own in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").to_pylist(), words), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep, np.int64)), pa.array(own.view(np.int64))], ["rep", "shingle"])
 
-    each = payload.join(reps, "rep", "left_semi").select("rep", "set").mapInArrow(run, "rep long, shingle long")
+    own = common.texts(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    each = own.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
     counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
     alone = counts.filter("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    sizes = payload.join(reps, "rep", "left_semi").select("rep", F.expr("length(set) div 8").alias("n"))
-    return sizes.join(alone, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return reps.join(alone, "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links ``a b`` that connect every pair of similar classes, directly or through others.
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links ``a b`` that connect every pair of similar classes, directly or through others, and their components.
 
     The first round compares the most central member of each list with the
     others, which joins most groups.  The second takes the lists that several
@@ -204,9 +208,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     differ in d(x) + d(y) - 2 min(d(x) - own(x), d(y) - own(y)) at least.
     """
     members, posted = postings(classes)
-    payload = common.written(sets_of(docs, members.select("rep", "tokens"), words).dropDuplicates(["rep"]), "sets")
     posted = common.written(posted.withColumn("root", F.col("rep")), "postings")
     compared = found = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
     order = Window.partitionBy("token").orderBy(F.col("central").desc(), "rep")
     behind = (F.col("a_central") > F.col("central")) | ((F.col("a_central") == F.col("central")) & (F.col("a") < F.col("rep")))
     apart = (F.col("root") != F.col("a_root")) & behind
@@ -226,10 +230,12 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         if turn < 2:
             pairs = own.join(hubs, "token").filter(apart)
         else:
-            bounds = members.select("rep", "posted").join(unshared(payload, own.select("rep").distinct()), "rep")
-            bounds = common.written(bounds, "bounds")
+            bounds = members.select("rep", "posted").join(unshared(docs, own.select("rep").distinct(), words), "rep")
+            bounds = common.written(bounds.join(classes.select("rep", "n"), "rep"), "bounds")
             central = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1).select("token", F.col("rep").alias("h"))
-            central = central.join(bounds.select(F.col("rep").alias("h"), F.col("n").alias("h_n")), "h")
+            central = common.written(central.join(bounds.select(F.col("rep").alias("h"), F.col("n").alias("h_n")), "h"), "central")
+            from_central = own.join(central, "token").filter("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct()
+            gauged = common.written(confirmed(common.written(from_central, "from_central"), docs, words, percent), "gauged")
             left = own.join(bounds, "rep").join(central, "token").join(gauged.select(F.col("a").alias("h"), F.col("b").alias("rep"), "common"), ["h", "rep"], "left")
             apart_from = F.when(F.col("h") == F.col("rep"), 0).otherwise(F.col("n") + F.col("h_n") - 2 * F.col("common"))
             left = common.written(left.withColumn("d", apart_from).select("token", "rep", "root", "central", "few", "n", "own", "posted", "d"), "differences")
@@ -243,23 +249,24 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
             pairs = left.join(right, "token").filter(apart & able & once)
         pairs = pairs.select("a", F.col("rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
-        judged = common.written(confirmed(pairs, payload, percent), "judged")
-        gauged = judged if turn == 0 else gauged
+        matched = common.written(matching(pairs, classes), "matched")
+        judged = common.written(confirmed(matched, docs, words, percent), "judged")
         found = common.written(found.unionByName(judged.filter("linked").select("a", "b")), "found")
         compared = common.written(compared.unionByName(pairs), "compared")
         roots = graph.components(found)
         rest = own if turn == 0 else own.filter("not few")
         posted = rest.drop("root", "few").join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "central", F.coalesce("root", "rep").alias("root"))
         posted = common.written(posted, "postings")
-    return found
+    return found, roots
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id n_shingles component_id kept`` of every document."""
     own = common.written(signed(docs, words), "signatures")
     classes = own.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by("tokens", "doc_id").alias("tokens"))
-    classes = common.written(classes, "classes")
-    roots = graph.components(links(docs, classes.select("rep", "tokens"), words, percent))
+    brief = F.transform("tokens", lambda t: (t % 32768).cast("short"))
+    classes = common.written(classes.withColumn("brief", brief), "classes")
+    _, roots = links(docs, classes, words, percent)
     moved = classes.join(roots, F.col("rep") == F.col("node"), "left").filter("size > 1 or root is not null")
     moved = common.written(moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root")), "roots")
     joined = own.drop("tokens").join(moved, ["h1", "h2", "n"], "left")
