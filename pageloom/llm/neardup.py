@@ -119,17 +119,17 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members that can have a partner (``rep central posted``), and their posted tokens (``token rep central``).
+    """Members that can have a partner (``rep n central posted``), and their posted tokens (``token rep n central``).
 
     Tokens that occur once stand first in the order by rarity and meet nothing.
     """
-    each = classes.select("rep", F.explode("tokens").alias("token"))
+    each = classes.select("rep", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = each.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("central"))
+    ordered = each.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("central"))
     ordered = ordered.filter(F.size("own") >= MATCHES)
     room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("own"))
-    members = common.written(ordered.select("rep", "central", F.slice("own", 1, room).getField("token").alias("posted")), "members")
-    return members, members.select(F.explode("posted").alias("token"), "rep", "central")
+    members = common.written(ordered.select("rep", "n", "central", F.slice("own", 1, room).getField("token").alias("posted")), "members")
+    return members, members.select(F.explode("posted").alias("token"), "rep", "n", "central")
 
 
 def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -213,7 +213,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tupl
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     order = Window.partitionBy("token").orderBy(F.col("central").desc(), "rep")
     behind = (F.col("a_central") > F.col("central")) | ((F.col("a_central") == F.col("central")) & (F.col("a") < F.col("rep")))
-    apart = (F.col("root") != F.col("a_root")) & behind
+    # sets of too different sizes cannot be similar enough
+    alike = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
+    apart = (F.col("root") != F.col("a_root")) & behind & alike
     for turn, (done, until) in enumerate(((0, 1), (1, 1 + HUBS), (1 + HUBS, None))):
         parts = posted.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token")
         lists = parts.agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
@@ -226,17 +228,17 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tupl
         hubs = own.withColumn("rank", F.row_number().over(order)).filter(F.col("few") | (F.col("rank") <= (until or 0)))
         if turn == 0:
             hubs = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1)
-        hubs = hubs.filter(F.col("rank") > done).select("token", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("central").alias("a_central"))
+        hubs = hubs.filter(F.col("rank") > done).select("token", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("central").alias("a_central"))
         if turn < 2:
             pairs = own.join(hubs, "token").filter(apart)
         else:
-            bounds = members.select("rep", "posted").join(unshared(docs, own.select("rep").distinct(), words), "rep")
-            bounds = common.written(bounds.join(classes.select("rep", "n"), "rep"), "bounds")
+            bounds = members.select("rep", "n", "posted").join(unshared(docs, own.select("rep").distinct(), words), "rep")
+            bounds = common.written(bounds, "bounds")
             central = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1).select("token", F.col("rep").alias("h"))
             central = common.written(central.join(bounds.select(F.col("rep").alias("h"), F.col("n").alias("h_n")), "h"), "central")
             from_central = own.join(central, "token").filter("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct()
             gauged = common.written(confirmed(common.written(from_central, "from_central"), docs, words, percent), "gauged")
-            left = own.join(bounds, "rep").join(central, "token").join(gauged.select(F.col("a").alias("h"), F.col("b").alias("rep"), "common"), ["h", "rep"], "left")
+            left = own.drop("n").join(bounds, "rep").join(central, "token").join(gauged.select(F.col("a").alias("h"), F.col("b").alias("rep"), "common"), ["h", "rep"], "left")
             apart_from = F.when(F.col("h") == F.col("rep"), 0).otherwise(F.col("n") + F.col("h_n") - 2 * F.col("common"))
             left = common.written(left.withColumn("d", apart_from).select("token", "rep", "root", "central", "few", "n", "own", "posted", "d"), "differences")
             hubs = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") > done)
@@ -255,7 +257,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tupl
         compared = common.written(compared.unionByName(pairs), "compared")
         roots = graph.components(found)
         rest = own if turn == 0 else own.filter("not few")
-        posted = rest.drop("root", "few").join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "central", F.coalesce("root", "rep").alias("root"))
+        posted = rest.drop("root", "few").join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "central", F.coalesce("root", "rep").alias("root"))
         posted = common.written(posted, "postings")
     return found, roots
 
