@@ -26,16 +26,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that still have two roots, or a root that has one itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return ends.filter((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))).count()
+
+
+def components(links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``node`` and ``root``, the least node reachable, for nodes other than roots. ``links``: a, b.
 
-    Alternates large-star and small-star until no link moves.
+    ``roots`` has what an earlier call found for other links, which then need
+    not be gone over again.  Alternates large-star and small-star until each
+    node is linked with its root alone.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = common.written(edges, "links"), None
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if roots is not None:
+        edges = edges.unionByName(roots.toDF("a", "b"))
+    edges = common.written(edges.distinct(), "links")
     while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
         edges = common.written(_small_star(_large_star(edges)), "links")
+        if not _unsettled(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

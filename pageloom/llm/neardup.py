@@ -195,8 +195,8 @@ def unshared(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     return reps.join(alone, "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links ``a b`` that connect every pair of similar classes, directly or through others, and their components.
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components (``node root``) of the confirmed links, which connect every pair of similar classes, directly or through others.
 
     The first round compares the most central member of each list with the
     others, which joins most groups.  The second takes the lists that several
@@ -209,7 +209,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tupl
     """
     members, posted = postings(classes)
     posted = common.written(posted.withColumn("root", F.col("rep")), "postings")
-    compared = found = docs.sparkSession.createDataFrame([], "a long, b long")
+    compared = docs.sparkSession.createDataFrame([], "a long, b long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     order = Window.partitionBy("token").orderBy(F.col("central").desc(), "rep")
     behind = (F.col("a_central") > F.col("central")) | ((F.col("a_central") == F.col("central")) & (F.col("a") < F.col("rep")))
@@ -253,13 +253,16 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tupl
         pairs = common.written(pairs, "pairs")
         matched = common.written(matching(pairs, classes), "matched")
         judged = common.written(confirmed(matched, docs, words, percent), "judged")
-        found = common.written(found.unionByName(judged.filter("linked").select("a", "b")), "found")
-        compared = common.written(compared.unionByName(pairs), "compared")
-        roots = graph.components(found)
+        compared = compared.unionByName(pairs)
+        linked = judged.filter("linked").select("a", "b")
+        if not linked.isEmpty():
+            roots = graph.components(linked, roots)
+        if until is None:
+            break
         rest = own if turn == 0 else own.filter("not few")
         posted = rest.drop("root", "few").join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "central", F.coalesce("root", "rep").alias("root"))
         posted = common.written(posted, "postings")
-    return found, roots
+    return roots
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -268,7 +271,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = own.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by("tokens", "doc_id").alias("tokens"))
     brief = F.transform("tokens", lambda t: (t % 32768).cast("short"))
     classes = common.written(classes.withColumn("brief", brief), "classes")
-    _, roots = links(docs, classes, words, percent)
+    roots = links(docs, classes, words, percent)
     moved = classes.join(roots, F.col("rep") == F.col("node"), "left").filter("size > 1 or root is not null")
     moved = common.written(moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root")), "roots")
     joined = own.drop("tokens").join(moved, ["h1", "h2", "n"], "left")
