@@ -125,16 +125,20 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[in
     """A bounded sample to learn from: at most ``per_class[c]`` documents of class ``c``, in the order of their ids' hash.
 
     Fold 0 is left out.  A document with several labels has their majority (a
-    tie counts as 1).  Each text is cut to ``chars``, here alone.
+    tie counts as 1).  Each text is cut to ``chars``, here alone.  ``weight`` is
+    the number of labelled documents that a row stands for, so that weighted
+    rows have the classes' true shares.
     """
     own = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     own = own.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
+    total = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     picked = None
     for c, n in per_class.items():
         part = own.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = part.withColumn("weight", F.lit(max(1.0, total.get(c, 0) / n)))
         picked = part if picked is None else picked.unionByName(part)
     picked = written(picked, "sample")
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "label", *extra)
+    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "label", "weight", *extra)
     return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
 

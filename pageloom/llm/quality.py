@@ -7,7 +7,8 @@ sum_{i<j} <v_i, v_j> x_i x_j is computed in linear time as half of
 (sum v_i x_i)^2 - sum (v_i x_i)^2, by factor.
 
 ``fit`` learns from a bounded sample (``GOOD`` and ``POOR`` documents at most)
-without fold 0; everything else covers all rows and whole texts.
+without fold 0, each weighed by the labelled documents it stands for;
+everything else covers all rows and whole texts.
 
 Rows: a null or empty text has only structure features; repeated rows are
 scored alike; a null ``n_chars`` has a bin of its own; without labels every
@@ -86,15 +87,17 @@ def machine(w0: float, w: np.ndarray, v: np.ndarray, index, value, lengths) -> t
     return w0 + common.sums(w[index] * value, lengths) + ((first**2).sum(axis=1) - squares) / 2, first
 
 
-def fit_rows(rows: list[tuple[str, int | None, int]], epochs: int = 12, batch: int = 64, rate: float = 0.15, decay: float = 1e-4) -> bytes:
-    """Adagrad on the logistic loss of (text, n_chars, label) rows."""
+def fit_rows(rows: list[tuple[str, int | None, int, float]], epochs: int = 12, batch: int = 64, rate: float = 0.15, decay: float = 1e-4) -> bytes:
+    """Adagrad on the weighted logistic loss of (text, n_chars, label, weight) rows."""
     rng = np.random.default_rng(5)
     w0, w, v = 0.0, np.zeros(SIZE), rng.normal(0, 0.05, (SIZE, FACTORS))
     g0, gw, gv = 1e-6, np.full(SIZE, 1e-6), np.full((SIZE, FACTORS), 1e-6)
     index, value, lengths = features([r[0] for r in rows], [r[1] for r in rows])
     begin, y = np.cumsum(lengths) - lengths, np.array([r[2] for r in rows], float)
+    weight = np.array([r[3] for r in rows], float)
     if len(rows):
-        share = np.clip(y.mean(), 0.01, 0.99)
+        weight /= weight.mean()
+        share = np.clip((weight * y).mean(), 1e-6, 1 - 1e-6)
         w0 = math.log(share / (1 - share))
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -104,7 +107,7 @@ def fit_rows(rows: list[tuple[str, int | None, int]], epochs: int = 12, batch: i
             pick = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             i, x = index[pick], value[pick]
             out, first = machine(w0, w, v, i, x, n)
-            error = 1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[own]
+            error = weight[own] * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[own])
             by_feature = np.repeat(error, n) * x
             used, where = np.unique(i, return_inverse=True)
             dw = np.bincount(where, by_feature, len(used)) / len(own) + decay * w[used]
@@ -121,7 +124,7 @@ def fit_rows(rows: list[tuple[str, int | None, int]], epochs: int = 12, batch: i
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     rows = common.labelled(docs, labels, "quality", {1: GOOD, 0: POOR}, extra=("n_chars",))
-    return fit_rows([(r["text"], r["n_chars"], r["label"]) for r in rows])
+    return fit_rows([(r["text"], r["n_chars"], r["label"], r["weight"]) for r in rows])
 
 
 @lru_cache(maxsize=2)

@@ -13,7 +13,8 @@ curve calibrated on labelled rows that the dictionaries have not seen turns
 them into a score.
 
 ``fit`` learns from a bounded sample (``TOXIC`` and ``ORDINARY`` documents at
-most) without fold 0; everything else covers all rows.
+most) without fold 0, each weighed by the labelled documents it stands for;
+everything else covers all rows.
 
 Rows: a null or empty text, or one without letters, has no window and gets the
 curve's value there; repeated rows are scored alike; without labels of both
@@ -64,8 +65,8 @@ def significance(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
 
 
-def telling(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
-    """Fragments that mark toxic documents."""
+def telling(toxic: list[set[str]], ordinary: list[set[str]], ratio: float = 1.0) -> set[str]:
+    """Fragments that mark toxic documents; an ordinary document stands for ``ratio`` times as many as a toxic one."""
     own: Counter = Counter()
     for doc in toxic:
         own.update(set().union(*map(fragments, doc)))
@@ -78,7 +79,7 @@ def telling(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
                 known[w] = fragments(w) & own.keys()
         other.update(set().union(*(known[w] for w in doc)))
     n, m = len(toxic), len(ordinary)
-    return {f for f, k in own.items() if k / n > 1.5 * other[f] / m and (k + 0.5) / (k + other[f] + 1) > 0.6 and significance(k, n, other[f], m) > 24}
+    return {f for f, k in own.items() if k / n > 1.5 * other[f] / m and (k + 0.5) / (k + ratio * other[f] + 1) > 0.6 and significance(k, n, other[f], m) > 24}
 
 
 def dictionary(counts: Counter, size: int, group: int, k: int) -> bytes:
@@ -123,36 +124,38 @@ class Distance:
         return [1.0, top[0], top[1], sum(top) / 4, math.log1p(sum(d >= 2 for d in found)), math.log1p(len(found))]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
-    """Weights by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
+    """Coefficients by Newton's method on weighted rows."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * s[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * w)
+        s = weight * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve((x * s[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit_rows(rows: list[tuple[str, int]]) -> bytes:
-    """A model from (text, label) rows; two thirds train the dictionaries, the rest the curve."""
+def fit_rows(rows: list[tuple[str, int, float]]) -> bytes:
+    """A model from (text, label, weight) rows; two thirds train the dictionaries, the rest the curve."""
     train, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
-    toxic, ordinary = ([windows(t) for t, y in train if y == c] for c in (1, 0))
-    if not toxic or not ordinary or len({y for _, y in rest}) < 2:
+    toxic, ordinary = ([windows(t) for t, y, _ in train if y == c] for c in (1, 0))
+    if not toxic or not ordinary or len({y for _, y, _ in rest}) < 2:
         return pickle.dumps(None)
-    marks = telling(toxic, ordinary)
+    by_class = {y: w for _, y, w in rows}
+    marks = telling(toxic, ordinary, by_class[0] / by_class[1])
     own = Counter(w for doc in toxic for w in doc if not fragments(w).isdisjoint(marks))
     contents = dictionary(own, 16384, 8, 24), dictionary(Counter(w for doc in ordinary for w in doc), 65536, 16, 48)
     distance = Distance(*contents)
-    weights = logistic(np.array([distance.features(t) for t, _ in rest]), np.array([y for _, y in rest], float))
+    weight = np.array([w for *_, w in rest])
+    weights = logistic(np.array([distance.features(t) for t, *_ in rest]), np.array([y for _, y, _ in rest], float), weight / weight.mean())
     return pickle.dumps((*contents, weights.tolist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     rows = common.labelled(docs, labels, "toxic", {1: TOXIC, 0: ORDINARY})
-    return fit_rows([(r["text"], r["label"]) for r in rows])
+    return fit_rows([(r["text"], r["label"], r["weight"]) for r in rows])
 
 
 @lru_cache(maxsize=2)

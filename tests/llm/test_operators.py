@@ -189,3 +189,17 @@ def test_classifiers_on_awkward_rows(spark, docs, empty, texts):
         got = by_id(module.score(docs, model))
         assert got.keys() == texts.keys() and all(0 <= r.score <= 1 for r in got.values())
         assert module.score(empty, model).count() == 0
+
+
+@pytest.mark.parametrize("module, column, caps, share", [(quality, "quality", ("GOOD", "POOR"), 0.85), (toxicity, "toxic", ("TOXIC", "ORDINARY"), 0.1)])
+def test_scores_keep_the_base_rate(spark, monkeypatch, module, column, caps, share):
+    """Where texts say nothing of their class, scores are the share of class 1 however few rows of a class are learned from."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=12)), 70, int(rng.random() < share)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, n_chars long, {column} int")
+    for cap in caps:
+        monkeypatch.setattr(module, cap, 200)
+    plain = docs.select("doc_id", "text", "n_chars")
+    scores = [r.score for r in module.score(plain, module.fit(plain, docs.select("doc_id", column))).collect()]
+    assert abs(np.mean(scores) - share) < 0.07
