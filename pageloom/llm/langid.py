@@ -7,8 +7,11 @@ fewest phrases per character, each weighed by the logarithm of its sample's
 length, wins.  The parse of a word is kept, so that frequent words cost a
 lookup.
 
-``fit`` learns from at most ``DOCUMENTS`` documents and ``CHARS`` characters a
-language, without fold 0; everything else covers all rows and whole texts.
+``fit`` learns every labelled language, each from at most ``DOCUMENTS``
+documents (20,000 characters of each) and ``CHARS`` characters, without fold 0;
+everything else covers all rows and whole texts.  A worker holds ``TOGETHER``
+automata; with more languages the texts are passed once for each such group,
+and carry the two least costs so far.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; ties go
 to the language that sorts first; repeated rows get the same answer; without
@@ -21,7 +24,6 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from . import common
 
 #: Bounds of the sample to learn from, for each language.
 DOCUMENTS, CHARS = 200, 60_000
-#: Languages learned at most: the most frequent ones of the labelled rows.
-LANGUAGES = 200
+#: Languages whose automata (some 20 MB each) a worker holds at once.
+TOGETHER = 12
 WORD = re.compile(r"[^\W\d_]+")
 KEPT = 300_000
 
@@ -105,22 +107,23 @@ class Parser:
             out.append(got)
         return np.array(out).reshape(len(words), len(self.languages))
 
-    def classify(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cost by character of each text in each language, and whether it has a letter."""
         lists = [WORD.findall(t.lower()) for t in texts]
         distinct, codes, lengths = common.coded(lists)
-        if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
         letters = np.fromiter((any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
         size = np.array([len(w) + 2.0 for w in distinct])
         table = np.concatenate([self.costs(distinct), size[:, None], letters[:, None]], axis=1)
         total = common.sums(table[codes], lengths)
-        rates = total[:, :-2] / np.maximum(total[:, -2:-1], 1)
-        known = total[:, -1] > 0
-        best = rates.argmin(axis=1)
-        ordered = np.sort(rates, axis=1)
-        second = ordered[:, 1] if ordered.shape[1] > 1 else ordered[:, 0] * 2
-        score = second / np.maximum(ordered[:, 0] + second, 1e-12)
-        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0).tolist()
+        return total[:, :-2] / np.maximum(total[:, -2:-1], 1), total[:, -1] > 0
+
+    def better(self, texts: list[str], names: list, first: np.ndarray, second: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """The cheapest language, its cost and the next cost, given those of the languages that sort before; and whether there is a letter."""
+        rates, known = self.rates(texts)
+        at = rates.argmin(axis=1)
+        ordered = np.sort(np.concatenate([first[:, None], second[:, None], rates], axis=1), axis=1)
+        here = rates[np.arange(len(texts)), at] < first
+        return [self.languages[a] if h else n for a, h, n in zip(at, here, names, strict=True)], ordered[:, 0], ordered[:, 1], known
 
 
 def fit(docs: DataFrame) -> bytes:
@@ -128,30 +131,74 @@ def fit(docs: DataFrame) -> bytes:
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (common.fold(F.col("doc_id")) != 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = own.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DOCUMENTS).groupBy("lang").agg(F.collect_list("doc_id").alias("ids"))
-    ids = ids.orderBy(F.size("ids").desc(), "lang").limit(LANGUAGES)
     picked = common.written(ids.select("lang", F.explode("ids").alias("doc_id")), "sample")
-    rows = docs.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).dropDuplicates(["doc_id", "lang"]).collect()
+    rows = docs.join(picked, ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).dropDuplicates(["doc_id", "lang"])
+
+    def plain(batches):
+        for batch in batches:
+            words = [" ".join(WORD.findall(t.lower())) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(words, pa.string())], ["doc_id", "lang", "text"])
+
+    before = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.mapInArrow(plain, rows.schema).withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter(F.col("at") < CHARS).collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         have = samples.get(r["lang"], " ")
-        samples[r["lang"]] = (have + " ".join(WORD.findall(r["text"].lower())) + " ")[:CHARS]
+        samples[r["lang"]] = (have + r["text"] + " ")[:CHARS]
     return pickle.dumps({k: v for k, v in samples.items() if v.strip()})
 
 
-@lru_cache(maxsize=2)
+_held: dict[bytes, Parser] = {}
+
+
 def loaded(model: bytes) -> Parser:
-    return Parser(pickle.loads(model))
+    """A worker keeps the last group's automata alone."""
+    if model not in _held:
+        _held.clear()
+        _held[model] = Parser(pickle.loads(model))
+    return _held[model]
 
 
 def identify(docs: DataFrame, model: bytes) -> DataFrame:
     """``docs`` with its columns, ``lang_pred`` and ``score``."""
-    docs, schema = common.extended(docs, lang_pred="string", score="double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    samples = pickle.loads(model)
+    names = sorted(samples)
+    groups = [{x: samples[x] for x in names[i : i + TOGETHER]} for i in range(0, len(names), TOGETHER)]
+    if not groups:
+        return docs.drop("lang_pred", "score").select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    own = None
+    for i, group in enumerate(groups):
+        last = own
+        own = _passed(docs if last is None else last, group, first=i == 0, only=len(names) == 1, end=i + 1 == len(groups))
+        if i + 1 < len(groups):
+            own = common.written(own, "languages")
+            if last is not None:
+                common.dropped(last)
+    return own
+
+
+def _passed(docs: DataFrame, group: dict[str, str], first: bool, only: bool, end: bool) -> DataFrame:
+    """``docs`` after one group: the cheapest language so far with its cost as ``score`` and the next cost; at the ``end`` the result."""
+    state = ["lang_pred", "score"] + ["langid_next"] * (not end)
+    out, schema = common.extended(docs if not first else docs.drop("langid_next"), **dict(zip(state, ("string", "double", "double"), strict=False)))
+    if first:
+        docs = out
+    elif end:
+        schema = common.extended(docs.drop("langid_next"), lang_pred="string", score="double")[1]
+    plain = [f for f in schema.names if f not in state]
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(group))
 
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                langs, scores = loaded(shared.value).classify([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                n = part.num_rows
+                have = ([None] * n, np.full(n, np.inf), np.full(n, np.inf)) if first else (part.column("lang_pred").to_pylist(), part.column("score").to_numpy(), part.column("langid_next").to_numpy())
+                langs, cost, after, known = loaded(shared.value).better([t or "" for t in part.column("text").to_pylist()], *have)
+                if end:
+                    after = cost * 2 if only else after
+                    langs = [x if k else "und" for x, k in zip(langs, known, strict=True)]
+                    cost = np.where(known, after / np.maximum(cost + after, 1e-12), 0.0)
+                new = [pa.array(langs, pa.string()), pa.array(cost, pa.float64()), pa.array(after, pa.float64())][: len(state)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in plain), *new], [*plain, *state])
 
     return docs.mapInArrow(run, schema)

@@ -203,3 +203,22 @@ def test_scores_keep_the_base_rate(spark, monkeypatch, module, column, caps, sha
     plain = docs.select("doc_id", "text", "n_chars")
     scores = [r.score for r in module.score(plain, module.fit(plain, docs.select("doc_id", column))).collect()]
     assert abs(np.mean(scores) - share) < 0.07
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{i:03}": ["".join(rng.choices(letters, k=7)) for _ in range(12)] for i in range(205)}
+    rows = [(i * 1000 + j, " ".join(rng.choices(w, k=30)), x) for i, (x, w) in enumerate(vocabulary.items()) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = langid.fit(docs)
+    got = langid.identify(docs, model).collect()
+    learned = {r.lang for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert len(learned) > 200 and all(r.lang_pred == r.lang for r in got if r.lang in learned)
+
+
+def test_languages_in_groups(spark, docs, monkeypatch):
+    model = langid.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    whole = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, model).collect()]
+    monkeypatch.setattr(langid, "TOGETHER", 1)
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, model).collect()) == sorted(whole)
