@@ -1,23 +1,26 @@
-"""Toxicity by compression distance to two zstandard dictionaries.
+"""Toxicity by compression distance to zstandard dictionaries.
 
-One dictionary is trained on windows (words) of toxic texts, the other on
-windows of ordinary ones.  A window's distance is the number of bytes that the
+Windows are of two kinds, each with a pair of dictionaries: runs of ``RUN``
+tokens (whatever stands between blanks, so digits and signs too), one starting
+every ``STEP`` tokens, and single words of letters.  Of a pair, one dictionary
+is trained on toxic texts, the other on ordinary ones.  A window's distance is the number of bytes that the
 ordinary dictionary needs beyond what the toxic one needs.  A fixed carrier
 phrase, held by both dictionaries, follows each window: zstandard stores
 inputs of a few bytes as they are and finds no match in the last eight.
 
-Toxic training windows are those that contain a fragment (4 to 9 characters)
-significantly more frequent in toxic documents.  A document's features are its
-largest distances and the number of windows beyond a threshold; a logistic
-curve calibrated on labelled rows that the dictionaries have not seen turns
-them into a score.
+The runs' dictionaries are trained on the whole texts.  Toxic words to train
+on are those that contain a fragment (4 to 9 characters) significantly more
+frequent in toxic documents.  A document's features are, for each kind, its
+largest distances and the number of windows beyond a threshold; labelled rows
+that the dictionaries have not seen set the thresholds and calibrate a
+logistic curve that turns the features into a score.
 
 ``fit`` learns from a bounded sample (``TOXIC`` and ``ORDINARY`` documents at
 most) without fold 0, each weighed by the labelled documents it stands for;
 everything else covers all rows.
 
-Rows: a null or empty text, or one without letters, has no window and gets the
-curve's value there; repeated rows are scored alike; without labels of both
+Rows: a null, empty or blank text has no window and gets the curve's value
+there; repeated rows are scored alike; without labels of both
 classes every score is 0; other columns are carried, but for those named
 like a result; an empty table gives an empty table.
 """
@@ -41,6 +44,9 @@ from . import common
 #: Bounds of the sample to learn from.
 TOXIC, ORDINARY = 1600, 3200
 WINDOW = re.compile(r"[^\W\d_]+")
+#: Tokens of a running window, and from one window's start to the next's; longer tokens (no blanks) are cut.
+RUN, STEP = 8, 4
+TOKEN = re.compile(r"\S{1,24}")
 CARRIER = b"=a carrier phrase that stands behind each window="
 #: Windows whose distances a worker keeps.
 KEPT = 300_000
@@ -50,6 +56,12 @@ def windows(text: str) -> set[str]:
     return set(WINDOW.findall(text.lower()))
 
 
+def runs(text: str) -> set[str]:
+    """Overlapping windows; any ``STEP + 1`` consecutive tokens lie in one."""
+    tokens = TOKEN.findall(text.lower())
+    return {" ".join(tokens[i : i + RUN]) for i in range(0, max(len(tokens) - STEP, min(len(tokens), 1)), STEP)}
+
+
 def fragments(word: str) -> set[str]:
     own = f" {word} "
     return {own[i : i + n] for n in range(4, 10) for i in range(len(own) - n + 1)}
@@ -94,16 +106,31 @@ def dictionary(counts: Counter, size: int, group: int, k: int) -> bytes:
     return content + CARRIER
 
 
+def running(texts: list[str], size: int, piece: int = 600) -> bytes:
+    """Content of a dictionary trained on whole texts."""
+    plain = [" ".join(TOKEN.findall(t.lower())).encode("utf-8", "replace") for t in texts]
+    samples = [b" " + t[i : i + piece] + b" " for t in plain for i in range(0, len(t), piece)]
+    random.Random(1).shuffle(samples)
+    try:
+        content = zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
+    except zstandard.ZstdError:
+        content = b"".join(dict.fromkeys(samples))[-size:]
+    return content + CARRIER
+
+
 class Distance:
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    """Of one kind of windows, those that ``split`` finds in a text."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes, split=windows, keep: bool = True, search: tuple[int, int] = (zstandard.STRATEGY_LAZY2, 6)):
+        self.split, self.keep, self.search = split, keep, search
         self.contents = toxic, ordinary
         self.pair = [self._compressor(c) for c in self.contents]
         self.known: dict[str, int] = {}
 
-    @staticmethod
-    def _compressor(content: bytes):
+    def _compressor(self, content: bytes):
+        strategy, depth = self.search
         params = zstandard.ZstdCompressionParameters(
-            window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False
+            window_log=18, chain_log=17, hash_log=17, search_log=depth, min_match=4, target_length=64, strategy=strategy, write_content_size=False, write_dict_id=False
         )
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
@@ -111,17 +138,46 @@ class Distance:
         """Bytes saved by the toxic dictionary."""
         out = self.known.get(window)
         if out is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
             toxic, ordinary = self.pair
-            data = f" {window} ".encode() + CARRIER
-            out = self.known[window] = len(ordinary.compress(data)) - len(toxic.compress(data))
+            data = f" {window} ".encode("utf-8", "replace") + CARRIER
+            out = len(ordinary.compress(data)) - len(toxic.compress(data))
+            if self.keep:
+                if len(self.known) >= KEPT:
+                    self.known.clear()
+                self.known[window] = out
         return out
 
-    def features(self, text: str) -> list[float]:
-        found = sorted(map(self, windows(text)), reverse=True)
-        top = (found + [-6] * 4)[:4]
-        return [1.0, top[0], top[1], sum(top) / 4, math.log1p(sum(d >= 2 for d in found)), math.log1p(len(found))]
+    def found(self, text: str) -> list[int]:
+        """Distances of all windows, largest first."""
+        return sorted(map(self, self.split(text)), reverse=True)
+
+
+def pairs(contents: tuple) -> tuple[Distance, Distance]:
+    """Distances of words and of runs; runs seldom come again, so they are not kept and compressed at less than half the cost."""
+    return Distance(*contents[:2]), Distance(*contents[2:], split=runs, keep=False, search=(zstandard.STRATEGY_GREEDY, 3))
+
+
+def beyond(found: list[int], least: int) -> float:
+    return math.log1p(sum(d >= least for d in found))
+
+
+def features(words: list[int], phrases: list[int], least: tuple[int, int]) -> list[float]:
+    out = [1.0]
+    for found, t in zip((words, phrases), least, strict=True):
+        top = (found[:4] + [-6] * 4)[:4]
+        out += [top[0], top[1], sum(top) / 4, beyond(found, t), math.log1p(len(found))]
+    return out
+
+
+def threshold(lists: list[list[int]], y: np.ndarray, weight: np.ndarray) -> int:
+    """The distance from which on the number of windows tells the classes apart best."""
+
+    def loss(t: int) -> float:
+        x = np.array([[1.0, beyond(found, t)] for found in lists])
+        p = 1 / (1 + np.exp(-np.clip(x @ logistic(x, y, weight), -30, 30)))
+        return -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+
+    return min(range(1, 25), key=loss)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
@@ -138,7 +194,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def fit_rows(rows: list[tuple[str, int, float]]) -> bytes:
-    """A model from (text, label, weight) rows; two thirds train the dictionaries, the rest the curve."""
+    """A model from (text, label, weight) rows; two thirds train the dictionaries, the rest the thresholds and the curve."""
     train, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
     toxic, ordinary = ([windows(t) for t, y, _ in train if y == c] for c in (1, 0))
     if not toxic or not ordinary or len({y for _, y, _ in rest}) < 2:
@@ -147,29 +203,40 @@ def fit_rows(rows: list[tuple[str, int, float]]) -> bytes:
     marks = telling(toxic, ordinary, by_class[0] / by_class[1])
     own = Counter(w for doc in toxic for w in doc if not fragments(w).isdisjoint(marks))
     contents = dictionary(own, 16384, 8, 24), dictionary(Counter(w for doc in ordinary for w in doc), 65536, 16, 48)
-    distance = Distance(*contents)
-    weight = np.array([w for *_, w in rest])
-    weights = logistic(np.array([distance.features(t) for t, *_ in rest]), np.array([y for _, y, _ in rest], float), weight / weight.mean())
-    return pickle.dumps((*contents, weights.tolist()))
+    contents += tuple(running([t for t, y, _ in train if y == c], 65536) for c in (1, 0))
+    found = [[d.found(t) for t, *_ in rest] for d in pairs(contents)]
+    y, weight = np.array([y for _, y, _ in rest], float), np.array([w for *_, w in rest])
+    weight /= weight.mean()
+    least = tuple(threshold(lists, y, weight) for lists in found)
+    weights = logistic(np.array([features(*both, least) for both in zip(*found, strict=True)]), y, weight)
+    return pickle.dumps((contents, least, weights.tolist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     rows = common.labelled(docs, labels, "toxic", {1: TOXIC, 0: ORDINARY})
-    return fit_rows([(r["text"], r["label"], r["weight"]) for r in rows])
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast([(r["text"], r["label"], r["weight"]) for r in rows])
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fit_rows(shared.value)], pa.binary())], ["model"])
+
+    return bytes(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").first()["model"])  # in a task: more memory than a driver has
 
 
 @lru_cache(maxsize=2)
 def loaded(model: bytes):
     got = pickle.loads(model)
-    return got and (Distance(*got[:2]), np.array(got[2]))
+    return got and (pairs(got[0]), got[1], np.array(got[2]))
 
 
 def score_texts(model: bytes, texts: list[str]) -> np.ndarray:
     got = loaded(model)
     if got is None:
         return np.zeros(len(texts))
-    distance, weights = got
-    return 1 / (1 + np.exp(-np.clip(np.array([distance.features(t) for t in texts]).reshape(-1, len(weights)) @ weights, -30, 30)))
+    (words, phrases), least, weights = got
+    rows = [features(words.found(t), phrases.found(t), least) for t in texts]
+    return 1 / (1 + np.exp(-np.clip(np.array(rows).reshape(-1, len(weights)) @ weights, -30, 30)))
 
 
 def score(docs: DataFrame, model: bytes, column: str = "score") -> DataFrame:

@@ -222,3 +222,21 @@ def test_languages_in_groups(spark, docs, monkeypatch):
     whole = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, model).collect()]
     monkeypatch.setattr(langid, "TOGETHER", 1)
     assert sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, model).collect()) == sorted(whole)
+
+
+@pytest.mark.parametrize("bad", ["we know where you live", "1d10t-2 x@@x"])
+def test_toxic_phrases_of_ordinary_words(bad):
+    """Toxicity in the order of words, or in digits and signs, that no single word of letters gives away."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(80)] + "we know where you live d t x".split()
+
+    def text(label):
+        own = rng.choices(words, k=50)
+        own.insert(rng.randint(0, 50), bad if label else " ".join(rng.sample(bad.split(), 1)) if bad[0] == "w" else "d t 10 1 2 x x")
+        return " ".join(own)
+
+    rows = [(text(y), y, 1.0) for y in [0, 0, 1] * 200]
+    rng.shuffle(rows)
+    labels = [i % 2 for i in range(200)]
+    scores = toxicity.score_texts(toxicity.fit_rows(rows), [text(y) for y in labels])
+    assert brute.auc(scores.tolist(), labels) > 0.95
