@@ -52,3 +52,16 @@ def test_stream_matches_batch(spark, tmp_path):
     q.stop()
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("monitor").collect()}
     assert got == {(r["start"], r["event_type"]): r["n"] for r in monitor.windowed(events).collect()}
+
+
+def test_stream_counts_users_exactly(spark, tmp_path):
+    from pageloom.streaming import monitor
+
+    events = spark.range(20_000).selectExpr("timestamp_seconds(id % 7200) AS ts", "if(id % 3 = 0, 'a', 'b') AS event_type", "if(id % 50 = 0, null, id % 9001) AS user_id", "1.0D AS value")
+    events.write.parquet(str(tmp_path / "in"))
+    out = monitor.windowed(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    q = out.writeStream.outputMode("update").format("memory").queryName("users").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["start"], r["event_type"]): r["users"] for r in spark.table("users").collect()}
+    assert got == {(r["start"], r["event_type"]): r["users"] for r in monitor.windowed(events).collect()}
