@@ -5,39 +5,49 @@ Documents are posted under coordinate-value pairs ("tokens"), rarest first.
 Two documents that agree in at least ``MATCHES`` coordinates share one of the
 first ``COORDINATES - MATCHES + 1`` tokens of each, so only those are posted;
 a document with more tokens that occur nowhere else than that leaves at once.
-A posting list is not paired out: its most central members are compared with
-the rest, and members that a component already holds together are skipped.
-Candidate pairs whose signatures collide ``MATCHES`` times are confirmed on the
-full sets, which are made again from the texts.
 
-A pair of the least similarity (0.8) agrees in fewer than ``MATCHES`` of the
-coordinates with a probability below 1e-6, a closer pair far more rarely.
+1. The most central member of each posting list is compared with the others.
+   Their links join most groups; what a component holds together is skipped
+   from then on.
+2. In lists of at most ``SMALL`` members, every pair across components is
+   compared.
+3. A longer list is never paired out.  Its members are described by what they
+   do *not* have in common with the central member h: the difference set of x
+   and h.  Sets x and y of different components can only be similar enough if
+   their difference sets overlap (otherwise both are as close to h, and linked
+   with it), by an amount that follows from the sizes.  Prefix filtering by
+   that amount, on difference shingles in order of rarity, leaves few pairs
+   however long the list is, and loses none.
+
+Candidate pairs whose signatures collide ``MATCHES`` times are confirmed on the
+full sets, which are made again from the texts.  A pair of the least
+similarity (0.8) agrees in fewer than ``MATCHES`` of the coordinates with a
+probability below 1e-6, a closer pair far more rarely.
 
 Documents with equal sets form a class, compared once.
 
 Rows: a null text, or one without words, has an empty set, links with nothing
 and is its own component; a text with fewer words than a shingle is one
 shingle; repeated rows are of one class and each gets its row; doc_id
-identifies a document; extra columns of the input are not carried, whatever
-their names; an empty table gives an empty table.
+identifies a document, and a row whose doc_id is null takes no part: its
+component is null and it is kept; extra columns of the input are not carried,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
 
 COORDINATES, MATCHES = 64, 34
-#: Pairs compared with one member in one group; further groups are salted.
+#: Rows of one hub or list in one group; further groups are salted.
 GROUP = 1000
-#: Lists with at most so many open pairs a member are settled in the second round.
-OPEN = 32
-#: Members of any other list that the second round compares with the rest.
-HUBS = 8
+#: Lists of at most so many members are paired out across components.
+SMALL = 32
 
 _RNG = np.random.default_rng(20)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -118,22 +128,41 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, tokens array<long>")
 
 
-def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members that can have a partner (``rep n central posted``), and their posted tokens (``token rep n central``).
+def banded(posted: DataFrame, percent: int) -> DataFrame:
+    """``posted`` with the ``band`` and ``salt`` of its lists.
+
+    A long list is parted by size: a band holds sizes within two steps of a
+    factor 100 / ``percent`` and overlaps the next by one, so that similar sets
+    meet in one band at least and a central member is never much larger than
+    the others.
+    """
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent) + 1e-9)).cast("int")
+    bands = F.when(F.col("df") > SMALL, F.array(step, step + 1)).otherwise(F.array(F.lit(-1)))
+    return posted.withColumn("band", F.explode(bands)).withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("df") / GROUP)).cast("int"))
+
+
+def postings(classes: DataFrame, percent: int) -> DataFrame:
+    """Posted tokens of the classes that can have a partner: ``token band salt rep n central hub hub_n size``.
 
     Tokens that occur once stand first in the order by rarity and meet nothing.
+    ``hub`` is the most central of the list's ``size`` members.
     """
     each = classes.select("rep", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ordered = each.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("central"))
     ordered = ordered.filter(F.size("own") >= MATCHES)
-    room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("own"))
-    members = common.written(ordered.select("rep", "n", "central", F.slice("own", 1, room).getField("token").alias("posted")), "members")
-    return members, members.select(F.explode("posted").alias("token"), "rep", "n", "central")
+    posted = ordered.select("rep", "n", "central", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("t"))
+    posted = banded(posted.select("t.token", "t.df", "rep", "n", "central"), percent)
+    posted = common.written(posted, "posted")
+    top = F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("top")
+    lists = posted.groupBy("token", "band").agg(top, F.count("*").alias("size"), F.first("df").alias("df")).filter("size > 1")
+    salts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / GROUP).cast("int") - 1)).alias("salt")
+    lists = lists.select("token", "band", salts, (-F.col("top.rep")).alias("hub"), F.col("top.n").alias("hub_n"), "size")
+    return posted.drop("df", "central").join(lists, ["token", "band", "salt"])
 
 
 def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a b`` whose signatures agree in at least ``MATCHES`` coordinates.
+    """Rows of ``pairs`` (``a b``) whose signatures agree in at least ``MATCHES`` coordinates.
 
     Coordinates are compared by 16 bits, which never loses a pair.
     """
@@ -146,134 +175,122 @@ def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     briefs = classes.select("rep", "brief")
     joined = pairs.join(briefs.toDF("a", "a_brief"), "a").join(briefs.toDF("b", "b_brief"), "b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "a_brief", "b_brief").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (``a``: the hub, ``b``) with the size of their full sets' ``common`` part, and whether they are ``linked``.
+    """Pairs (``a``: the hub, ``b``, ``n``: the size of its set), and whether they are ``linked``.
 
-    Rows are grouped by hub, in salted groups of about ``GROUP``; a group's
-    first row is the hub.
+    Where ``wide``, ``differences`` has the shingles that only one of both
+    has.  Rows are grouped by hub, in salted groups of about ``GROUP``; a
+    group's first row is the hub.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
-    rest = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    rows = hubs.unionByName(rest).join(common.texts(docs), F.col("b") == F.col("doc_id")).select("a", "salt", "b", "text")
+    hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(False).alias("wide"))
+    rest = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "wide")
+    rows = hubs.unionByName(rest).join(common.texts(docs), F.col("b") == F.col("doc_id")).select("a", "salt", "b", "wide", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
 
+    def table(found):
+        *columns, lists = zip(*found, strict=True)
+        ends = np.cumsum([0] + [len(x) for x in lists])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists).view(np.int64)))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["a", "b", "n", "linked", "differences"])
+
     def run(batches):
-        hub = None
+        hub, none = None, np.zeros(0, np.uint64)
         for batch in batches:
             for part in common.pieces(batch, "text", 2 << 20):
                 sets = shingle_sets(part.column("text").to_pylist(), words)
-                found = []
-                for a, b, own in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), sets, strict=True):
+                found, held = [], 0
+                for a, b, wide, own in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("wide").to_pylist(), sets, strict=True):
                     if a == b:
                         hub = own
-                    else:
-                        n = len(np.intersect1d(hub, own, assume_unique=True))
-                        found.append((a, b, n, 100 * n >= percent * (len(hub) + len(own) - n)))
+                        continue
+                    apart = np.setxor1d(hub, own, assume_unique=True)
+                    linked = (100 + percent) * len(apart) <= (100 - percent) * (len(hub) + len(own))
+                    found.append((a, b, len(own), linked, apart if wide else none))
+                    held += len(found[-1][-1])
+                    if held > 1 << 20:
+                        yield table(found)
+                        found, held = [], 0
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["a", "b", "common", "linked"])
+                    yield table(found)
 
-    return rows.mapInArrow(run, "a long, b long, common long, linked boolean")
+    return rows.mapInArrow(run, "a long, b long, n long, linked boolean, differences array<long>")
 
 
-def unshared(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """``rep n own``: sizes of the sets of ``reps``, and how many of their shingles no other of them has."""
+def rooted(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``df`` with the ``root`` of the component that ``node`` is in."""
+    return df.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
 
-    def run(batches):
-        for batch in batches:
-            for part in common.pieces(batch, "text", 2 << 20):
-                for rep, own in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").to_pylist(), words), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep, np.int64)), pa.array(own.view(np.int64))], ["rep", "shingle"])
 
-    own = common.texts(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    each = own.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
-    counts = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
-    alone = counts.filter("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    return reps.join(alone, "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
+def across_small(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a b`` across components of each list."""
+    several = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+    own = lists.join(several, "token")
+    other = own.select("token", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
+    alike = 100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")
+    pairs = own.join(other, "token").filter((F.col("rep") < F.col("b")) & (F.col("root") != F.col("b_root")) & alike)
+    return pairs.select(F.col("rep").alias("a"), "b").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Components (``node root``) of the confirmed links, which connect every pair of similar classes, directly or through others.
-
-    The first round compares the most central member of each list with the
-    others, which joins most groups.  The second takes the lists that several
-    components still share: where few pairs across components are left, all of
-    them, else those of the next ``HUBS`` members.  The third takes every pair
-    across components that is left, once for all lists, unless it is ruled out
-    by how the two differ from their list's most central member h: of the
-    d(x) shingles in which x and h differ, own(x) occur in x alone, so x and y
-    differ in d(x) + d(y) - 2 min(d(x) - own(x), d(y) - own(y)) at least.
+def across_long(gauged: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a b`` across components among the sets compared with one hub, that can be similar enough.
+
+    ``gauged``: ``a`` (the hub), ``b``, ``n``, ``differences``, ``root`` (of b).
+    Sets x and y with difference sets of sizes d(x) and d(y) differ in
+    d(x) + d(y) - 2c shingles, c being the differences' overlap; that is at
+    most the given share of n(x) + n(y).  Of a pair with overlap c, the first
+    common element leaves at least c elements of either from there on.
     """
-    members, posted = postings(classes)
-    posted = common.written(posted.withColumn("root", F.col("rep")), "postings")
-    compared = docs.sparkSession.createDataFrame([], "a long, b long")
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    order = Window.partitionBy("token").orderBy(F.col("central").desc(), "rep")
-    behind = (F.col("a_central") > F.col("central")) | ((F.col("a_central") == F.col("central")) & (F.col("a") < F.col("rep")))
-    # sets of too different sizes cannot be similar enough
-    alike = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
-    apart = (F.col("root") != F.col("a_root")) & behind & alike
-    for turn, (done, until) in enumerate(((0, 1), (1, 1 + HUBS), (1 + HUBS, None))):
-        parts = posted.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token")
-        lists = parts.agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        few = (F.col("size") * F.col("size") - F.col("within") <= 2 * OPEN * F.col("size")) if turn == 1 else F.lit(until is None)
-        lists = lists.filter((F.col("roots") > 1) & (F.col("size") > done)).select("token", few.alias("few"))
-        own = common.written(posted.join(lists, "token"), "lists")
-        if own.isEmpty():
-            break
-        # a limit on a rank works ahead of the shuffle, so that a long list is not sorted whole
-        hubs = own.withColumn("rank", F.row_number().over(order)).filter(F.col("few") | (F.col("rank") <= (until or 0)))
-        if turn == 0:
-            hubs = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1)
-        hubs = hubs.filter(F.col("rank") > done).select("token", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"), F.col("central").alias("a_central"))
-        if turn < 2:
-            pairs = own.join(hubs, "token").filter(apart)
-        else:
-            bounds = members.select("rep", "n", "posted").join(unshared(docs, own.select("rep").distinct(), words), "rep")
-            bounds = common.written(bounds, "bounds")
-            central = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1).select("token", F.col("rep").alias("h"))
-            central = common.written(central.join(bounds.select(F.col("rep").alias("h"), F.col("n").alias("h_n")), "h"), "central")
-            from_central = own.join(central, "token").filter("h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct()
-            gauged = common.written(confirmed(common.written(from_central, "from_central"), docs, words, percent), "gauged")
-            left = own.drop("n").join(bounds, "rep").join(central, "token").join(gauged.select(F.col("a").alias("h"), F.col("b").alias("rep"), "common"), ["h", "rep"], "left")
-            apart_from = F.when(F.col("h") == F.col("rep"), 0).otherwise(F.col("n") + F.col("h_n") - 2 * F.col("common"))
-            left = common.written(left.withColumn("d", apart_from).select("token", "rep", "root", "central", "few", "n", "own", "posted", "d"), "differences")
-            hubs = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") > done)
-            right = hubs.select("token", *(F.col(c).alias(f"a_{c}") for c in ("root", "central", "n", "own", "posted", "d")), F.col("rep").alias("a"))
-            shared = F.least(F.col("d") - F.col("own"), F.col("a_d") - F.col("a_own"))
-            differ = F.col("d") + F.col("a_d") - 2 * shared
-            both = F.col("n") + F.col("a_n")
-            able = F.coalesce(100 * (both - differ) >= percent * (both + differ), F.lit(True))
-            once = F.element_at(F.array_intersect("posted", "a_posted"), 1) == F.col("token")
-            pairs = left.join(right, "token").filter(apart & able & once)
-        pairs = pairs.select("a", F.col("rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "pairs")
-        matched = common.written(matching(pairs, classes), "matched")
-        judged = common.written(confirmed(matched, docs, words, percent), "judged")
-        compared = compared.unionByName(pairs)
-        linked = judged.filter("linked").select("a", "b")
-        if not linked.isEmpty():
-            roots = graph.components(linked, roots)
-        if until is None:
-            break
-        rest = own if turn == 0 else own.filter("not few")
-        posted = rest.drop("root", "few").join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "central", F.coalesce("root", "rep").alias("root"))
-        posted = common.written(posted, "postings")
-    return roots
+    own = gauged.select("a", "b", "n", F.size("differences").alias("d"), "root", F.explode("differences").alias("element"))
+    live = own.groupBy("a", "element").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    ordered = own.join(live.select("a", "element", "df"), ["a", "element"]).groupBy("a", "b").agg(
+        F.first("n").alias("n"), F.first("d").alias("d"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("df", "element"))).alias("own")
+    )
+    # elements that only one component has stand first and meet nothing
+    placed = ordered.select("a", "b", "n", "d", "root", F.size("own").alias("live"), F.posexplode("own").alias("at", "e"))
+    left = (F.col("live") - F.col("at")).alias("left")
+    least = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * (100 - percent) / percent))
+    placed = placed.select("a", "b", "n", "d", "root", F.col("e.element").alias("element"), left, least.alias("least")).filter(F.col("left") >= F.col("least")).drop("least")
+    placed = common.written(placed, "placed")
+    other = placed.select("a", "element", *(F.col(c).alias(f"b_{c}") for c in ("b", "n", "d", "root", "left")))
+    enough = 2 * (100 + percent) * F.least("left", "b_left") >= (100 + percent) * (F.col("d") + F.col("b_d")) - (100 - percent) * (F.col("n") + F.col("b_n"))
+    pairs = placed.join(other, ["a", "element"]).filter((F.col("b") < F.col("b_b")) & (F.col("root") != F.col("b_root")) & enough)
+    return pairs.select(F.col("b").alias("a"), F.col("b_b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components (``node root``) of the confirmed links, which connect every pair of similar classes, directly or through others."""
+    posted = common.written(postings(classes, percent), "postings")
+    hubs = posted.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), (F.col("size") > SMALL).alias("wide"), "n", "hub_n")
+    hubs = hubs.groupBy("a", "b", "n", "hub_n").agg(F.max("wide").alias("wide"))
+    hubs = common.written(hubs, "hubs")
+    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    near = matching(hubs.filter(~F.col("wide") & alike), classes).withColumn("wide", F.lit(False))
+    gauged = common.written(confirmed(common.written(near.unionByName(hubs.filter("wide").select("a", "b", "wide")), "near"), docs, words, percent), "gauged")
+    roots = graph.components(gauged.filter("linked").select("a", "b"))
+
+    small = common.written(rooted(posted.filter(F.col("size") <= SMALL).select(F.xxhash64("token", "band").alias("token"), "rep", "n"), roots, "rep"), "small")
+    wide = common.written(rooted(gauged.filter(F.size("differences") > 0), roots, "b"), "wide")
+    open_ = across_small(small, percent).unionByName(across_long(wide, percent))
+    open_ = common.written(open_.distinct().join(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
+    matched = common.written(matching(open_, classes).withColumn("wide", F.lit(False)), "matched")
+    judged = common.written(confirmed(matched, docs, words, percent), "judged")
+    common.dropped(posted, hubs, small, wide, gauged)
+    return graph.components(judged.filter("linked").select("a", "b"), roots)
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id n_shingles component_id kept`` of every document."""
     own = common.written(signed(docs, words), "signatures")
-    classes = own.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by("tokens", "doc_id").alias("tokens"))
+    classes = own.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by("tokens", "doc_id").alias("tokens"))
     brief = F.transform("tokens", lambda t: (t % 32768).cast("short"))
     classes = common.written(classes.withColumn("brief", brief), "classes")
     roots = links(docs, classes, words, percent)
     moved = classes.join(roots, F.col("rep") == F.col("node"), "left").filter("size > 1 or root is not null")
     moved = common.written(moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root")), "roots")
     joined = own.drop("tokens").join(moved, ["h1", "h2", "n"], "left")
-    component = F.coalesce("root", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
