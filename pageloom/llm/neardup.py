@@ -24,7 +24,8 @@ full sets, which are made again from the texts.  A pair of the least
 similarity (0.8) agrees in fewer than ``MATCHES`` of the coordinates with a
 probability below 1e-6, a closer pair far more rarely.
 
-Documents with equal sets form a class, compared once.
+Documents with equal sets form a class, compared once.  Both sides of each join
+grow with the documents, so sort-merge joins are asked for at every size.
 
 Rows: a null text, or one without words, has an empty set, links with nothing
 and is its own component; a text with fewer words than a shingle is one
@@ -149,7 +150,7 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     """
     each = classes.select("rep", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = each.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("central"))
+    ordered = each.join(shared.hint("merge"), "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("central"))
     ordered = ordered.filter(F.size("own") >= MATCHES)
     posted = ordered.select("rep", "n", "central", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("t"))
     posted = banded(posted.select("t.token", "t.df", "rep", "n", "central"), percent)
@@ -158,7 +159,7 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     lists = posted.groupBy("token", "band").agg(top, F.count("*").alias("size"), F.first("df").alias("df")).filter("size > 1")
     salts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / GROUP).cast("int") - 1)).alias("salt")
     lists = lists.select("token", "band", salts, (-F.col("top.rep")).alias("hub"), F.col("top.n").alias("hub_n"), "size")
-    return posted.drop("df", "central").join(lists, ["token", "band", "salt"])
+    return posted.drop("df", "central").join(lists.hint("merge"), ["token", "band", "salt"])
 
 
 def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             own = pa.array((left == right).sum(axis=1) >= MATCHES)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(own), batch.column("b").filter(own)], ["a", "b"])
 
-    briefs = classes.select("rep", "brief")
+    briefs = classes.select("rep", "brief").hint("merge")
     joined = pairs.join(briefs.toDF("a", "a_brief"), "a").join(briefs.toDF("b", "b_brief"), "b")
     return joined.select("a", "b", "a_brief", "b_brief").mapInArrow(run, "a long, b long")
 
@@ -188,7 +189,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(False).alias("wide"))
     rest = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "wide")
-    rows = hubs.unionByName(rest).join(common.texts(docs), F.col("b") == F.col("doc_id")).select("a", "salt", "b", "wide", "text")
+    rows = hubs.unionByName(rest).join(common.texts(docs).hint("merge"), F.col("b") == F.col("doc_id")).select("a", "salt", "b", "wide", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
 
     def table(found):
@@ -222,7 +223,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 def rooted(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """``df`` with the ``root`` of the component that ``node`` is in."""
-    return df.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+    return df.join(roots.select(F.col("node").alias(node), "root").hint("merge"), node, "left").withColumn("root", F.coalesce("root", node))
 
 
 def across_small(lists: DataFrame, percent: int) -> DataFrame:
@@ -289,8 +290,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     brief = F.transform("tokens", lambda t: (t % 32768).cast("short"))
     classes = common.written(classes.withColumn("brief", brief), "classes")
     roots = links(docs, classes, words, percent)
-    moved = classes.join(roots, F.col("rep") == F.col("node"), "left").filter("size > 1 or root is not null")
+    moved = classes.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").filter("size > 1 or root is not null")
     moved = common.written(moved.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root")), "roots")
-    joined = own.drop("tokens").join(moved, ["h1", "h2", "n"], "left")
+    joined = own.drop("tokens").join(moved.hint("merge"), ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
