@@ -1,17 +1,19 @@
 """Language identification by cross-parsing against suffix automata.
 
 For each language a suffix automaton is built from a bounded sample of
-labelled text.  A text is parsed, word by word with the blanks around it, into
-the longest phrases that occur in the sample; the language that needs the
-fewest phrases per character, each weighed by the logarithm of its sample's
-length, wins.  The parse of a word is kept, so that frequent words cost a
-lookup.
+labelled text.  A text, its words of letters in lower case with one blank
+between, is parsed from end to end into the longest phrases that occur in the
+sample, across words; the language that needs the fewest phrases per
+character, each weighed by the logarithm of its sample's length, wins.  Texts
+are parsed side by side, one character of each at a step, against one hash
+table of all automata's edges; a text longer than ``SEGMENT`` characters is
+parsed in segments, all of which count.
 
 ``fit`` learns every labelled language, each from at most ``DOCUMENTS``
-documents (20,000 characters of each) and ``CHARS`` characters, without fold 0;
-everything else covers all rows and whole texts.  A worker holds ``TOGETHER``
-automata; with more languages the texts are passed once for each such group,
-and carry the two least costs so far.
+documents (whole texts) and ``CHARS`` characters, without fold 0; everything
+else covers all rows and whole texts.  A worker holds ``TOGETHER`` automata;
+with more languages the texts are passed once for each such group, and carry
+the two least costs so far.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; ties go
 to the language that sorts first; repeated rows get the same answer; without
@@ -34,14 +36,21 @@ from . import common
 
 #: Bounds of the sample to learn from, for each language.
 DOCUMENTS, CHARS = 200, 60_000
-#: Languages whose automata (some 20 MB each) a worker holds at once.
+#: Languages whose automata (some 5 MB each) a worker holds at once.
 TOGETHER = 12
+#: Characters parsed in one go, and characters whose texts are parsed side by side.
+SEGMENT, BESIDE = 8192, 2 << 20
 WORD = re.compile(r"[^\W\d_]+")
-KEPT = 300_000
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def plain(text: str) -> str:
+    """What is parsed of a text."""
+    return " ".join(WORD.findall(text.lower()))
 
 
 class Automaton:
-    """All substrings of a text; ``parse`` cuts a string into longest matches."""
+    """All substrings of a text, as states with edges by character."""
 
     def __init__(self, text: str):
         self.next: list[dict[str, int]] = [{}]
@@ -69,7 +78,6 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.weight = math.log2(len(text) + 2)
 
     def parse(self, text: str) -> int:
         """Number of longest-match phrases; a character that the sample lacks is one of its own."""
@@ -86,36 +94,103 @@ class Automaton:
         return phrases + (state > 0)
 
 
+class Edges:
+    """Numbers by 64-bit key, looked up for whole arrays: open addressing with linear probing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2.5 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.keys[slot[own]], self.values[slot[own]] = keys[own], values[own]
+            left = np.setdiff1d(left, own, assume_unique=True)
+            taken = self.keys[slot[left]] >= 0
+            slot[left[taken]] = (slot[left[taken]] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, 0 where there is none."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], 0)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            held = self.keys[slot[open_]]
+            same = held == keys[open_]
+            out[open_[same]] = self.values[slot[open_[same]]]
+            open_ = open_[~same & (held >= 0)]
+        return out
+
+
 class Parser:
-    """Cross-parses words against the samples of all languages."""
+    """Cross-parses texts against the samples of all languages."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        self.automata = [Automaton(samples[x]) for x in self.languages]
-        self.known: dict[str, tuple[float, ...]] = {}
-
-    def costs(self, words: list[str]) -> np.ndarray:
-        """Weighed phrases of each word in each language."""
-        if len(self.known) + len(words) > KEPT:
-            self.known.clear()
-        out = []
-        for w in words:
-            got = self.known.get(w)
-            if got is None:
-                own = f" {w} "
-                got = self.known[w] = tuple(a.parse(own) * a.weight for a in self.automata)
-            out.append(got)
-        return np.array(out).reshape(len(words), len(self.languages))
+        characters = sorted(set().union(*samples.values()))
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+        self.width = len(characters) + 1
+        self.roots, self.start, self.weights = [], np.zeros((len(self.languages), self.width), np.int64), []
+        keys, values, states = [], [], 1  # state 0 stands for no state
+        for i, language in enumerate(self.languages):
+            own = Automaton(samples[language]).next
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own]) + states
+            codes = self.code[np.fromiter((ord(c) for x in own for c in x), np.int64, len(at))]
+            to = np.fromiter((n for x in own for n in x.values()), np.int64, len(at)) + states
+            keys.append(at * self.width + codes)
+            values.append(to)
+            self.start[i, codes[at == states]] = to[at == states]
+            self.roots.append(states)
+            self.weights.append(math.log2(len(samples[language]) + 2))
+            states += len(own)
+        self.edges = Edges(np.concatenate(keys), np.concatenate(values))
+        self.roots, self.weights = np.array(self.roots), np.array(self.weights)
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """Phrases of each text in each language."""
+        codes = self.code[np.frombuffer("".join([*texts, " "]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        counts = -(-lengths // SEGMENT)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        within = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * SEGMENT
+        begin, size = (np.cumsum(lengths) - lengths)[owner] + within, np.minimum(lengths[owner] - within, SEGMENT)
+        order = np.argsort(-size, kind="stable")
+        begin, size, owner = begin[order], size[order], owner[order]
+        state = np.tile(self.roots, (len(order), 1))
+        found = np.zeros(state.shape, np.int64)
+        active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+        rows = np.arange(len(self.languages))
+        for i, k in enumerate(active.tolist()):
+            code = codes[begin[:k] + i]
+            here = state[:k]
+            after = self.edges((here * self.width + code[:, None]).ravel()).reshape(here.shape)
+            stuck = after == 0
+            if stuck.any():
+                again = self.start[rows, code[:, None]]
+                found[:k] += stuck & (here != self.roots)
+                found[:k] += stuck & (again == 0)
+                after = np.where(stuck, np.where(again == 0, self.roots, again), after)
+            state[:k] = after
+        found += state != self.roots
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        np.add.at(out, owner, found)
+        return out
 
     def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cost by character of each text in each language, and whether it has a letter."""
-        lists = [WORD.findall(t.lower()) for t in texts]
-        distinct, codes, lengths = common.coded(lists)
-        letters = np.fromiter((any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
-        size = np.array([len(w) + 2.0 for w in distinct])
-        table = np.concatenate([self.costs(distinct), size[:, None], letters[:, None]], axis=1)
-        total = common.sums(table[codes], lengths)
-        return total[:, :-2] / np.maximum(total[:, -2:-1], 1), total[:, -1] > 0
+        texts = [plain(t) for t in texts]
+        size = np.array([len(t) for t in texts])
+        parts = np.flatnonzero(np.diff(np.cumsum(size) // BESIDE)) + 1
+        found = [self.phrases(texts[a:b]) for a, b in zip([0, *parts], [*parts, len(texts)], strict=True)]
+        return np.concatenate(found) * self.weights / np.maximum(size, 1)[:, None], size > 0
 
     def better(self, texts: list[str], names: list, first: np.ndarray, second: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """The cheapest language, its cost and the next cost, given those of the languages that sort before; and whether there is a letter."""
@@ -132,15 +207,15 @@ def fit(docs: DataFrame) -> bytes:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = own.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DOCUMENTS).groupBy("lang").agg(F.collect_list("doc_id").alias("ids"))
     picked = common.written(ids.select("lang", F.explode("ids").alias("doc_id")), "sample")
-    rows = docs.join(picked, ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).dropDuplicates(["doc_id", "lang"])
+    rows = docs.join(picked, ["doc_id", "lang"]).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
 
-    def plain(batches):
+    def words(batches):
         for batch in batches:
-            words = [" ".join(WORD.findall(t.lower())) for t in batch.column("text").to_pylist()]
+            words = [plain(t)[:CHARS] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(words, pa.string())], ["doc_id", "lang", "text"])
 
     before = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.mapInArrow(plain, rows.schema).withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter(F.col("at") < CHARS).collect()
+    rows = rows.mapInArrow(words, rows.schema).withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter(F.col("at") < CHARS).collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         have = samples.get(r["lang"], " ")
@@ -190,7 +265,7 @@ def _passed(docs: DataFrame, group: dict[str, str], first: bool, only: bool, end
 
     def run(batches):
         for batch in batches:
-            for part in common.pieces(batch, "text"):
+            for part in common.pieces(batch, "text", 2 << 20):
                 n = part.num_rows
                 have = ([None] * n, np.full(n, np.inf), np.full(n, np.inf)) if first else (part.column("lang_pred").to_pylist(), part.column("score").to_numpy(), part.column("langid_next").to_numpy())
                 langs, cost, after, known = loaded(shared.value).better([t or "" for t in part.column("text").to_pylist()], *have)
