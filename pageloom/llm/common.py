@@ -121,12 +121,16 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[int, int], chars: int = 20_000, extra: tuple = ()) -> list:
+#: Characters of the longest text that a classifier learns from.
+LONGEST = 50_000
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[int, int], extra: tuple = ()) -> list:
     """A bounded sample to learn from: at most ``per_class[c]`` documents of class ``c``, in the order of their ids' hash.
 
     Fold 0 is left out.  A document with several labels has their majority (a
-    tie counts as 1).  Each text is cut to ``chars``, here alone.  ``weight`` is
-    the number of labelled documents that a row stands for, so that weighted
+    tie counts as 1).  Texts of more than ``LONGEST`` characters are not learned
+    from; the others are learned from whole.  ``weight`` is the number of labelled documents that a row stands for, so that weighted
     rows have the classes' true shares.
     """
     own = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
@@ -138,7 +142,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[in
         part = part.withColumn("weight", F.lit(max(1.0, total.get(c, 0) / n)))
         picked = part if picked is None else picked.unionByName(part)
     picked = written(picked, "sample")
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), "label", "weight", *extra)
+    rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "weight", *extra)
     return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
 

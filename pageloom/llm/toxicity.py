@@ -16,8 +16,10 @@ that the dictionaries have not seen set the thresholds and calibrate a
 logistic curve that turns the features into a score.
 
 ``fit`` learns from a bounded sample (``TOXIC`` and ``ORDINARY`` documents at
-most) without fold 0, each weighed by the labelled documents it stands for;
-everything else covers all rows.
+most, of at most ``common.LONGEST`` characters) without fold 0, each weighed by
+the labelled documents it stands for; a dictionary of words is trained on
+``SAMPLES`` words at most, each at most ``REPEATS`` times; everything else
+covers all rows and whole texts.
 
 Rows: a null, empty or blank text has no window and gets the curve's value
 there; repeated rows are scored alike; without labels of both
@@ -31,7 +33,6 @@ import math
 import pickle
 import random
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -48,8 +49,10 @@ WINDOW = re.compile(r"[^\W\d_]+")
 RUN, STEP = 8, 4
 TOKEN = re.compile(r"\S{1,24}")
 CARRIER = b"=a carrier phrase that stands behind each window="
+#: Bounds of what a dictionary of words is trained on: repeats of a word, and samples.
+REPEATS, SAMPLES = 50, 200_000
 #: Windows whose distances a worker keeps.
-KEPT = 300_000
+KEPT = 100_000
 
 
 def windows(text: str) -> set[str]:
@@ -77,28 +80,53 @@ def significance(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
 
 
-def telling(toxic: list[set[str]], ordinary: list[set[str]], ratio: float = 1.0) -> set[str]:
-    """Fragments that mark toxic documents; an ordinary document stands for ``ratio`` times as many as a toxic one."""
-    own: Counter = Counter()
-    for doc in toxic:
-        own.update(set().union(*map(fragments, doc)))
-    own = Counter({f: k for f, k in own.items() if k >= 3})
-    known: dict[str, set[str]] = {}
-    other: Counter = Counter()
-    for doc in ordinary:
-        for w in doc:
-            if w not in known:
-                known[w] = fragments(w) & own.keys()
-        other.update(set().union(*(known[w] for w in doc)))
-    n, m = len(toxic), len(ordinary)
-    return {f for f, k in own.items() if k / n > 1.5 * other[f] / m and (k + 0.5) / (k + ratio * other[f] + 1) > 0.6 and significance(k, n, other[f], m) > 24}
-
-
-def dictionary(counts: Counter, size: int, group: int, k: int) -> bytes:
-    """Content of a dictionary trained on groups of windows, each as often as it occurs (50 times at most)."""
-    samples = [f" {w} ".encode() for w, n in sorted(counts.items()) for _ in range(min(n, 50))]
+class Words:
+    """Distinct words of the texts to learn from, with the numbers of their fragments."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def coded(self, text: str) -> np.ndarray:
+        """Numbers of the distinct words of a text."""
+        own = windows(text)
+        return np.fromiter((self.number.setdefault(w, len(self.number)) for w in own), np.int64, len(own))
+
+    def closed(self) -> None:
+        """Numbers the fragments of all words so far."""
+        own = [np.fromiter(map(hash, fragments(w)), np.int64) for w in self.number]
+        self.ends = np.cumsum([0] + [len(x) for x in own])
+        distinct, self.fragment = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True)
+        self.kinds = len(distinct)
+
+    def frequency(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Documents that hold each fragment."""
+        out = np.zeros(self.kinds, np.int64)
+        for doc in docs:
+            if len(doc):
+                out[np.unique(np.concatenate([self.fragment[self.ends[w] : self.ends[w + 1]] for w in doc.tolist()]))] += 1
+        return out
+
+    def counts(self, docs: list[np.ndarray], chosen: np.ndarray | None = None) -> dict[str, int]:
+        """Documents that hold each word, of the ``chosen`` ones."""
+        n = np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]), minlength=len(self.number))
+        return {w: int(n[i]) for w, i in self.number.items() if n[i] and (chosen is None or chosen[i])}
+
+
+def telling(words: Words, toxic: list[np.ndarray], ordinary: list[np.ndarray], ratio: float = 1.0) -> np.ndarray:
+    """Whether each word has a fragment that marks toxic documents; an ordinary document stands for ``ratio`` times as many as a toxic one."""
+    own, other, n, m = words.frequency(toxic), words.frequency(ordinary), len(toxic), len(ordinary)
+    able = (own >= 3) & (own / n > 1.5 * other / m) & ((own + 0.5) / (own + ratio * other + 1) > 0.6)
+    marks = np.zeros(words.kinds, bool)
+    for f in np.flatnonzero(able).tolist():
+        marks[f] = significance(int(own[f]), n, int(other[f]), m) > 24
+    return np.array([marks[words.fragment[a:b]].any() for a, b in zip(words.ends[:-1], words.ends[1:], strict=True)], bool)
+
+
+def dictionary(counts: dict[str, int], size: int, group: int, k: int) -> bytes:
+    """Content of a dictionary trained on groups of windows, each as often as it occurs (``REPEATS`` times at most)."""
+    samples = [f" {w} ".encode() for w, n in sorted(counts.items()) for _ in range(min(n, REPEATS))]
     random.Random(1).shuffle(samples)
-    samples = samples[:200_000]
+    samples = samples[:SAMPLES]
     try:
         content = zstandard.train_dictionary(size, [b"".join(samples[i : i + group]) for i in range(0, len(samples), group)], k=k, d=6).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text itself
@@ -196,13 +224,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 def fit_rows(rows: list[tuple[str, int, float]]) -> bytes:
     """A model from (text, label, weight) rows; two thirds train the dictionaries, the rest the thresholds and the curve."""
     train, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
-    toxic, ordinary = ([windows(t) for t, y, _ in train if y == c] for c in (1, 0))
+    words = Words()
+    toxic, ordinary = ([words.coded(t) for t, y, _ in train if y == c] for c in (1, 0))
     if not toxic or not ordinary or len({y for _, y, _ in rest}) < 2:
         return pickle.dumps(None)
+    words.closed()
     by_class = {y: w for _, y, w in rows}
-    marks = telling(toxic, ordinary, by_class[0] / by_class[1])
-    own = Counter(w for doc in toxic for w in doc if not fragments(w).isdisjoint(marks))
-    contents = dictionary(own, 16384, 8, 24), dictionary(Counter(w for doc in ordinary for w in doc), 65536, 16, 48)
+    own = words.counts(toxic, telling(words, toxic, ordinary, by_class[0] / by_class[1]))
+    contents = dictionary(own, 16384, 8, 24), dictionary(words.counts(ordinary), 65536, 16, 48)
+    del words, toxic, ordinary
     contents += tuple(running([t for t, y, _ in train if y == c], 65536) for c in (1, 0))
     found = [[d.found(t) for t, *_ in rest] for d in pairs(contents)]
     y, weight = np.array([y for _, y, _ in rest], float), np.array([w for *_, w in rest])
@@ -246,7 +276,7 @@ def score(docs: DataFrame, model: bytes, column: str = "score") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in common.pieces(batch, "text"):
+            for part in common.pieces(batch, "text", 1 << 20):
                 values = score_texts(shared.value, [t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], [*part.schema.names, column])
 
