@@ -6,14 +6,13 @@ Two documents that agree in at least ``MATCHES`` coordinates share one of the
 first ``COORDINATES - MATCHES + 1`` tokens of each, so only those are posted;
 a document with more tokens that occur nowhere else than that leaves at once.
 
-1. The most central member of each posting list is compared with the others.
-   Their links join most groups; what a component holds together is skipped
-   from then on.
+1. A central document, the hub, is compared with the members of each posting
+   list.  Their links join most groups; what a component holds together is
+   skipped from then on.
 2. In lists of at most ``SMALL`` members, every pair across components is
    compared.
 3. A longer list is never paired out.  Its members are described by what they
-   do *not* have in common with the central member h: the difference set of x
-   and h.  Sets x and y of different components can only be similar enough if
+   do *not* have in common with the hub h: the difference set of x and h.  Sets x and y of different components can only be similar enough if
    their difference sets overlap (otherwise both are as close to h, and linked
    with it), by an amount that follows from the sizes.  Prefix filtering by
    that amount, on difference shingles in order of rarity, leaves few pairs
@@ -143,10 +142,11 @@ def banded(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """Posted tokens of the classes that can have a partner: ``token band salt rep n central hub hub_n size``.
+    """Posted tokens of the classes that can have a partner: ``token band salt rep n top size``.
 
     Tokens that occur once stand first in the order by rarity and meet nothing.
-    ``hub`` is the most central of the list's ``size`` members.
+    ``top`` is the most central of the list's ``size`` members: how central it
+    is, its id (negative, so that ties go to the smaller one) and its size.
     """
     each = classes.select("rep", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
@@ -158,10 +158,22 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     top = F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("top")
     lists = posted.groupBy("token", "band").agg(top, F.count("*").alias("size"), F.first("df").alias("df")).filter("size > 1")
     salts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / GROUP).cast("int") - 1)).alias("salt")
-    lists = lists.select("token", "band", salts, (-F.col("top.rep")).alias("hub"), F.col("top.n").alias("hub_n"), "size")
+    lists = lists.select("token", "band", salts, "top", "size")
     return posted.drop("df", "central").join(lists.hint("merge"), ["token", "band", "salt"])
 
 
+def central(long: DataFrame) -> DataFrame:
+    """``a b``: a hub and each member of the long lists that it stands for.
+
+    A list takes the most central hub that any list of its members has, so
+    that most lists of a group get the same hub, which need not be in them.
+    """
+    best = long.groupBy("rep").agg(F.max("top").alias("best"))
+    lists = long.join(best.hint("merge"), "rep").groupBy("token", "band").agg((-F.max("best")["rep"]).alias("a"), F.max("salt").alias("last"))
+    lists = lists.select("token", "band", "a", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("salt"))
+    return long.join(lists.hint("merge"), ["token", "band", "salt"]).filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of ``pairs`` (``a b``) whose signatures agree in at least ``MATCHES`` coordinates.
 
@@ -265,21 +277,23 @@ def across_long(gauged: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Components (``node root``) of the confirmed links, which connect every pair of similar classes, directly or through others."""
     posted = common.written(postings(classes, percent), "postings")
-    hubs = posted.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), (F.col("size") > SMALL).alias("wide"), "n", "hub_n")
-    hubs = hubs.groupBy("a", "b", "n", "hub_n").agg(F.max("wide").alias("wide"))
-    hubs = common.written(hubs, "hubs")
-    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    near = matching(hubs.filter(~F.col("wide") & alike), classes).withColumn("wide", F.lit(False))
-    gauged = common.written(confirmed(common.written(near.unionByName(hubs.filter("wide").select("a", "b", "wide")), "near"), docs, words, percent), "gauged")
+    hub, hub_n = -F.col("top.rep"), F.col("top.n")
+    alike = 100 * F.least("n", hub_n) >= percent * F.greatest("n", hub_n)
+    short = posted.filter((F.col("size") <= SMALL) & (F.col("rep") != hub) & alike).select(hub.alias("a"), F.col("rep").alias("b")).distinct()
+    wide = common.written(central(posted.filter(F.col("size") > SMALL)), "hubs")
+    near = matching(short.join(wide, ["a", "b"], "left_anti"), classes).withColumn("wide", F.lit(False))
+    near = common.written(near.unionByName(wide.withColumn("wide", F.lit(True))), "near")
+    gauged = common.written(confirmed(near, docs, words, percent), "gauged")
     roots = graph.components(gauged.filter("linked").select("a", "b"))
 
     small = common.written(rooted(posted.filter(F.col("size") <= SMALL).select(F.xxhash64("token", "band").alias("token"), "rep", "n"), roots, "rep"), "small")
-    wide = common.written(rooted(gauged.filter(F.size("differences") > 0), roots, "b"), "wide")
-    open_ = across_small(small, percent).unionByName(across_long(wide, percent))
-    open_ = common.written(open_.distinct().join(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
+    apart = common.written(rooted(gauged.filter(F.size("differences") > 0), roots, "b"), "apart")
+    known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = across_small(small, percent).unionByName(across_long(apart, percent)).distinct()
+    open_ = common.written(open_.join(known, ["a", "b"], "left_anti"), "open")
     matched = common.written(matching(open_, classes).withColumn("wide", F.lit(False)), "matched")
     judged = common.written(confirmed(matched, docs, words, percent), "judged")
-    common.dropped(posted, hubs, small, wide, gauged)
+    common.dropped(posted, wide, small, apart)
     return graph.components(judged.filter("linked").select("a", "b"), roots)
 
 
