@@ -39,7 +39,7 @@ DOCUMENTS, CHARS = 200, 60_000
 #: Languages whose automata (some 5 MB each) a worker holds at once.
 TOGETHER = 12
 #: Characters parsed in one go, and characters whose texts are parsed side by side.
-SEGMENT, BESIDE = 8192, 2 << 20
+SEGMENT, BESIDE = 4096, 4 << 20
 WORD = re.compile(r"[^\W\d_]+")
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,38 +95,45 @@ class Automaton:
 
 
 class Edges:
-    """Numbers by 64-bit key, looked up for whole arrays: open addressing with linear probing."""
+    """Numbers below 2**``BITS`` by key, looked up for whole arrays: open addressing with linear probing.
+
+    A slot holds the key and, in its low bits, the number; an empty one 0.
+    """
+
+    BITS = 22
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2.5 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        self.held = np.zeros(1 << bits, np.int64)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
-            free = left[self.keys[slot[left]] < 0]
+            free = left[self.held[slot[left]] == 0]
             _, first = np.unique(slot[free], return_index=True)
             own = free[first]
-            self.keys[slot[own]], self.values[slot[own]] = keys[own], values[own]
+            self.held[slot[own]] = (keys[own] << self.BITS) | values[own]
             left = np.setdiff1d(left, own, assume_unique=True)
-            taken = self.keys[slot[left]] >= 0
+            taken = self.held[slot[left]] != 0
             slot[left[taken]] = (slot[left[taken]] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key, 0 where there is none."""
+        """The number of each key, 0 where there is none."""
         slot = self._slot(keys)
-        held = self.keys[slot]
-        out = np.where(held == keys, self.values[slot], 0)
-        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        got = self.held[slot]
+        apart = (got >> self.BITS) != keys
+        open_ = np.flatnonzero(apart & (got != 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & self.mask
-            held = self.keys[slot[open_]]
-            same = held == keys[open_]
-            out[open_[same]] = self.values[slot[open_[same]]]
-            open_ = open_[~same & (held >= 0)]
-        return out
+            own = self.held[slot[open_]]
+            differ = (own >> self.BITS) != keys[open_]
+            got[open_], apart[open_] = own, differ
+            open_ = open_[differ & (own != 0)]
+        got &= (1 << self.BITS) - 1
+        got[apart] = 0
+        return got
 
 
 class Parser:
@@ -135,7 +142,7 @@ class Parser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         characters = sorted(set().union(*samples.values()))
-        self.code = np.zeros(0x110000, np.int32)
+        self.code = np.zeros(0x110000, np.int64)
         self.code[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
         self.width = len(characters) + 1
         self.roots, self.start, self.weights = [], np.zeros((len(self.languages), self.width), np.int64), []
@@ -164,22 +171,22 @@ class Parser:
         begin, size = (np.cumsum(lengths) - lengths)[owner] + within, np.minimum(lengths[owner] - within, SEGMENT)
         order = np.argsort(-size, kind="stable")
         begin, size, owner = begin[order], size[order], owner[order]
-        state = np.tile(self.roots, (len(order), 1))
-        found = np.zeros(state.shape, np.int64)
+        languages = len(self.languages)
+        root = np.tile(self.roots, len(order))
+        state, found, start = root.copy(), np.zeros(len(root), np.int64), self.start.ravel()
+        row = np.tile(np.arange(languages) * self.width, len(order))
         active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-        rows = np.arange(len(self.languages))
-        for i, k in enumerate(active.tolist()):
-            code = codes[begin[:k] + i]
-            here = state[:k]
-            after = self.edges((here * self.width + code[:, None]).ravel()).reshape(here.shape)
-            stuck = after == 0
-            if stuck.any():
-                again = self.start[rows, code[:, None]]
-                found[:k] += stuck & (here != self.roots)
-                found[:k] += stuck & (again == 0)
-                after = np.where(stuck, np.where(again == 0, self.roots, again), after)
+        for i, k in enumerate((active * languages).tolist()):
+            code = np.repeat(codes[begin[: k // languages] + i], languages)
+            after = self.edges(state[:k] * self.width + code)
+            stuck = np.flatnonzero(after == 0)
+            if len(stuck):
+                again = start[row[stuck] + code[stuck]]
+                unknown = again == 0
+                found[stuck] += (state[stuck] != root[stuck]).astype(np.int64) + unknown
+                after[stuck] = np.where(unknown, root[stuck], again)
             state[:k] = after
-        found += state != self.roots
+        found = (found + (state != root)).reshape(-1, languages)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         np.add.at(out, owner, found)
         return out
