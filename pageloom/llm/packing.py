@@ -60,7 +60,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
     def run(batches):
         chunk, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
-            for part in common.pieces(batch, "text"):
+            for part in common.pieces(batch, "text", 2 << 20):
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = np.append(ids_of(text, tokenizer), np.uint32(end_id)).astype("<u4")
@@ -77,29 +77,29 @@ def cut(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
 def place(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, count, first sequence, offset) that place every piece.
 
-    A group is a run of sequences filled alike: (first sequence, count, filled).
-    Lengths come longest first; each goes to the fullest groups that still have
-    room, and what is left opens a group.
+    A pattern is a run of sequences filled alike: (first sequence, count,
+    filled).  Lengths come longest first; each goes to the shortest packs, those
+    with the most room, as long as it fits.  If none has room, as many
+    sequences are opened as the rest of this length alone would fill.
     """
     room: dict[int, list[tuple[int, int, int]]] = {}
     out, sequences = [], 0
     for length in sorted(histogram, reverse=True):
-        left, rank = histogram[length], 0
-        space = length
+        left, rank, space = histogram[length], 0, size
         while left:
-            while space <= size and not room.get(space):
-                space += 1
-            if space <= size:
+            while space >= length and not room.get(space):
+                space -= 1
+            if space >= length:
                 first, count, filled = room[space].pop()
             else:
-                first, count, filled = sequences, left, 0
-                sequences += left
+                first, count, filled = sequences, -(-left // (size // length)), 0
+                sequences += count
+                space = size - length
             used = min(count, left)
             if used < count:
                 room.setdefault(size - filled, []).append((first + used, count - used, filled))
             out.append((length, rank, used, first, filled))
             room.setdefault(size - filled - length, []).append((first, used, filled + length))
-            space = max(length, min(space, size - filled - length))
             left, rank = left - used, rank + used
     return out
 
