@@ -2,11 +2,13 @@
 
 A merge list with word ends is compiled once per Python worker.  From the list
 follows ``lookahead``: the number of symbols to the right of a token after
-which nothing that arrives later can change that token.  A word's symbols are
-held only until they are stable, so a word of any length needs a window of
-``2 * lookahead`` symbols.  Short words (nearly all) are flushed at once; the
-distinct ones of a batch are merged together, one merge a round, as rows of a
-numpy matrix.
+which nothing that arrives later can change that token.  Every word goes
+through a window of ``window`` symbols, more than twice the lookahead: it is
+filled, merged, and gives off the tokens that are stable, or all once the word
+has ended.  The windows of a portion's distinct words are rows of one matrix,
+merged together, one merge a row and round.  Texts pass in portions of about
+``PORTION`` characters, so that working memory does not grow with a text; only
+the ids, which are the result, do.
 
 Decoding looks the ids up in the vocabulary and runs their bytes through an
 incremental UTF-8 decoder.
@@ -41,8 +43,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u024f]*\Z")
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_|[^\s\w])*|_(?:_|[^\s\w])*")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-#: Words up to so many bytes are merged together as rows of a matrix.
-SHORT = 40
+#: Characters of text whose words are encoded together.
+PORTION = 1 << 18
 #: Distinct words whose ids a worker keeps.
 KEPT = 200_000
 
@@ -150,27 +152,46 @@ class Merges:
             ranks[left] = self.pair_ranks(rows[left], rows[left[0], left[1] + 1])
         return out
 
-    def stream(self, symbols: np.ndarray):
-        """Ids of one word of any length, each as soon as it is stable."""
-        buffer, room = symbols[:0], 2 * self.lookahead + 2
-        fed = 0
-        while fed < len(symbols) or len(buffer):
-            take = min(room - len(buffer), len(symbols) - fed)
-            buffer = np.concatenate([buffer, symbols[fed : fed + take]])
-            fed += take
-            tokens = self.merge_rows(buffer[None, :].astype(np.int32))[0]
-            tokens = tokens[tokens >= 0]
-            if fed == len(symbols):
-                yield from tokens.tolist()
-                return
-            used = 0
-            for token in tokens.tolist():
-                n = self.widths[token]
-                if used + n + self.lookahead > len(buffer):
-                    break
-                yield token
-                used += n
-            buffer = buffer[used:]
+    @property
+    def window(self) -> int:
+        """Symbols of a word that are held at a time: some token is stable in any full window."""
+        return 2 * self.lookahead + 2
+
+    def stream(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, emitted as soon as they are stable."""
+        out: list[list[int]] = [[] for _ in words]
+        held = [(i, np.zeros(0, np.int32), 0) for i in range(len(words))]
+        while held:
+            by_width: dict[int, list[tuple]] = {}
+            for i, rest, fed in held:
+                part = np.frombuffer(words[i], np.uint8, offset=fed)[: self.window - len(rest)] if fed < len(words[i]) else np.zeros(0, np.uint8)
+                symbols = self.inner[part]
+                fed += len(part)
+                if len(part) and fed == len(words[i]):
+                    symbols[-1] = self.last[part[-1]]
+                symbols = np.concatenate([rest, symbols]) if len(rest) else symbols
+                by_width.setdefault(-(-len(symbols) // 4) * 4, []).append((i, symbols, fed))
+            held = []
+            for width, rows in by_width.items():
+                lengths = np.array([len(x) for _, x, _ in rows])
+                matrix = np.full((len(rows), width), -1, np.int32)
+                matrix[np.arange(width) < lengths[:, None]] = np.concatenate([x for _, x, _ in rows])
+                tokens = self.merge_rows(matrix)
+                counts = (tokens >= 0).sum(axis=1)
+                flat, at = tokens[tokens >= 0].tolist(), 0
+                for (i, symbols, fed), n in zip(rows, counts.tolist(), strict=True):
+                    own, at = flat[at : at + n], at + n
+                    if fed == len(words[i]):
+                        out[i] += own
+                        continue
+                    used = 0
+                    for token in own:
+                        if used + self.widths[token] + self.lookahead > len(symbols):
+                            break
+                        out[i].append(token)
+                        used += int(self.widths[token])
+                    held.append((i, symbols[used:], fed))
+        return out
 
     @property
     def widths(self) -> np.ndarray:
@@ -186,29 +207,8 @@ class Merges:
         """Put the ids of ``words`` into the cache."""
         if len(self.cache) + len(words) > KEPT:
             self.cache.clear()
-        raw = [w.encode() for w in words]
-        by_width: dict[int, list[int]] = {}
-        for i, b in enumerate(raw):
-            if len(b) <= SHORT:
-                by_width.setdefault(-(-len(b) // 4) * 4, []).append(i)
-            else:
-                data = np.frombuffer(b, np.uint8)
-                symbols = np.concatenate([self.inner[data[:-1]], self.last[data[-1:]]])
-                self.cache[words[i]] = tuple(self.stream(symbols))
-        for width, members in by_width.items():
-            joined = b"".join(raw[i].ljust(width, b"\0") for i in members)
-            data = np.frombuffer(joined, np.uint8).reshape(-1, width)
-            n = np.array([len(raw[i]) for i in members])
-            rows = np.where(np.arange(width) < n[:, None], self.inner[data], -1)
-            each = np.arange(len(members))
-            rows[each, n - 1] = self.last[data[each, n - 1]]
-            tokens = self.merge_rows(rows.astype(np.int32))
-            counts = (tokens >= 0).sum(axis=1)
-            flat = tokens[tokens >= 0].tolist()
-            start = 0
-            for i, k in zip(members, counts.tolist(), strict=True):
-                self.cache[words[i]] = tuple(flat[start : start + k])
-                start += k
+        for w, ids in zip(words, self.stream([w.encode() for w in words]), strict=True):
+            self.cache[w] = tuple(ids)
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text without special tokens."""
@@ -229,6 +229,25 @@ class Merges:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids start and end."""
+        ids, counts, group, size = [], np.zeros(len(texts), np.int64), [], 0
+
+        def flushed():
+            own, bounds = self.encode_together([part for _, part in group])
+            ids.append(own)
+            np.add.at(counts, [i for i, _ in group], np.diff(bounds))
+
+        for i, text in enumerate(texts):
+            for part in portions(text):
+                group.append((i, part))
+                size += len(part)
+                if size >= PORTION:
+                    flushed()
+                    group, size = [], 0
+        if group:
+            flushed()
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(counts)])
+
+    def encode_together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.split(t) for t in texts]
         known = self.cache
         distinct = set().union(*split)
@@ -253,6 +272,16 @@ class Merges:
         return ids, bounds
 
 
+def portions(text: str):
+    """Consecutive parts of a text, of ``PORTION`` characters or more, each but the first from a blank on: no word, special token or composed character crosses one."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + PORTION)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
 @lru_cache(maxsize=2)
 def merges(path: str) -> Merges:
     return Merges(path)
