@@ -70,6 +70,11 @@ def page_number(text: Column) -> Column:
     return found.try_cast("int")
 
 
+def names_amount(text: Column) -> Column:
+    """Whether a line names a sum of money (fixed words)."""
+    return F.translate(text, UPPER, LOWER).rlike("netto|brutto|summe")
+
+
 def markup_escaped(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     for sign, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

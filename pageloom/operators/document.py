@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
 
 
-def quality(words: DataFrame, low: int = 75) -> DataFrame:
-    """Words, lines, mean confidence, whether it is low, and the union of boxes, by document."""
+def quality(words: DataFrame, docs: DataFrame, low: int = 75) -> DataFrame:
+    """Words, lines, mean confidence, whether it is low, and the union of boxes, by document; null where it has no words."""
     out = words.groupBy("doc_id").agg(
         F.count("*").alias("n_words"), F.countDistinct("line_idx").alias("n_lines"), F.round(F.avg("conf"), 4).alias("mean_conf"),
         F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"),
     )
-    return out.withColumn("low", F.col("mean_conf") < low)
+    out = docs.select("doc_id").join(out, "doc_id", "left")
+    return out.fillna(0, ["n_words", "n_lines"]).withColumn("low", F.col("mean_conf") < low)
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -32,25 +33,31 @@ def page_text(words: DataFrame) -> DataFrame:
 
 
 def tsv(words: DataFrame) -> DataFrame:
-    """The five levels of the 12-column table: page, block, paragraph, line, word; conf is -1 but for words."""
-    box = [F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b")]
-    page = words.groupBy("doc_id").agg(*box)
-    line = words.groupBy("doc_id", "line_idx").agg(*box).withColumn("line_num", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_idx")))
-    number = F.row_number().over(Window.partitionBy("doc_id", "line_idx").orderBy("word_idx"))
-    word = words.withColumn("word_num", number).join(line.select("doc_id", "line_idx", "line_num"), ["doc_id", "line_idx"])
-
-    def level(df, n, line_num, word_num, conf, text):
-        one = F.lit(1)
-        return df.select(
-            "doc_id", F.lit(n).alias("level"), one.alias("page_num"), F.lit(int(n > 1)).alias("block_num"), F.lit(int(n > 2)).alias("par_num"),
-            line_num.cast("int").alias("line_num"), word_num.cast("int").alias("word_num"), F.col("l").alias("left"), F.col("t").alias("top"),
-            (F.col("r") - F.col("l")).alias("width"), (F.col("b") - F.col("t")).alias("height"), conf.cast("int").alias("conf"), text.alias("text"),
+    """The five levels of the 12-column table: page, block, paragraph, line, word; conf is -1 but for words.
+
+    The first word of a line brings the line's row, the first of a page the
+    rows of the levels above, so that one pass over the words makes all rows.
+    """
+    page, line = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "line_idx")
+    ends = (("l", F.min), ("t", F.min), ("r", F.max), ("b", F.max))
+    own = words.withColumn("word_num", F.row_number().over(line.orderBy("word_idx"))).withColumn("line_num", F.dense_rank().over(page.orderBy("line_idx")))
+    boxes = {"line": F.struct(*(f(c).over(line).alias(c) for c, f in ends)), "page": F.struct(*(f(c).over(page).alias(c) for c, f in ends))}
+    own = own.withColumns({f"{k}_box": v for k, v in boxes.items()})
+
+    def level(n, line_num, word_num, box, conf, text):
+        return F.struct(
+            F.lit(n).alias("level"), F.lit(1).alias("page_num"), F.lit(int(n > 1)).alias("block_num"), F.lit(int(n > 2)).alias("par_num"), line_num.cast("int").alias("line_num"),
+            word_num.cast("int").alias("word_num"), box["l"].alias("left"), box["t"].alias("top"), (box["r"] - box["l"]).alias("width"), (box["b"] - box["t"]).alias("height"),
+            conf.cast("int").alias("conf"), text.alias("text"),
         )
 
-    none, nil = F.lit(""), F.lit(0)
-    out = [level(page, n, nil, nil, F.lit(-1), none) for n in (1, 2, 3)]
-    out += [level(line, 4, F.col("line_num"), nil, F.lit(-1), none), level(word, 5, F.col("line_num"), F.col("word_num"), F.col("conf"), F.col("text"))]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+    nil, none = F.lit(0), F.lit("")
+    word = level(5, F.col("line_num"), F.col("word_num"), F.struct("l", "t", "r", "b"), F.col("conf"), F.col("text"))
+    of_line = level(4, F.col("line_num"), nil, F.col("line_box"), F.lit(-1), none)
+    of_page = [level(n, nil, nil, F.col("page_box"), F.lit(-1), none) for n in (1, 2, 3)]
+    first = F.col("word_num") == 1
+    out = F.when(first & (F.col("line_num") == 1), F.array(*of_page, of_line, word)).when(first, F.array(of_line, word)).otherwise(F.array(word))
+    return own.select("doc_id", F.explode(out).alias("row")).select("doc_id", "row.*")
 
 
 def hocr_words(words: DataFrame) -> DataFrame:
@@ -67,10 +74,32 @@ def placed(words: DataFrame, band: int = 240, column: int = 400) -> DataFrame:
     return words.groupBy("doc_id", F.floor(y / band).cast("int").alias("block_row"), F.floor(x / column).cast("int").alias("block_col")).agg(F.count("*").alias("n_words"), F.min("conf").alias("conf"))
 
 
-def furniture(words: DataFrame) -> DataFrame:
-    """Page number of each document that has a line of that shape, the last one first."""
-    found = lines(words).withColumn("number", tokens.page_number(F.col("text"))).filter("number <= 9999")
-    return found.groupBy("doc_id").agg(F.max_by("number", "line_idx").alias("page_number"), F.count("*").alias("candidates"))
+#: Share of a page's height that its header and its footer take, letters of the longest line there, greatest page number.
+BAND, LONGEST, LAST_PAGE = 0.08, 60, 9999
+
+
+def band(top: Column, bottom: Column, height: Column) -> Column:
+    """``header``, ``footer`` or null for a line that lies whole in neither; the header is tried first."""
+    extent = F.round(height * BAND).cast("int")
+    return F.when((top >= 0) & (bottom <= extent), "header").when((top >= height - extent) & (bottom <= height), "footer")
+
+
+def furniture(lines: DataFrame, height: int) -> DataFrame:
+    """Header and footer lines and the page number, by document with any line.
+
+    A line belongs to a band if it lies whole in it, is short or has the shape
+    of a page number, and names no amount.  The number is that of the first
+    such line of the footer, or else of the header.
+    """
+    text = F.trim(F.col("text"))
+    own = lines.select("doc_id", "line_idx", band(F.col("t"), F.col("b"), F.lit(height)).alias("band"), text.alias("text"), tokens.page_number(text).alias("number"))
+    fits = F.col("band").isNotNull() & ((F.length("text") <= LONGEST) | F.col("number").isNotNull()) & ~tokens.names_amount(F.col("text"))
+    own = own.withColumn("band", F.when(fits, F.col("band")))
+    listed = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("band") == name, F.col("line_idx")))), lambda i: i.cast("string")), " ")
+    counted = fits & (F.col("number") <= LAST_PAGE)
+    order = F.struct((F.col("band") == "header").alias("header"), "line_idx")
+    pick = lambda c: F.min_by(c, F.when(counted, order))
+    return own.groupBy("doc_id").agg(listed("header").alias("header_lines"), listed("footer").alias("footer_lines"), pick("number").alias("page_number"), pick("line_idx").alias("page_number_line"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def otsu(px: DataFrame) -> DataFrame:
     ).filter("w0 < n")
     # (mu0 - mu1)^2 * w0 * w1, over n^2, in integers: (s0 * n - s * w0)^2 / (w0 * w1)
     top = F.col("s0") * F.col("n") - F.col("s") * F.col("w0")
-    sums = sums.withColumn("score", F.round(top.cast("double") * top / (F.col("w0") * (F.col("n") - F.col("w0"))), 3))
+    sums = sums.withColumn("score", top.cast("double") * top / (F.col("w0") * (F.col("n") - F.col("w0"))))
     return sums.groupBy("page_id").agg(F.max_by("v", F.struct("score", (-F.col("v")).alias("first"))).alias("threshold"))
 
 
@@ -30,22 +30,6 @@ def binarized(px: DataFrame) -> DataFrame:
     return px.join(otsu(px), "page_id", "left").select("page_id", "y", "x", (F.col("v") <= F.coalesce("threshold", F.lit(-1))).cast("int").alias("ink"))
 
 
-def dilated(bits: DataFrame, w: int, h: int) -> DataFrame:
-    """Ink where any pixel of a w x h brick is ink; outside is paper."""
-    return _brick(bits, w, h, F.max)
-
-
-def eroded(bits: DataFrame, w: int, h: int) -> DataFrame:
-    """Ink where all pixels of the brick that lie on the page are ink."""
-    return _brick(bits, w, h, F.min)
-
-
-def _brick(bits, w, h, pick):
-    across = Window.partitionBy("page_id", "y").orderBy("x").rowsBetween(-(w // 2), w - 1 - w // 2)
-    down = Window.partitionBy("page_id", "x").orderBy("y").rowsBetween(-(h // 2), h - 1 - h // 2)
-    return bits.withColumn("ink", pick("ink").over(across)).withColumn("ink", pick("ink").over(down))
-
-
 def integral(px: DataFrame) -> DataFrame:
     """Sums of values and squares over the rectangle from the origin."""
     across = Window.partitionBy("page_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
@@ -54,14 +38,6 @@ def integral(px: DataFrame) -> DataFrame:
     return rows.select("page_id", "y", "x", F.sum("s").over(down).alias("s"), F.sum("q").over(down).alias("q"))
 
 
-def local_mean(px: DataFrame, k: int) -> DataFrame:
-    """Truncated mean of the (2k+1)-square around each pixel, as far as it lies on the page."""
-    across = Window.partitionBy("page_id", "y").orderBy("x").rowsBetween(-k, k)
-    down = Window.partitionBy("page_id", "x").orderBy("y").rowsBetween(-k, k)
-    rows = px.select("page_id", "y", "x", F.sum("v").over(across).alias("s"), F.count("v").over(across).alias("n"))
-    return rows.select("page_id", "y", "x", F.expr("s div n").alias("row_mean"), F.floor(F.sum("s").over(down) / F.sum("n").over(down)).cast("int").alias("mean"))
-
-
 def halved(px: DataFrame) -> DataFrame:
     """Mean of 2 x 2 boxes; an odd edge is dropped."""
     boxes = px.groupBy("page_id", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(F.sum("v").alias("s"), F.count("*").alias("n"))
@@ -103,13 +79,20 @@ def runs(bits: DataFrame, least: int) -> DataFrame:
 
 
 def statistics(px: DataFrame) -> DataFrame:
-    """Mean, deviation, mode (highest of equals, but the lowest value wins a tie with it) and upper median of the values."""
-    hist = histogram(px)
-    low = Window.partitionBy("page_id")
-    tie = F.when(F.col("v") == F.min("v").over(low), 256).otherwise(F.col("v"))
-    mode = hist.withColumn("tie", tie).groupBy("page_id").agg(F.max_by("v", F.struct("c", "tie")).alias("mode"))
-    rest = px.groupBy("page_id").agg(
-        F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_pop("v"), 4).alias("sd"), F.median("v").alias("median"),
-        F.expr("element_at(array_sort(collect_list(v)), cast(count(*) div 2 + 1 as int))").alias("upper_median"), F.round(F.expr("percentile(v, 0.9)"), 4).alias("p90"),
+    """Mean, deviation, mode (highest of equals, but the lowest value wins a tie with it), medians and 0.9 quantile, all from the histogram."""
+    up = Window.partitionBy("page_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    page = Window.partitionBy("page_id")
+    hist = histogram(px).withColumn("below", F.sum("c").over(up)).withColumn("n", F.sum("c").over(page))
+    hist = hist.withColumn("tie", F.when(F.col("v") == F.min("v").over(page), 256).otherwise(F.col("v")))
+    at = lambda k: F.min(F.when(F.col("below") > k, F.col("v")))
+    place = (F.col("n") - 1) * F.lit(0.9)
+    total = F.sum(F.col("c") * F.col("v")) / F.sum("c")
+    out = hist.groupBy("page_id").agg(
+        F.max_by("v", F.struct("c", "tie")).alias("mode"), total.alias("exact"), (F.sum(F.col("c") * F.col("v") * F.col("v")) / F.sum("c")).alias("square"), at(F.expr("(n - 1) div 2")).alias("lower"),
+        at(F.expr("n div 2")).alias("upper_median"), at(F.floor(place)).alias("p_low"), at(F.ceil(place)).alias("p_high"), F.max(place - F.floor(place)).alias("part"),
+    )
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("exact") * F.col("exact")))
+    return out.select(
+        "page_id", "mode", F.round("exact", 4).alias("mean"), F.round(deviation, 4).alias("sd"), ((F.col("lower") + F.col("upper_median")) / 2).alias("median"),
+        "upper_median", F.round(F.col("p_low") + (F.col("p_high") - F.col("p_low")) * F.col("part"), 4).alias("p90"),
     )
-    return mode.join(rest, "page_id")

@@ -39,15 +39,15 @@ OTSU = """
 h AS (SELECT page_id, v, count(*) AS c FROM px GROUP BY ALL),
 u AS (SELECT page_id, v, sum(c) OVER o AS w0, sum(c * v) OVER o AS s0, sum(c) OVER p AS n, sum(c * v) OVER p AS s FROM h
       WINDOW o AS (PARTITION BY page_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY page_id)),
-g AS (SELECT page_id, v, round(CAST(s0 * n - s * w0 AS DOUBLE) * CAST(s0 * n - s * w0 AS DOUBLE) / CAST(w0 * (n - w0) AS DOUBLE), 3) AS score FROM u WHERE w0 < n),
+g AS (SELECT page_id, v, CAST(s0 * n - s * w0 AS DOUBLE) * CAST(s0 * n - s * w0 AS DOUBLE) / CAST(w0 * (n - w0) AS DOUBLE) AS score FROM u WHERE w0 < n),
 th AS (SELECT page_id, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, v) AS k FROM g) WHERE k = 1)"""
 B = P + "," + OTSU + """,
 bits AS (SELECT px.page_id, y, x, CAST(v <= coalesce(threshold, -1) AS INT) AS ink FROM px LEFT JOIN th ON px.page_id = th.page_id)"""
 
 
-@query(W + " SELECT *, mean_conf < 75 AS low FROM (SELECT doc_id, count(*) AS n_words, count(DISTINCT line_idx) AS n_lines, round(avg(conf), 4) AS mean_conf, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM words GROUP BY doc_id)")
+@query(W + " SELECT *, mean_conf < 75 AS low FROM (SELECT documents.doc_id, count(words.doc_id) AS n_words, count(DISTINCT line_idx) AS n_lines, round(avg(conf), 4) AS mean_conf, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM documents LEFT JOIN words ON documents.doc_id = words.doc_id GROUP BY documents.doc_id)")
 def doc_quality(spark, d):
-    return document.quality(_words(spark, d))
+    return document.quality(_words(spark, d), table(spark, d, "documents"))
 
 
 LINES = """lines AS (SELECT doc_id, line_idx, string_agg(CASE WHEN leading_space THEN ' ' ELSE '' END || text, '' ORDER BY word_idx) AS text,
@@ -146,11 +146,24 @@ def labels_and_page_numbers(spark, d):
     return table(spark, d, "part").select("p_partkey", name, *(tokens.page_number(c).alias(k) for k, c in shapes.items()))
 
 
-@query("""SELECT item_id, page_number, candidates FROM (SELECT benchmark.item_id AS item_id, CAST(item_id % 10000 AS INT) AS page_number, CAST(2 AS BIGINT) AS candidates FROM benchmark)""")
+FURNITURE = """
+own AS (SELECT o_orderkey AS doc_id, o_custkey AS c, o_orderkey % 7 AS head, o_custkey % 9 AS foot FROM orders),
+hd AS (SELECT doc_id, CASE head WHEN 0 THEN 'Seite ' || c % 300 || ' von 300' WHEN 1 THEN 'Summe 12' WHEN 2 THEN repeat('long ', 13) || 'line' WHEN 3 THEN c % 90 || ' / 90' WHEN 4 THEN 'Chapter' WHEN 5 THEN '- ' || c % 70 || ' -' ELSE '99999' END AS text,
+  CASE head WHEN 0 THEN c % 300 WHEN 3 THEN c % 90 WHEN 5 THEN c % 70 END AS n, head NOT IN (1, 2) AS kept FROM own),
+ft AS (SELECT doc_id, CASE foot WHEN 0 THEN 'PAGE ' || c % 50 || ' of 50' WHEN 1 THEN 'Netto 7' WHEN 2 THEN CAST(c % 10000 AS VARCHAR) WHEN 3 THEN 'seite 3 von' WHEN 4 THEN 'page ' || c % 80 WHEN 5 THEN repeat('x', 61) WHEN 6 THEN repeat('y', 60) WHEN 7 THEN '12 / 0x' ELSE 'Brutto' END AS text,
+  CASE foot WHEN 0 THEN c % 50 WHEN 2 THEN c % 10000 WHEN 4 THEN c % 80 END AS n, foot NOT IN (1, 5, 8) AS kept FROM own)"""
+
+
+@query("WITH" + FURNITURE + """
+SELECT hd.doc_id, CASE WHEN hd.kept THEN '0' ELSE '' END AS header_lines, CASE WHEN ft.kept THEN '12' ELSE '' END AS footer_lines, CAST(coalesce(ft.n, hd.n) AS INT) AS page_number,
+  CAST(CASE WHEN ft.n IS NOT NULL THEN 12 WHEN hd.n IS NOT NULL THEN 0 END AS INT) AS page_number_line FROM hd JOIN ft ON hd.doc_id = ft.doc_id""")
 def page_furniture(spark, d):
-    text = F.concat(F.lit("seite 3"), F.lit("\n"), "text", F.lit("\n- "), (F.col("item_id") % 10000).cast("string"), F.lit(" -"))
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text"))
-    return document.furniture(words(docs)).select(F.col("doc_id").alias("item_id"), "page_number", "candidates")
+    c, key = F.col("o_custkey"), F.col("o_orderkey")
+    pick = lambda n, *texts: F.element_at(F.array(*(F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in t)) for t in texts)), (n + 1).cast("int"))
+    head = pick(key % 7, ("Seite ", c % 300, " von 300"), ("Summe 12",), ("long " * 13 + "line",), (c % 90, " / 90"), ("Chapter",), ("- ", c % 70, " -"), ("99999",))
+    foot = pick(c % 9, ("PAGE ", c % 50, " of 50"), ("Netto 7",), (c % 10000,), ("seite 3 von",), ("page ", c % 80), ("x" * 61,), ("y" * 60,), ("12 / 0x",), ("Brutto",))
+    docs = table(spark, d, "orders").select(key.alias("doc_id"), F.concat(head, F.lit("\n7" * 11 + "\n"), foot).alias("text"))
+    return document.furniture(document.lines(words(docs)), height=13 * 24)
 
 
 @query("""WITH tot AS (SELECT o_orderkey AS doc_id, CAST(round(o_totalprice * 100) AS BIGINT) AS g FROM orders) SELECT doc_id, g - g * 19 // 119 AS net, g * 19 // 119 AS vat, g AS gross, TRUE AS sums FROM tot""")
@@ -212,33 +225,12 @@ def ink_bbox(spark, d):
     return raster.ink_box(_bits(spark, d))
 
 
-def _brick_sql(pick: str, w: int, h: int) -> str:
-    return B + f""", a AS (SELECT page_id, y, x, {pick}(ink) OVER (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN {w // 2} PRECEDING AND {w - 1 - w // 2} FOLLOWING) AS ink FROM bits)
-SELECT page_id, y, x, {pick}(ink) OVER (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN {h // 2} PRECEDING AND {h - 1 - h // 2} FOLLOWING) AS ink FROM a"""
-
-
-@query(_brick_sql("max", 3, 2))
-def morph_dilate(spark, d):
-    return raster.dilated(_bits(spark, d), 3, 2)
-
-
-@query(_brick_sql("min", 2, 3))
-def morph_erode(spark, d):
-    return raster.eroded(_bits(spark, d), 2, 3)
-
-
 @query(P + """, a AS (SELECT page_id, y, x, sum(v) OVER o AS s, sum(v * v) OVER o AS q FROM px WINDOW o AS (PARTITION BY page_id, y ORDER BY x ROWS UNBOUNDED PRECEDING))
 SELECT page_id, y, x, CAST(sum(s) OVER o AS BIGINT) AS s, CAST(sum(q) OVER o AS BIGINT) AS q FROM a WINDOW o AS (PARTITION BY page_id, x ORDER BY y ROWS UNBOUNDED PRECEDING)""")
 def integral_image(spark, d):
     return raster.integral(_px(spark, d))
 
 
-@query(P + """, a AS (SELECT page_id, y, x, sum(v) OVER o AS s, count(v) OVER o AS n FROM px WINDOW o AS (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
-SELECT page_id, y, x, CAST(s // n AS BIGINT) AS row_mean, CAST(sum(s) OVER o // sum(n) OVER o AS INT) AS mean FROM a WINDOW o AS (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
-def windowed_mean(spark, d):
-    return raster.local_mean(_px(spark, d), 2)
-
-
 @query(P + " SELECT page_id, CAST(y // 2 AS BIGINT) AS y, CAST(x // 2 AS BIGINT) AS x, CAST(sum(v) // 4 AS BIGINT) AS v FROM px GROUP BY 1, 2, 3")
 def scale_half(spark, d):
     return raster.halved(_px(spark, d))

@@ -6,13 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import raster, rows
 from .catalogue import B, P, query
-from .relations import HEIGHT, WIDTH, table
+from .relations import HEIGHT, WIDTH, page_rows, table
 
 
 def _rows(spark, d):
-    spots = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "n_chars", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y"))
-    value = lambda x: ((x * x * 3 + F.col("y") * 7 + F.col("page_id") * 31 + F.col("n_chars")) % 256).cast("int")
-    return spots.select("page_id", "y", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), value).alias("v"))
+    return page_rows(table(spark, d, "documents"))
 
 
 def _ink(spark, d):
@@ -43,14 +41,24 @@ def drawing(own: str) -> str:
     return f" SELECT page_id, CAST(y AS INT) AS y, string_agg(CAST(ink AS VARCHAR), '' ORDER BY x) AS bits FROM {own} GROUP BY page_id, y"
 
 
-@query(B + "," + dilation("o", "bits", 3, 2) + drawing("o"))
+@query(B + "," + dilation("o", "bits", 3, 2) + " SELECT * FROM o")
+def morph_dilate(spark, d):
+    return rows.exploded(rows.dilated(_ink(spark, d), 3, 2), "ink")
+
+
+@query(B + "," + erosion("o", "bits", 2, 3) + " SELECT * FROM o")
+def morph_erode(spark, d):
+    return rows.exploded(rows.eroded(_ink(spark, d), 2, 3), "ink")
+
+
+@query(B + "," + dilation("o", "bits", 4, 5) + drawing("o"))
 def rows_dilate(spark, d):
-    return rows.drawn(rows.dilated(_ink(spark, d), 3, 2))
+    return rows.drawn(rows.dilated(_ink(spark, d), 4, 5))
 
 
-@query(B + "," + erosion("o", "bits", 2, 3) + drawing("o"))
+@query(B + "," + erosion("o", "bits", 3, 4) + drawing("o"))
 def rows_erode(spark, d):
-    return rows.drawn(rows.eroded(_ink(spark, d), 2, 3))
+    return rows.drawn(rows.eroded(_ink(spark, d), 3, 4))
 
 
 @query(B + "," + erosion("e", "bits", 2, 2) + "," + dilation("o", "e", 2, 2) + drawing("o"))
@@ -138,6 +146,11 @@ def _lists(*names: str) -> str:
     return ", ".join(f"string_agg(CAST({n} AS VARCHAR), ' ' ORDER BY x) AS {n}" for n in names)
 
 
+@query(P + WINDOWS + " SELECT page_id, y, x, m AS mean FROM st")
+def windowed_mean(spark, d):
+    return rows.exploded(rows.window_statistics(_rows(spark, d), K), "m").withColumnRenamed("m", "mean")
+
+
 @query(P + WINDOWS + f" SELECT page_id, y, {_lists('m', 'q')} FROM st GROUP BY page_id, y")
 def mirrored_windows(spark, d):
     return _listed(rows.window_statistics(_rows(spark, d), K), "m", "q")

@@ -18,7 +18,8 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(docs: DataFrame) -> DataFrame:
-    lines = docs.filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+    """Texts are dealt by document before they are taken apart, so that nothing by document or line shuffles again."""
+    lines = docs.filter("text is not null").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
     tokens = lines.select("doc_id", "line_idx", F.posexplode(F.split("line", " ")).alias("word_idx", "text"))
     before = Window.partitionBy("doc_id", "line_idx").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
     size = 10 * F.length("text")
@@ -55,3 +56,10 @@ px AS (
   SELECT doc_id AS page_id, CAST(ys.y AS INT) AS y, CAST(xs.x AS INT) AS x,
          CAST((xs.x * xs.x * 3 + ys.y * 7 + doc_id * 31 + n_chars) % 256 AS INT) AS v
   FROM documents, (SELECT unnest(range({HEIGHT})) AS y) ys, (SELECT unnest(range({WIDTH})) AS x) xs)"""
+
+
+def page_rows(docs: DataFrame) -> DataFrame:
+    """``page_id y`` and an array ``v``: the same rasters by rows."""
+    spots = docs.select(F.col("doc_id").alias("page_id"), "n_chars", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y"))
+    value = lambda x: ((x * x * 3 + F.col("y") * 7 + F.col("page_id") * 31 + F.col("n_chars")) % 256).cast("int")
+    return spots.select("page_id", "y", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), value).alias("v"))
