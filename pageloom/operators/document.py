@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tokens
+from ..functions import boxes, tokens
 
 
 def quality(words: DataFrame, docs: DataFrame, low: int = 75) -> DataFrame:
@@ -120,3 +120,25 @@ def font_sizes(words: DataFrame, least: int = 10) -> DataFrame:
     well = own.filter(F.col("n") >= least).groupBy("doc_id").agg(F.median("size").alias("well"))
     size = F.when(F.col("n") >= least, F.col("size")).otherwise(F.coalesce("well", "size"))
     return own.join(well, "doc_id", "left").select("doc_id", "line_idx", "n", F.round(size, 4).alias("size"))
+
+
+def assembled(lines: DataFrame) -> DataFrame:
+    """``doc_id sent_idx text``: sentences across lines.
+
+    A hyphen behind a letter at a line's end goes and joins the line with the
+    next, any other line end is a blank; a sentence ends with a run of ``.!?``
+    before white space or the page's end.
+    """
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"])
+    page = lines.groupBy("doc_id").agg(F.concat(F.array_join(listed, "\n"), F.lit("\n")).alias("text"))
+    joined = F.replace(F.regexp_replace("text", r"(\p{L})-\n", "$1"), F.lit("\n"), F.lit(" "))
+    parts = F.filter(F.transform(F.split(joined, r"(?<=[.!?])[ \t\r\f]+"), lambda s: F.trim(s)), lambda s: s != "")
+    return page.select("doc_id", F.posexplode(parts).alias("sent_idx", "text"))
+
+
+def json_lines(lines: DataFrame) -> DataFrame:
+    """The page's box and its lines as JSON, in order."""
+    mark = F.concat(F.lit('{"text":"'), boxes.json_text(F.col("text")), F.lit('","bbox":'), boxes.json_box(F.struct("l", "t", "r", "b")), F.lit("}"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", mark.alias("mark")))), lambda x: x["mark"])
+    whole = F.struct(F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
+    return lines.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_lines"), boxes.json_box(whole).alias("box"), F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("lines_json"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster, rows
+from ..operators import components, raster, rows
 from .catalogue import B, P, query
 from .relations import HEIGHT, WIDTH, page_rows, table
 
@@ -169,3 +169,34 @@ FROM bits JOIN lt USING (page_id, y, x) JOIN md USING (page_id) GROUP BY page_id
 def binarize_ladder(spark, d):
     out = rows.escalated(_ink(spark, d), _rows(spark, d), K)
     return out.select("page_id", "mode", "y", F.array_join(F.transform("ink", lambda v: v.cast("string")), "").alias("bits"))
+
+
+def connected(reach: int) -> str:
+    """SQL of runs and of the first run that each is connected with, by reachability."""
+    return f""",
+rn AS (SELECT page_id, y, min(x) AS l, max(x) + 1 AS r FROM (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS i FROM bits WHERE ink = 1) GROUP BY page_id, y, i),
+rr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, l) AS run FROM rn),
+lk AS (SELECT a.page_id, a.run AS a, b.run AS b FROM rr a JOIN rr b ON a.page_id = b.page_id AND abs(a.y - b.y) = 1 AND a.l < b.r + {reach} AND b.l < a.r + {reach}),
+rc AS (SELECT page_id, run, run AS seen FROM rr UNION SELECT rc.page_id, rc.run, lk.b FROM rc JOIN lk ON rc.page_id = lk.page_id AND rc.seen = lk.a),
+lb AS (SELECT rr.page_id, rr.run, y, l, r, label FROM rr JOIN (SELECT page_id, run, min(seen) AS label FROM rc GROUP BY ALL) m ON rr.page_id = m.page_id AND rr.run = m.run),
+cc AS (SELECT page_id, label, min(l) AS l, min(y) AS t, max(r) AS r, max(y) + 1 AS b, sum(r - l) AS px FROM lb GROUP BY page_id, label)"""
+
+
+REACHING = B.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(REACHING + connected(1) + " SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY label) - 1 AS comp, l, t, r, b, CAST(px AS BIGINT) AS px FROM cc")
+def ink_components(spark, d):
+    return components.components(components.labelled(components.ink_runs(_ink(spark, d)), 8)).drop("label")
+
+
+@query(REACHING + connected(0) + " SELECT lb.page_id, lb.y, lb.l, lb.r FROM lb JOIN cc ON lb.page_id = cc.page_id AND lb.label = cc.label WHERE cc.r - cc.l >= 3 AND cc.b - cc.t >= 2")
+def components_by_size(spark, d):
+    return components.selected(components.labelled(components.ink_runs(_ink(spark, d)), 4), 3, 2).select("page_id", "y", "l", "r")
+
+
+@query(REACHING + connected(1) + " SELECT page_id, y, l, r FROM lb WHERE EXISTS (SELECT 1 FROM lb s WHERE s.page_id = lb.page_id AND s.label = lb.label AND s.y = 0)")
+def seed_fill(spark, d):
+    ink = _ink(spark, d)
+    seeds = rows.exploded(ink.filter("y = 0"), "ink").filter("ink = 1").select("page_id", "y", "x")
+    return components.filled(components.labelled(components.ink_runs(ink), 8), seeds).select("page_id", "y", "l", "r")
