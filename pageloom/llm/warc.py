@@ -7,14 +7,17 @@ shared folder: ``archive``, ``offset`` in it, and ``member``; the members of an
 archive in order of offset are a valid ``.warc.gz`` file.
 
 The index is built from what is read back.  Each task sorts the entries of its
-members (a capture run) by URL key, timestamp and page_id, and cuts the run at
-the borders of key ranges into blocks.  For each range one task merges the
+members, ``RUN`` at a time (a capture run), by URL key, timestamp and page_id,
+and cuts each run at the borders of key ranges into blocks.  For each range one task merges the
 runs with a loser tree; blocks arrive in the order of their first keys, so that
 one block of a run is open at a time.  A URL captured very often is cut by
 timestamp like any other keys.
 
-Rows: a null html is an empty payload, a null url the empty key; rows that
-repeat a page_id with the same payload are of the same type; extra columns of
+Rows: a null html is an empty payload, a null url the empty key; a row without
+page_id is a response that no other refers to, and comes first among equal
+keys; a capture's date follows from its page_id, of any size, going round after
+``SPAN`` seconds; rows that repeat a page_id with the same payload are of the
+same type; extra columns of
 the input are not carried, whatever their names; an empty table gives an empty
 table.
 """
@@ -35,13 +38,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EPOCH = datetime.datetime(2020, 1, 1)
+EPOCH, SPAN = datetime.datetime(2020, 1, 1), 1 << 31
+#: Index entries that are sorted together.
+RUN = 100_000
 ENTRY = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 TYPES = [pa.int64() if x.endswith("long") else pa.string() for x in ENTRY.split(", ")]
 KEY = NAMES[:3]
 
 
+def place(row: tuple) -> tuple:
+    """What entries are ordered by; no page_id comes before any."""
+    return row[0], row[1], row[2] is not None, row[2] or 0
+
+
 def url_key(url: str) -> str:
     """Sortable key: reversed host, then path and query."""
     try:
@@ -53,14 +63,14 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/").lower() + query.lower()
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """A WARC record; a revisit has its payload's digest and length, but no payload."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     kind = "response" if refers_to is None else "revisit"
-    date = (EPOCH + datetime.timedelta(seconds=page_id)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    date = (EPOCH + datetime.timedelta(seconds=(page_id or 0) % SPAN)).strftime("%Y-%m-%dT%H:%M:%SZ")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block += payload if refers_to is None else b""
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url.translate({10: ' ', 13: ' '})}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url.translate({10: ' ', 13: ' '})}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -92,7 +102,7 @@ def entry(fields: dict[str, str], block: bytes, archive: str, offset: int) -> tu
     n_bytes = int(head.rpartition(b"Content-Length: ")[2])
     if kind == "response" and (len(payload) != n_bytes or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError("a payload differs from its digest")
-    number = lambda name: int(fields[name].rpartition(":")[2].rstrip(">"))
+    number = lambda name: int(n) if (n := fields[name].rpartition(":")[2].rstrip(">")) else None
     return url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], number("WARC-Record-ID"), n_bytes, digest, kind, number("WARC-Refers-To") if kind == "revisit" else None, archive, offset
 
 
@@ -148,7 +158,7 @@ class LoserTree:
         self.winner = -1
 
     def add(self, run: list) -> None:
-        self.heads.append(run[0][:3])
+        self.heads.append(place(run[0]))
         self.runs.append((run, 0))
         self._build()
 
@@ -178,7 +188,7 @@ class LoserTree:
         run, at = self.runs[i]
         out, at = run[at], at + 1
         self.runs[i] = run, at
-        self.heads[i] = run[at][:3] if at < len(run) else None
+        self.heads[i] = place(run[at]) if at < len(run) else None
         node = (i + len(self.runs)) // 2
         while node:
             if self._less(self.losers[node], i):
@@ -194,34 +204,43 @@ def merged(blocks):
     """Entries of sorted blocks in order; blocks come in the order of their first keys."""
     tree = LoserTree()
     for block in blocks:
-        while (head := tree.head()) is not None and head < block[0][:3]:
+        while (head := tree.head()) is not None and head < place(block[0]):
             yield tree.pop()
         tree.add(block)
     while tree.head() is not None:
         yield tree.pop()
 
 
-def merge_index(entries: DataFrame, rows_per_range: int = 200_000, block: int = 1024, samples_per_range: int = 64) -> DataFrame:
+def merge_index(entries: DataFrame, rows_per_range: int = 1_000_000, block: int = 1024, samples_per_range: int = 24) -> DataFrame:
     """Entries in global order: ``key_range`` and ``position`` in it, then the columns of ``ENTRY``.
 
     Borders of the key ranges come from a sample of ``samples_per_range`` keys
-    for each range of about ``rows_per_range`` rows; they shape the work alone,
-    not the result.
+    for each range of about ``rows_per_range`` rows, the only thing that goes to
+    the driver (some 4 KB for a million entries); they shape the work alone, not
+    the result.
     """
     spark = entries.sparkSession
     n = entries.count()
     ranges = max(1, -(-n // rows_per_range), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1000))
     share = min(1.0, ranges * samples_per_range * 1.5 / max(n, 1))
-    keys = sorted(tuple(r) for r in entries.select(*KEY).sample(share, seed=7).collect())
+    keys = sorted(place(tuple(r)) for r in entries.select(*KEY).sample(share, seed=7).collect())
     borders = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
     def runs(batches):
-        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True)]
-        rows.sort(key=lambda r: r[:3])
-
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True)
+            if len(rows) >= RUN:
+                yield from cut(rows)
+                rows = []
+        if rows:
+            yield from cut(rows)
+
+    def cut(rows):
+        rows.sort(key=place)
         at, held = 0, []
         for r, border in enumerate([*borders, None]):
-            end = len(rows) if border is None else bisect.bisect_left(rows, border, at, key=lambda x: x[:3])
+            end = len(rows) if border is None else bisect.bisect_left(rows, border, at, key=place)
             for i in range(at, end, block):
                 own = rows[i : min(i + block, end)]
                 sink = pa.BufferOutputStream()
