@@ -7,7 +7,8 @@ away in some ordering; they are reranked by true distance and merged.
 
 The window follows from the data: for a sample of ``SAMPLE`` queries the true
 neighbours are found by a scan in blocks, and the window is the distance in
-ranks that reaches the share ``TARGET`` of them.  On clustered data it stays
+ranks that reaches the share ``TARGET`` of them, but no less than ``k + 1``, so
+that every query finds ``k`` neighbours, or all where there are fewer.  On clustered data it stays
 small; on data without structure it grows with the table, as it must for the
 recall asked for.
 
@@ -132,11 +133,16 @@ def ranked(unique: DataFrame) -> DataFrame:
 def nearest(queries: np.ndarray, names: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """The ``k`` nearest (name, id, distance) of each query; ties to the smaller id."""
     out = ([], [], [])
-    square = (vectors * vectors).sum(axis=1)
+    middle = vectors.mean(axis=0)
+    centred = vectors - middle  # far from the origin, products would lose the distances' digits
+    square = (centred * centred).sum(axis=1)
     for at in range(0, len(queries), 256):
         own = queries[at : at + 256]
-        rough = square - 2 * (own @ vectors.T)
-        few = np.argpartition(rough, min(4 * k, len(ids)) - 1, axis=1)[:, : 4 * k] if len(ids) > 4 * k else np.tile(np.arange(len(ids)), (len(own), 1))
+        moved = own - middle
+        rough = square - 2 * (moved @ centred.T)
+        last = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        slack = 1e-9 * (square.max() + (moved * moved).sum(axis=1))  # ties and rounding: whatever may be as near as the last
+        few = (np.flatnonzero(r <= t) for r, t in zip(rough, last + slack, strict=True))
         for q, name, pick in zip(own, names[at : at + 256].tolist(), few, strict=True):
             d = np.sqrt(((vectors[pick] - q) ** 2).sum(axis=1))
             best = np.lexsort((ids[pick], d))[:k]
@@ -174,13 +180,13 @@ def window(unique: DataFrame, ranks: DataFrame, queries: DataFrame, k: int) -> i
     """Ranks around a query within which ``TARGET`` of its true neighbours lie in some ordering."""
     sample = queries.join(unique, "vid").orderBy(F.xxhash64("vid"), "vid").select("vid", "embedding").limit(SAMPLE).collect()
     if not sample:
-        return 1
+        return k + 1
     truth = F.broadcast(scan(unique, sample, k + 1).filter("q <> vid"))
     place = ranks.select("ordering", "rank", "vid")
     near = place.join(truth, "vid").select("ordering", "q", "vid", "rank")
     home = place.join(F.broadcast(truth.select("q").distinct()), F.col("vid") == F.col("q")).select("ordering", "q", F.col("rank").alias("home"))
     gaps = near.join(home, ["ordering", "q"]).groupBy("q", "vid").agg(F.min(F.abs(F.col("rank") - F.col("home"))).alias("gap"))
-    return int(gaps.agg(F.percentile("gap", TARGET)).first()[0] or 0) + 1
+    return max(int(gaps.agg(F.percentile("gap", TARGET)).first()[0] or 0), k) + 1
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
