@@ -15,9 +15,10 @@ only text around anchors that repeat is compared.
    with more than ``HOT`` contexts is split by the windows' own hashes.
 4. Each text loses the bytes of its repeats.
 
-Rows: a null text is empty; texts shorter than ``LEAST`` lose nothing; of
-rows that repeat a doc_id and text the later copy is taken to follow itself,
-so doc_id is to be unique; extra columns of the input are not carried,
+Rows: a null text is empty; texts shorter than ``LEAST`` lose nothing; rows
+that repeat a doc_id and text are one document, so that none is earlier than
+another, and all are cut alike; a row without doc_id is compared with nothing
+and left whole; extra columns of the input are not carried,
 whatever their names; an empty table gives an empty table.
 """
 
@@ -104,6 +105,8 @@ def _settle(a, w, doc, at):
     """First of equal spans, and the intervals of the rest, merged where they touch."""
     order = np.lexsort((at, doc, w, a))
     a, w, doc, at = a[order], w[order], doc[order], at[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
+    a, w, doc, at = a[fresh], w[fresh], doc[fresh], at[fresh]  # of a repeated row, one
     again = np.concatenate([[False], (a[1:] == a[:-1]) & (w[1:] == w[:-1])])
     start = at[again] - ((w[again] >> 7) & 127)
     return (a[~again], w[~again], doc[~again], at[~again]), _union(doc[again], start, start + (w[again] & 127) + LEAST)
@@ -173,8 +176,16 @@ def matched(anchored: DataFrame) -> DataFrame:
             a, w, doc, at = (x[~known] for x in (a, w, doc, at))
             if not len(a):
                 continue
-            again = np.concatenate([[last is not None and last == (a[0], w[0])], (a[1:] == a[:-1]) & (w[1:] == w[:-1])])
-            last = a[-1], w[-1]
+            if last is not None:
+                a, w, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (a, w, doc, at), strict=True))
+            alike = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
+            twice = alike & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])  # a repeated row
+            own = np.concatenate([[last is None], ~twice])
+            again = np.concatenate([[False], alike])[own]
+            last = a[-1], w[-1], doc[-1], at[-1]
+            a, w, doc, at = (x[own] for x in (a, w, doc, at))
+            if not len(a):
+                continue
             if again.any():
                 start = at[again] - ((w[again] >> 7) & 127)
                 d, s, e = _union(doc[again], start, start + (w[again] & 127) + LEAST)
@@ -226,7 +237,7 @@ def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
                             own = data[s : s + LEAST]
                             first = windows.get(own)
                             windows[own] = min(first, (doc, s)) if first else (doc, s)
-                            if first:
+                            if first and first != (doc, s):
                                 rows.append((0, *max(first, (doc, s)), 1, None))
                 for own, (doc, s) in windows.items():
                     rows.append((int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), doc, s, 1, own))
@@ -252,8 +263,11 @@ def repeats(doc: np.ndarray, start: np.ndarray, n: np.ndarray, texts: list[bytes
     group = np.cumsum(np.concatenate([[False], ~same]))
     own_doc, own_start = doc[owner[order]], start[owner[order]] + offset[order]
     by = np.lexsort((own_start, own_doc, group))
-    again = np.concatenate([[False], group[by][1:] == group[by][:-1]])
-    d, s = own_doc[by][again], own_start[by][again]
+    group, own_doc, own_start = group[by], own_doc[by], own_start[by]
+    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (own_doc[1:] != own_doc[:-1]) | (own_start[1:] != own_start[:-1])])
+    group, own_doc, own_start = group[fresh], own_doc[fresh], own_start[fresh]
+    again = np.concatenate([[False], group[1:] == group[:-1]])
+    d, s = own_doc[again], own_start[again]
     return _union(d, s, s + LEAST)
 
 
