@@ -240,3 +240,110 @@ def test_toxic_phrases_of_ordinary_words(bad):
     labels = [i % 2 for i in range(200)]
     scores = toxicity.score_texts(toxicity.fit_rows(rows), [text(y) for y in labels])
     assert brute.auc(scores.tolist(), labels) > 0.95
+
+
+def test_warc_ids(spark):
+    """Very large, negative and null ids, and runs of two entries."""
+    rows = [(10**12, "http://a.org/1", "x"), (None, "http://a.org/1", "x"), (None, None, None), (-5, "http://a.org/1", "y"), (3, "http://b.org/", "x")]
+    got = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to) for r in got) == [(False, -5, "response", None), (False, 3, "revisit", 10**12), (False, 10**12, "response", None), (True, 0, "response", None), (True, 0, "response", None)]
+
+
+def test_loser_tree():
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), "t", rng.choice([None, *range(50)]), i) for i in range(500)]
+    runs = [sorted(rows[i::7], key=warc.place) for i in range(7)]
+    blocks = sorted((run[i : i + 10] for run in runs for i in range(0, len(run), 10)), key=lambda b: warc.place(b[0]))
+    assert [warc.place(r) for r in warc.merged(blocks)] == sorted(map(warc.place, rows))
+
+
+def test_suffix_on_repeated_rows(spark):
+    rng = random.Random(9)
+    text, other = ("".join(rng.choices("abcdefgh ", k=400)) for _ in range(2))
+    rows = [(1, text), (1, text), (2, other), (3, other), (3, other), (None, other)]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in suffix.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 400), (3, 400)]
+
+
+def test_suffix_over_a_mebibyte(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choices("abcdefghijklmnop", k=1 << 20)) + "".join(rng.choices("qrstuv", k=3000))
+    rows = [(1, long), (2, "x" * 50 + long[(1 << 20) - 300 : (1 << 20) + 400] + "y" * 50)]
+    got = by_id(suffix.cut(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[1].n_removed, got[2].n_removed, bytes(got[2].kept)) == (0, 700, b"x" * 50 + b"y" * 50)
+
+
+def test_ann_ties_and_far_vectors(spark):
+    rows = [(0, [1e6, 1e6])] + [(i, [1e6 + (1 if i % 2 else -1), 1e6]) for i in range(1, 64)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(i, 1.0) for i in range(1, 11)]
+
+
+def test_shortest_pack_first():
+    assert packing.place({600: 1, 500: 1, 300: 1}, 1024)[-1] == (300, 0, 1, 1, 500)  # to the pack with the most room
+    rng = random.Random(11)
+    for _ in range(30):
+        size = rng.choice([16, 100, 1024])
+        histogram = {rng.randint(1, size): rng.randint(1, 40) for _ in range(rng.randint(1, 60))}
+        filled, seen = defaultdict(int), defaultdict(int)
+        for length, rank, count, first, offset in packing.place(histogram, size):
+            assert rank == seen[length]
+            seen[length] += count
+            for sequence in range(first, first + count):
+                assert filled[sequence] == offset
+                filled[sequence] += length
+        assert seen == histogram and max(filled.values()) <= size
+        tokens = sum(k * n for k, n in histogram.items())
+        assert len(filled) <= 2 * -(-tokens // size)  # no two sequences are half empty
+
+
+def test_bpe_stream_at_its_window():
+    exact, model = Tokenizer.from_file(queries.WORD_BPE), bpe.merges(queries.WORD_BPE)
+    exact.no_truncation()
+    rng, w = random.Random(12), model.window
+    words = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "-=") for n in (1, w // 2, w - 1, w, w + 1, 2 * w, 3 * w + 5)]
+    assert model.stream([x.encode() for x in words]) == [exact.encode(x, add_special_tokens=False).ids for x in words]
+
+
+def test_bpe_in_portions(monkeypatch):
+    exact, text = Tokenizer.from_file(queries.WORD_BPE), "it's  a ¼ café́ <|endoftext|> x" * 40
+    monkeypatch.setattr(bpe, "PORTION", 7)
+    ids, bounds = bpe.merges(queries.WORD_BPE).encode(["", text, "a"])
+    assert ids[bounds[1] : bounds[2]].tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_cross_parsing():
+    """Side-by-side parsing against one automaton after the other, and against the definition."""
+    rng = random.Random(13)
+    samples = {x: "".join(rng.choices(a, k=300)) for x, a in (("p", "abc "), ("q", "bcd "))}
+    parser = langid.Parser(samples)
+    texts = ["".join(rng.choices("abcdé ", k=n)) for n in (0, 1, 5, 200, 2 * langid.SEGMENT + 3)]
+
+    def phrases(text, sample):
+        n = at = 0
+        while at < len(text):
+            k = 1
+            while at + k < len(text) + 1 and text[at : at + k] in sample:
+                k += 1
+            n, at = n + 1, at + max(k - 1, 1)
+        return n
+
+    parts = lambda t: [t[i : i + langid.SEGMENT] for i in range(0, len(t), langid.SEGMENT)]
+    want = [[sum(phrases(p, samples[x]) for p in parts(t)) for x in "pq"] for t in texts]
+    assert parser.phrases(texts).tolist() == want
+    assert [[sum(langid.Automaton(samples[x]).parse(p) for p in parts(t)) for x in "pq"] for t in texts] == want
+
+
+def test_neardup_in_long_lists(spark):
+    """A large group of near copies, of which some are just too far from all others."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for d in range(260):
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8])):
+            own[at] = rng.choice([f"v{rng.randint(0, 30)}", f"u{d}x{at}"])
+        texts[d] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(neardup.components(docs, words=2))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.components(texts, 2)
