@@ -52,7 +52,7 @@ CARRIER = b"=a carrier phrase that stands behind each window="
 #: Bounds of what a dictionary of words is trained on: repeats of a word, and samples.
 REPEATS, SAMPLES = 50, 200_000
 #: Windows whose distances a worker keeps.
-KEPT = 100_000
+KEPT = 200_000
 
 
 def windows(text: str) -> set[str]:
@@ -162,22 +162,27 @@ class Distance:
         )
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
-    def __call__(self, window: str) -> int:
-        """Bytes saved by the toxic dictionary."""
-        out = self.known.get(window)
-        if out is None:
-            toxic, ordinary = self.pair
-            data = f" {window} ".encode("utf-8", "replace") + CARRIER
-            out = len(ordinary.compress(data)) - len(toxic.compress(data))
-            if self.keep:
-                if len(self.known) >= KEPT:
-                    self.known.clear()
-                self.known[window] = out
-        return out
+    def measured(self, own: list[str]) -> list[int]:
+        """Bytes that the toxic dictionary saves on each window."""
+        toxic, ordinary = (c.compress for c in self.pair)
+        plain = [f" {w} ".encode("utf-8", "replace") + CARRIER for w in own]
+        return [len(ordinary(d)) - len(toxic(d)) for d in plain]
 
     def found(self, text: str) -> list[int]:
         """Distances of all windows, largest first."""
-        return sorted(map(self, self.split(text)), reverse=True)
+        own = self.split(text)
+        if not self.keep:
+            return sorted(self.measured(list(own)), reverse=True)
+        known = self.known
+        out = [known[w] for w in own if w in known]
+        if len(out) < len(own):
+            missing = [w for w in own if w not in known]
+            more = self.measured(missing)
+            if len(known) + len(missing) > KEPT:
+                known.clear()
+            known.update(zip(missing, more, strict=True))
+            out += more
+        return sorted(out, reverse=True)
 
 
 def pairs(contents: tuple) -> tuple[Distance, Distance]:
