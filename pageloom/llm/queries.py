@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, media, neardup, packing, quality, suffix, toxicity, warc
+from . import align, ann, bpe, langid, media, neardup, packing, quality, suffix, toxicity, warc
 from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,13 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), words=2)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_neardup)}
+    own = (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_neardup, op13_alignment)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
