@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bpe, langid, media, neardup, packing, quality, suffix, toxicity, warc
+from . import align, ann, bpe, langid, media, neardup, packing, quality, suffix, toxicity, wand, warc
 from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,14 +66,41 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), words=2)
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
 
 def queries() -> dict:
-    own = (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_neardup, op13_alignment)
+    own = (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_neardup, op12_search, op13_alignment)
     return {f.__name__: f for f in own}
 
 
+OP12 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents),
+held AS (SELECT row_number() OVER () AS r, doc_id, terms, len(terms)::BIGINT AS n FROM words WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM held),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark),
+freq AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM held)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM freq, total GROUP BY term, docs),
+scored AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // l))))::BIGINT AS score
+  FROM wanted JOIN freq USING (term) JOIN weight USING (term), total GROUP BY item_id, r, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_search": OP12}
