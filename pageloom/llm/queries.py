@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bpe, langid, media, neardup, packing, quality, suffix, toxicity, wand, warc
+from . import align, ann, blocks, bpe, langid, media, neardup, packing, quality, suffix, toxicity, wand, warc
 from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +66,10 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,7 +79,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_neardup, op12_search, op13_alignment)
+    own = (op1_packing, op2_media, op3_bpe, op4_warc, op5_suffix, op6_quality, op7_ann, op8_langid, op9_toxicity, op10_neardup, op11_html, op12_search, op13_alignment)
     return {f.__name__: f for f in own}
 
 
