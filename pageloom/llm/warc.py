@@ -33,7 +33,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -106,11 +106,18 @@ def entry(fields: dict[str, str], block: bytes, archive: str, offset: int) -> tu
     return url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], number("WARC-Record-ID"), n_bytes, digest, kind, number("WARC-Refers-To") if kind == "revisit" else None, archive, offset
 
 
+def digest() -> Column:
+    return F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """``page_id`` and ``refers_to`` of the records that repeat another's payload."""
-    keyed = common.written(pages.select("page_id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest")), "digests")
+    """``page_id``, ``digest`` and ``refers_to`` of the records that repeat another's payload.
+
+    A page_id can come with several payloads, so that the digest is part of the key.
+    """
+    keyed = common.written(pages.select("page_id", digest().alias("digest")), "digests")
     kept = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keyed.join(kept, "digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return keyed.join(kept, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame) -> DataFrame:
@@ -127,9 +134,9 @@ def write(pages: DataFrame) -> DataFrame:
                     at += len(m)
                 yield pa.RecordBatch.from_arrays([pa.array([archive] * len(members), pa.string()), pa.array(offsets, pa.int64()), pa.array(members, pa.binary())], ["archive", "offset", "member"])
 
-    own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), digest().alias("digest"))
     again = common.written(revisits(pages), "revisits")
-    return common.written(own.join(again, "page_id", "left").mapInArrow(run, "archive string, offset long, member binary"), "archives")
+    return common.written(own.join(again, ["page_id", "digest"], "left").mapInArrow(run, "archive string, offset long, member binary"), "archives")
 
 
 def read(archives: DataFrame) -> DataFrame:

@@ -108,6 +108,15 @@ def test_warc(spark):
     assert warc.capture_histories(pages.limit(0)).count() == 0
 
 
+def test_warc_page_with_two_payloads(spark):
+    """Each payload of a page_id is stored once, whatever other payloads the id has."""
+    rows = [(1, "A"), (1, "B"), (2, "A"), (2, "A"), (3, "B"), (None, "A"), (None, "C")]
+    got = warc.capture_histories(spark.createDataFrame([(p, "http://x.org/", h) for p, h in rows], "page_id long, url string, html string")).collect()
+    sha = {h: brute.records({1: h})[1][1] for _, h in rows}
+    found = sorted(((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str)
+    assert found == sorted([(1, sha["A"], "revisit", 2), (1, sha["B"], "revisit", 3), (2, sha["A"], "response", None), (2, sha["A"], "response", None), (3, sha["B"], "response", None), (0, sha["A"], "response", None), (0, sha["C"], "response", None)], key=str)
+
+
 @pytest.mark.parametrize("hot", [suffix.HOT, 1])
 def test_suffix(docs, texts, empty, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)

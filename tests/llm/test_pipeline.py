@@ -41,3 +41,21 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_awkward_rows(spark):
+    """Null ids, null and empty texts, repeated rows and clashing columns, through each stage on its own."""
+    clean = corpus_pipeline.toxic(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL).filter("length(text) between 200 and 2000 and lang = 'en'")
+    prose, other = (r.text for r in clean.orderBy("doc_id").limit(2).collect())
+    rows = [(None, prose), (None, prose), (1, prose), (1, prose), (2, prose), (3, None), (4, ""), (None, None), (5, other)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "clash", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, n long")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda name: sorted((r.doc_id or 0, r.text or "") for r in stages[name](spark, docs, SMALL).collect())
+    whole = sorted((i or 0, t or "") for i, t in rows)
+    assert ids("language ID") == [x for x in whole if x[1]]
+    assert ids("toxicity") == whole
+    assert ids("MinHash near-dedup") == [x for x in whole if x[0] != 2]
+    assert len(ids("suffix-array dedup")) == len(rows)
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.packed(spark, docs, SMALL).collect()) == [i for i, _ in whole]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0, name
