@@ -12,11 +12,17 @@ a document with more tokens that occur nowhere else than that leaves at once.
 2. In lists of at most ``SMALL`` members, every pair across components is
    compared.
 3. A longer list is never paired out.  Its members are described by what they
-   do *not* have in common with the hub h: the difference set of x and h.  Sets x and y of different components can only be similar enough if
-   their difference sets overlap (otherwise both are as close to h, and linked
-   with it), by an amount that follows from the sizes.  Prefix filtering by
-   that amount, on difference shingles in order of rarity, leaves few pairs
-   however long the list is, and loses none.
+   do *not* have in common with the hub h: a member x *adds* shingles that h
+   has not, and *lacks* some of h's.  Sets x and y of different components can
+   only be similar enough if they add or lack something in common (otherwise
+   both are as close to h, and linked with it).  What all members lack, h's own
+   words, says nothing about them and needs no posting: its part of the overlap
+   is bounded by how much each lacks.  So members are posted under what they
+   add, prefix-filtered by the overlap that is then still needed, in order of
+   rarity; under what they lack only for pairs that need add nothing in common,
+   of which one adds little itself.  A list that is still long after that gets
+   a hub of its own, its smallest member, and is described anew; the smallest
+   member of a group lacks least of what the others have.
 
 Candidate pairs whose signatures collide ``MATCHES`` times are confirmed on the
 full sets, which are made again from the texts.  A pair of the least
@@ -48,6 +54,8 @@ COORDINATES, MATCHES = 64, 34
 GROUP = 1000
 #: Lists of at most so many members are paired out across components.
 SMALL = 32
+#: Lists of differences with more members get a hub of their own, so many times at most.
+HOT, ROUNDS = 64, 4
 
 _RNG = np.random.default_rng(20)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -194,9 +202,9 @@ def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (``a``: the hub, ``b``, ``n``: the size of its set), and whether they are ``linked``.
 
-    Where ``wide``, ``differences`` has the shingles that only one of both
-    has.  Rows are grouped by hub, in salted groups of about ``GROUP``; a
-    group's first row is the hub.
+    Where ``wide``, ``adds`` has the shingles that only b has, and ``lacks``
+    those that only the hub has.  Rows are grouped by hub, in salted groups of
+    about ``GROUP``; a group's first row is the hub.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(False).alias("wide"))
@@ -205,10 +213,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
 
     def table(found):
-        *columns, lists = zip(*found, strict=True)
-        ends = np.cumsum([0] + [len(x) for x in lists])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists).view(np.int64)))
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["a", "b", "n", "linked", "differences"])
+        *columns, adds, lacks = zip(*found, strict=True)
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in own]), pa.int32()), pa.array(np.concatenate(own).view(np.int64))) for own in (adds, lacks)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["a", "b", "n", "linked", "adds", "lacks"])
 
     def run(batches):
         hub, none = None, np.zeros(0, np.uint64)
@@ -220,17 +227,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                     if a == b:
                         hub = own
                         continue
-                    apart = np.setxor1d(hub, own, assume_unique=True)
-                    linked = (100 + percent) * len(apart) <= (100 - percent) * (len(hub) + len(own))
-                    found.append((a, b, len(own), linked, apart if wide else none))
-                    held += len(found[-1][-1])
+                    adds, lacks = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+                    linked = (100 + percent) * (len(adds) + len(lacks)) <= (100 - percent) * (len(hub) + len(own))
+                    found.append((a, b, len(own), linked, adds if wide else none, lacks if wide else none))
+                    held += len(found[-1][-1]) + len(found[-1][-2])
                     if held > 1 << 20:
                         yield table(found)
                         found, held = [], 0
                 if found:
                     yield table(found)
 
-    return rows.mapInArrow(run, "a long, b long, n long, linked boolean, differences array<long>")
+    return rows.mapInArrow(run, "a long, b long, n long, linked boolean, adds array<long>, lacks array<long>")
 
 
 def rooted(df: DataFrame, roots: DataFrame, node: str) -> DataFrame:
@@ -248,30 +255,77 @@ def across_small(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("rep").alias("a"), "b").distinct()
 
 
-def across_long(gauged: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a b`` across components among the sets compared with one hub, that can be similar enough.
+def described(gauged: DataFrame, percent: int) -> DataFrame:
+    """Postings ``a element adds b n m h root left anchor`` of the members of each hub's group.
 
-    ``gauged``: ``a`` (the hub), ``b``, ``n``, ``differences``, ``root`` (of b).
-    Sets x and y with difference sets of sizes d(x) and d(y) differ in
-    d(x) + d(y) - 2c shingles, c being the differences' overlap; that is at
-    most the given share of n(x) + n(y).  Of a pair with overlap c, the first
+    ``gauged``: ``a`` (the hub), ``b``, ``n``, ``adds``, ``lacks``, ``root``
+    (of b).  ``m`` and ``h`` are the sizes of what b adds and lacks.  With p for
+    the share, similar x and y have |x \\ y| <= (1 - p) n(x), so that all but
+    so many of x's additions are y's too; and x lacks at most (1 - p) n(y) <=
+    (1 - p) / p n(x) that y does not lack.  Of a pair with overlap c, the first
     common element leaves at least c elements of either from there on.
     """
-    own = gauged.select("a", "b", "n", F.size("differences").alias("d"), "root", F.explode("differences").alias("element"))
-    live = own.groupBy("a", "element").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    ordered = own.join(live.select("a", "element", "df"), ["a", "element"]).groupBy("a", "b").agg(
-        F.first("n").alias("n"), F.first("d").alias("d"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("df", "element"))).alias("own")
-    )
-    # elements that only one component has stand first and meet nothing
-    placed = ordered.select("a", "b", "n", "d", "root", F.size("own").alias("live"), F.posexplode("own").alias("at", "e"))
+    m, h = F.size("adds").alias("m"), F.size("lacks").alias("h")
+    each = gauged.select("a", "b", "n", m, h, "root", F.explode(F.array(F.struct(F.lit(True).alias("adds"), F.col("adds").alias("own")), F.struct(F.lit(False).alias("adds"), F.col("lacks").alias("own")))).alias("x"))
+    each = each.select("a", "b", "n", "m", "h", "root", "x.adds", "x.own").withColumn("anchor", (100 + percent) * F.col("m") <= (100 - percent) * F.col("n"))
+    each = each.filter(F.col("adds") | (100 * F.col("m") <= (100 - percent) * F.col("n")))
+    own = each.select("a", "b", "n", "m", "h", "root", "adds", "anchor", F.explode("own").alias("element"))
+    counted = own.groupBy("a", "element").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y"), F.max(F.col("adds") | F.col("anchor")).alias("led"))
+    live = counted.filter("x <> y and led").select("a", "element", "df")
+    member = ("n", "m", "h", "root", "anchor")
+    ordered = own.join(live, ["a", "element"]).groupBy("a", "b", "adds").agg(*(F.first(c).alias(c) for c in member), F.sort_array(F.collect_list(F.struct("df", "element"))).alias("own"))
+    # elements that only one component has meet nothing and are left out of the order
+    placed = ordered.select("a", "b", "adds", *member, F.size("own").alias("live"), F.posexplode("own").alias("at", "e"))
+    needed = F.when(F.col("adds"), F.col("m") - F.col("n") * (100 - percent) / 100).otherwise(F.col("h") - F.col("n") * (100 - percent) / percent)
     left = (F.col("live") - F.col("at")).alias("left")
-    least = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * (100 - percent) / percent))
-    placed = placed.select("a", "b", "n", "d", "root", F.col("e.element").alias("element"), left, least.alias("least")).filter(F.col("left") >= F.col("least")).drop("least")
-    placed = common.written(placed, "placed")
-    other = placed.select("a", "element", *(F.col(c).alias(f"b_{c}") for c in ("b", "n", "d", "root", "left")))
-    enough = 2 * (100 + percent) * F.least("left", "b_left") >= (100 + percent) * (F.col("d") + F.col("b_d")) - (100 - percent) * (F.col("n") + F.col("b_n"))
-    pairs = placed.join(other, ["a", "element"]).filter((F.col("b") < F.col("b_b")) & (F.col("root") != F.col("b_root")) & enough)
-    return pairs.select(F.col("b").alias("a"), F.col("b_b").alias("b")).distinct()
+    return placed.select("a", F.col("e.element").alias("element"), "adds", "b", *member, left, needed.alias("needed")).filter(F.col("left") >= F.greatest(F.lit(1), F.ceil("needed"))).drop("needed")
+
+
+def paired(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a b`` across components that share an element of ``placed`` and can be similar enough."""
+    other = placed.select("a", "element", *(F.col(c).alias(f"b_{c}") for c in ("b", "n", "m", "h", "root", "left", "anchor")))
+    pairs = placed.join(other, ["a", "element"]).filter((F.col("root") != F.col("b_root")) & (F.col("adds") & (F.col("b") < F.col("b_b")) | ~F.col("adds") & F.col("anchor")))
+    apart = F.col("m") + F.col("b_m") + F.abs(F.col("h") - F.col("b_h")) - 2 * F.least("left", "b_left")
+    lacking = F.col("m") + F.col("b_m") + F.col("h") + F.col("b_h") - 2 * F.least("left", "b_left")
+    enough = (100 + percent) * F.when(F.col("adds"), apart).otherwise(lacking) <= (100 - percent) * (F.col("n") + F.col("b_n"))
+    alike = 100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")
+    return pairs.filter(enough & alike).select(F.least("b", "b_b").alias("a"), F.greatest("b", "b_b").alias("b")).distinct()
+
+
+def rehubbed(hot: DataFrame) -> DataFrame:
+    """``a b``: the hub of each list in ``hot``, its smallest member, with every other member.
+
+    A list takes the smallest hub that any list of its members has, so that
+    lists of the same members share one.
+    """
+    lists = hot.groupBy("a", "element").agg(F.min(F.struct("n", "b")).alias("least"))
+    best = hot.join(lists, ["a", "element"]).groupBy("a", "b").agg(F.min("least").alias("best"))
+    hubs = hot.join(best, ["a", "b"]).groupBy("a", "element").agg(F.min("best")["b"].alias("hub"))
+    return hot.join(hubs, ["a", "element"]).filter("hub <> b").select(F.col("hub").alias("a"), "b").distinct()
+
+
+def across_long(gauged: DataFrame, roots: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a b`` across components among the sets compared with one hub, that can be similar enough; and the components by now.
+
+    Lists of more than ``HOT`` members are taken out and described by a hub of
+    their own, ``ROUNDS`` times at most; what is then still long is paired.
+    """
+    pairs = None
+    for turn in range(ROUNDS + 1):
+        placed = common.written(described(rooted(gauged, roots, "b"), percent), "placed")
+        sizes = placed.groupBy("a", "element").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+        hot = sizes.filter(F.col("size") > HOT).select("a", "element") if turn < ROUNDS else sizes.limit(0).select("a", "element")
+        hot = common.written(hot, "hot")
+        found = common.written(paired(placed.join(hot, ["a", "element"], "left_anti"), percent), "pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if turn == ROUNDS or hot.isEmpty():
+            common.dropped(placed, hot)
+            return pairs.distinct(), roots
+        stars = common.written(rehubbed(placed.join(hot, ["a", "element"])).withColumn("wide", F.lit(True)), "hubs")
+        gauged = common.written(confirmed(stars, docs, words, percent), "gauged")
+        roots = graph.components(gauged.filter("linked").select("a", "b"), roots)
+        common.dropped(placed, hot, stars)
+    raise AssertionError
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -287,13 +341,14 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     roots = graph.components(gauged.filter("linked").select("a", "b"))
 
     small = common.written(rooted(posted.filter(F.col("size") <= SMALL).select(F.xxhash64("token", "band").alias("token"), "rep", "n"), roots, "rep"), "small")
-    apart = common.written(rooted(gauged.filter(F.size("differences") > 0), roots, "b"), "apart")
+    apart = gauged.filter((F.size("adds") > 0) | (F.size("lacks") > 0))
     known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_ = across_small(small, percent).unionByName(across_long(apart, percent)).distinct()
+    far, roots = across_long(apart, roots, docs, words, percent)
+    open_ = across_small(small, percent).unionByName(far).distinct()
     open_ = common.written(open_.join(known, ["a", "b"], "left_anti"), "open")
     matched = common.written(matching(open_, classes).withColumn("wide", F.lit(False)), "matched")
     judged = common.written(confirmed(matched, docs, words, percent), "judged")
-    common.dropped(posted, wide, small, apart)
+    common.dropped(posted, wide, small, near, gauged, open_, matched)
     return graph.components(judged.filter("linked").select("a", "b"), roots)
 
 

@@ -356,3 +356,44 @@ def test_neardup_in_long_lists(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = by_id(neardup.components(docs, words=2))
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.components(texts, 2)
+
+
+def template_pages(n, own, base=100, seed=0):
+    """Pages of one template with words of their own: too far apart for links, but in the same posting lists."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(base)]
+    out = {}
+    for d in range(n):
+        k = own if isinstance(own, int) else rng.choice(own)
+        page = words[:]
+        for j in range(k):
+            page.insert(rng.randrange(len(page)) if seed else len(page), f"u{d}x{j}")
+        out[d] = " ".join(page)
+    return out
+
+
+@pytest.mark.parametrize("own", [26, 18, (2, 9, 14, 20, 30)])
+def test_neardup_template_pages(spark, own):
+    texts = template_pages(150, own) | {1000 + d: t for d, t in template_pages(60, 4, seed=3).items()}
+    got = by_id(neardup.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.components(texts, 2)
+
+
+def test_neardup_work_on_template_pages(spark, monkeypatch):
+    """Joined pairs grow in proportion with a group of pages that are alike but not linked."""
+    made, count = {}, {}
+    real_paired = neardup.paired
+
+    def joined(placed, percent):
+        lists = placed.groupBy("a", "element").count()
+        made["pairs"] = made.get("pairs", 0) + sum(r["count"] ** 2 for r in lists.collect())
+        return real_paired(placed, percent)
+
+    monkeypatch.setattr(neardup, "paired", joined)
+    for n in (200, 400, 800, 1600):
+        made.clear()
+        texts = template_pages(n, 26)
+        got = neardup.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2)
+        assert got.filter("kept").count() == n
+        count[n] = made["pairs"]
+    assert all(count[2 * n] <= 2.2 * count[n] + 2000 for n in (200, 400, 800)), count
