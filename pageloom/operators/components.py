@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names; only where it is unset, on one machine, to a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pageloom-"))
-    return df.checkpoint()
+from .shared import dropped, kept
 
 
 def ink_runs(rows: DataFrame) -> DataFrame:
@@ -24,27 +16,53 @@ def ink_runs(rows: DataFrame) -> DataFrame:
     return out.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("y", "l")).alias("run"), "y", "l", "r")
 
 
+def touching(runs: DataFrame, reach: int) -> DataFrame:
+    """``page_id run other``: runs of neighbouring rows that overlap (reach 0), or meet at a corner at least (1).
+
+    Two rows' runs are swept together in the order of their ends, so that none
+    are paired that do not touch: as runs of one row are disjoint, those that
+    a run touches in the row below are consecutive there.  The row below is
+    numbered; how many of its runs end before a run begins, and begin before
+    it ends, are running counts over both rows' ends.
+    """
+    place = Window.partitionBy("page_id", "y").orderBy("l")
+    own = runs.withColumn("k", F.row_number().over(place))
+    event = lambda y, at, low, kind: F.struct(y.alias("y"), at.alias("at"), F.lit(low).alias("low"), F.lit(kind).alias("kind"))
+    y, l, r = F.col("y"), F.col("l").cast("long"), F.col("r").cast("long")
+    # a run below ends before x where r <= x - reach, and begins before x where l < x + reach
+    events = own.select("page_id", "run", F.inline(F.array(
+        event(y - 1, r + reach, 0, "ended"), event(y, l, 1, "from"), event(y, r, 2, "to"), event(y - 1, l - reach, 3, "begun"),
+    )))
+    upto = Window.partitionBy("page_id", "y").orderBy("at", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended, begun = (F.sum((F.col("kind") == k).cast("int")).over(upto).alias(k) for k in ("ended", "begun"))
+    counted = events.select("page_id", "y", "run", "kind", ended, begun).filter("kind in ('from', 'to')")
+    ends = counted.groupBy("page_id", "y", "run").agg(F.max(F.when(F.col("kind") == "from", F.col("ended"))).alias("lo"), F.max(F.when(F.col("kind") == "to", F.col("begun"))).alias("hi")).filter("hi > lo")
+    wanted = ends.select("page_id", (F.col("y") + 1).alias("y"), "run", F.explode(F.sequence((F.col("lo") + 1).cast("int"), F.col("hi").cast("int"))).alias("k"))
+    return wanted.join(own.select("page_id", "y", "k", F.col("run").alias("other")), ["page_id", "y", "k"]).select("page_id", "run", "other")
+
+
 def labelled(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     """``runs`` with ``label``, the first run of each run's component.
 
     Runs in neighbouring rows touch where they overlap, with connectivity 8
     also where they meet at a corner.  Each round takes the least label among
     neighbours and then that label's own label, so rounds are few; each is
-    checkpointed in the shared folder.
+    written to the shared folder and the one before deleted.
     """
-    reach = 1 if connectivity == 8 else 0
     runs = kept(runs)
-    below = runs.select("page_id", F.col("run").alias("other"), (F.col("y") - 1).alias("y"), F.col("l").alias("l2"), F.col("r").alias("r2"))
-    down = runs.join(below, ["page_id", "y"]).filter((F.col("l") < F.col("r2") + reach) & (F.col("l2") < F.col("r") + reach)).select("page_id", "run", "other")
+    down = touching(runs, 1 if connectivity == 8 else 0)
     links = kept(down.unionByName(down.select("page_id", F.col("other").alias("run"), F.col("run").alias("other"))))
-    labels = runs.select("page_id", "run", F.col("run").alias("label"))
+    own, labels = None, runs.select("page_id", "run", F.col("run").alias("label"))
     while True:
         near = links.join(labels.select("page_id", F.col("run").alias("other"), F.col("label").alias("theirs")), ["page_id", "other"]).groupBy("page_id", "run").agg(F.min("theirs").alias("theirs"))
-        own = labels.join(near, ["page_id", "run"], "left").select("page_id", "run", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label")).alias("label"))
-        jump = own.select("page_id", F.col("run").alias("label"), F.col("label").alias("further"))
-        own = kept(own.join(jump, ["page_id", "label"]).select("page_id", "run", "old", F.col("further").alias("label")))
-        labels = own.drop("old")
+        next_ = labels.join(near, ["page_id", "run"], "left").select("page_id", "run", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label")).alias("label"))
+        jump = next_.select("page_id", F.col("run").alias("label"), F.col("label").alias("further"))
+        next_ = kept(next_.join(jump, ["page_id", "label"]).select("page_id", "run", "old", F.col("further").alias("label")))
+        if own is not None:
+            dropped(own)
+        own, labels = next_, next_.drop("old")
         if own.filter("old <> label").isEmpty():
+            dropped(links)
             return runs.join(labels, ["page_id", "run"])
 
 

@@ -53,39 +53,40 @@ def merged(spans: DataFrame, *keys: str) -> DataFrame:
     return own.withColumn("span", F.sum("new").over(order)).groupBy(*keys, "span").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("span")
 
 
-def valleys(inked: DataFrame) -> DataFrame:
-    """``page_id s e first last``: gaps between a page's spans (page_id s e), and the ends of its ink."""
-    page = Window.partitionBy("page_id")
-    own = merged(inked, "page_id").withColumn("first", F.min("s").over(page)).withColumn("last", F.max("e").over(page))
+def valleys(inked: DataFrame, *keys: str) -> DataFrame:
+    """``s e first last`` of each key: gaps between its spans (s e), and the ends of its ink."""
+    page = Window.partitionBy(*keys)
+    own = merged(inked, *keys).withColumn("first", F.min("s").over(page)).withColumn("last", F.max("e").over(page))
     gap = own.withColumn("next", F.lead("s").over(page.orderBy("s"))).filter("next is not null")
-    return gap.select("page_id", F.col("e").alias("s"), F.col("next").alias("e"), "first", "last")
+    return gap.select(*keys, F.col("e").alias("s"), F.col("next").alias("e"), "first", "last")
 
 
 #: Least share of the widest gap in a family of gutters, and least share of the mean column that the widest takes.
 GUTTER_SHARE, GUTTER_COLUMN = 0.6, 0.05
 
 
-def axis_cuts(inked: DataFrame, extents: DataFrame, share: float = 0.015, least: int = 24, gutters: bool = True) -> DataFrame:
-    """``page_id cut thickness``: where a page parts along an axis, and its thickest gap.
+def axis_cuts(inked: DataFrame, extents: DataFrame, share: float = 0.015, least: int = 24, gutters: Column | bool = True, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``cut thickness`` of each key: where its area parts along an axis, and its thickest gap.
 
-    ``inked``: page_id s e; ``extents``: page_id extent.  A gap counts if it
+    ``inked``: keys s e; ``extents``: keys extent.  A gap counts if it
     takes ``share`` of the extent; if none does, gaps near the widest count
     where there are two at least.  On both sides of it ``least`` pixels must
     lie up to the next gap that counts.
     """
-    page, order = Window.partitionBy("page_id"), Window.partitionBy("page_id").orderBy("s")
+    page, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("s")
     single = lambda v: F.lit(v).cast("float")
+    gutters = F.lit(gutters) if isinstance(gutters, bool) else gutters
     width, extent = F.col("e") - F.col("s"), F.col("extent").cast("float")
-    own = valleys(inked).join(extents, "page_id").withColumn("wide", width >= F.greatest(F.ceil(single(share) * extent), F.lit(1)))
+    own = valleys(inked, *keys).join(extents, list(keys)).withColumn("wide", width >= F.greatest(F.ceil(single(share) * extent), F.lit(1)))
     own = own.withColumn("any", F.max("wide").over(page)).withColumn("widest", F.max(width).over(page))
     own = own.withColumn("family", width.cast("float") >= single(GUTTER_SHARE) * F.col("widest").cast("float"))
     own = own.withColumn("n", F.count(F.when(F.col("family"), 1)).over(page))
     column = (extent / (F.col("n") + 1).cast("float")).cast("float")
-    second = F.col("family") & (F.col("n") >= 2) & (F.col("widest").cast("float") >= single(GUTTER_COLUMN) * column) & F.lit(gutters)
+    second = F.col("family") & (F.col("n") >= 2) & (F.col("widest").cast("float") >= single(GUTTER_COLUMN) * column) & gutters
     counted = own.filter(F.when(F.col("any"), F.col("wide")).otherwise(second))
     before, behind = F.coalesce(F.lag("e").over(order), "first"), F.coalesce(F.lead("s").over(order), "last")
     kept = counted.withColumn("before", F.col("s") - before).withColumn("behind", behind - F.col("e")).filter((F.col("before") >= least) & (F.col("behind") >= least))
-    return kept.select("page_id", F.expr("(s + e) div 2").alias("cut"), F.max(width).over(page).alias("thickness"))
+    return kept.select(*keys, F.expr("(s + e) div 2").alias("cut"), F.max(width).over(page).alias("thickness"))
 
 
 def table_cells(words: DataFrame) -> DataFrame:
