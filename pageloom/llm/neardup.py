@@ -55,7 +55,7 @@ GROUP = 1000
 #: Lists of at most so many members are paired out across components.
 SMALL = 32
 #: Lists of differences with more members get a hub of their own, so many times at most.
-HOT, ROUNDS = 64, 4
+HOT, ROUNDS = 512, 2
 
 _RNG = np.random.default_rng(20)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

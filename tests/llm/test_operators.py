@@ -372,8 +372,9 @@ def template_pages(n, own, base=100, seed=0):
     return out
 
 
-@pytest.mark.parametrize("own", [26, 18, (2, 9, 14, 20, 30)])
-def test_neardup_template_pages(spark, own):
+@pytest.mark.parametrize(("own", "hot"), [(26, 512), (18, 16), ((2, 9, 14, 20, 30), 512), ((2, 9, 14, 20, 30), 16)])
+def test_neardup_template_pages(spark, monkeypatch, own, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
     texts = template_pages(150, own) | {1000 + d: t for d, t in template_pages(60, 4, seed=3).items()}
     got = by_id(neardup.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2))
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.components(texts, 2)
