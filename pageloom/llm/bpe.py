@@ -25,24 +25,20 @@ import bisect
 import codecs
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import common
 
 NONE = np.int32(2**31 - 1)
-#: White space as Unicode defines it.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters for which the standard library's classes agree with Unicode's.
-PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u024f]*\Z")
+#: Characters that any version of Unicode classes and puts in lower case alike, one by one.
+PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]*\Z")
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_|[^\s\w])*|_(?:_|[^\s\w])*")
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Characters of text whose words are encoded together.
 PORTION = 1 << 18
 #: Distinct words whose ids a worker keeps.
@@ -69,6 +65,8 @@ class Merges:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.size = len(self.names)
         symbols = byte_symbols()
+        self.byte = {c: b for b, c in symbols.items()}
+        self.library = Tokenizer.from_file(path)
         self.inner = np.array([vocab[symbols[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[symbols[b] + end] for b in range(256)], np.int32)
         triples = []
@@ -211,13 +209,15 @@ class Merges:
             self.cache[w] = tuple(ids)
 
     def words(self, text: str) -> list[str]:
-        """Normalised words of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # letters change case one by one here: no final sigma
-                text = text.replace("Σ", "σ")
-        text = text.lower()
-        return (PLAIN_WORDS if PLAIN.match(text) else WORDS).findall(text)
+        """Normalised words of a text without special tokens.
+
+        Other characters than ``PLAIN`` ones are classed by the tokenizers
+        library itself, whose version of Unicode is the one that counts.
+        """
+        if PLAIN.match(text):
+            return PLAIN_WORDS.findall(text.lower())
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte.__getitem__, piece)).decode() for piece, _ in pieces]
 
     def split(self, text: str) -> list[str]:
         if self.marks is None or "<|" not in text:

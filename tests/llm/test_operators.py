@@ -97,6 +97,18 @@ def test_bpe(docs, texts, empty):
     assert bpe.round_trip(empty, queries.WORD_BPE).count() == 0
 
 
+def test_bpe_every_character():
+    """Each code point alone, within a word, after a composed letter and before a letter."""
+    exact, own = Tokenizer.from_file(queries.WORD_BPE), bpe.Merges(queries.WORD_BPE)
+    exact.no_padding()
+    exact.no_truncation()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(form.format(c) for c in points[i : i + 512]) for form in ("{}", "a{}1", "é{}", "{}b") for i in range(0, len(points), 512)]
+    ids, bounds = own.encode(texts)
+    for k, e in enumerate(exact.encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids, texts[k][:40]
+
+
 def test_warc(spark):
     html = {1: None, 2: "", 3: "<p>a</p>", 4: "<p>b</p>", 5: "<p>a</p>", 6: "<p>a</p>", 7: "é\n" * 9000}
     rows = [(p, None if p == 4 else f"http://www.x{p % 2}.org/a?b={p % 3}", h, "clash") for p, h in html.items()]
