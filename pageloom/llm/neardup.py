@@ -55,7 +55,7 @@ GROUP = 1000
 #: Lists of at most so many members are paired out across components.
 SMALL = 32
 #: Lists of differences with more members get a hub of their own, so many times at most.
-HOT, ROUNDS = 512, 2
+HOT, ROUNDS = 64, 1
 
 _RNG = np.random.default_rng(20)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -308,7 +308,8 @@ def across_long(gauged: DataFrame, roots: DataFrame, docs: DataFrame, words: int
     """Pairs ``a b`` across components among the sets compared with one hub, that can be similar enough; and the components by now.
 
     Lists of more than ``HOT`` members are taken out and described by a hub of
-    their own, ``ROUNDS`` times at most; what is then still long is paired.
+    their own, ``ROUNDS`` times at most (a second time was measured to part few
+    lists more); what is then still long is paired.
     """
     pairs = None
     for turn in range(ROUNDS + 1):

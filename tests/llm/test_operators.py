@@ -384,7 +384,7 @@ def template_pages(n, own, base=100, seed=0):
     return out
 
 
-@pytest.mark.parametrize(("own", "hot"), [(26, 512), (18, 16), ((2, 9, 14, 20, 30), 512), ((2, 9, 14, 20, 30), 16)])
+@pytest.mark.parametrize(("own", "hot"), [(26, neardup.HOT), (18, 8), ((2, 9, 14, 20, 30), neardup.HOT), ((2, 9, 14, 20, 30), 8)])
 def test_neardup_template_pages(spark, monkeypatch, own, hot):
     monkeypatch.setattr(neardup, "HOT", hot)
     texts = template_pages(150, own) | {1000 + d: t for d, t in template_pages(60, 4, seed=3).items()}
