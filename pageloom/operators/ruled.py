@@ -27,10 +27,11 @@ def decided(ink: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id nhb nvb nvw score`` of every page: horizontal and vertical rules, white corridors, and how many of four signs hold."""
     ink = kept(ink)
     across, down = lines = rules(ink)
-    text = kept(R.opened(R.closed(without_rules(ink, lines), 4, 1), 8, 1))
-    paper = kept(R.rank_reduced(R.inverted(text, pages), 1))
-    corridors = R.opened(paper, 1, CORRIDOR)
-    counts = [(across, "nhb", None), (down, "nvb", None), (corridors, "nvw", F.col("r") - F.col("l") >= CORRIDOR_WIDTH)]
+    text = R.opened(R.closed(without_rules(ink, lines), 4, 1), 8, 1)
+    # half size; a place is white if any of its four pixels is, so text is where all are; columns lie as rows
+    solid, half = R.transposed(R.rank_reduced(text, 4)), R.halved(pages).select("page_id", F.col("h").alias("w"), F.col("w").alias("h"))
+    corridors = R.inverted(solid, half).filter(F.col("r") - F.col("l") >= CORRIDOR)
+    counts = [(across, "nhb", None), (down, "nvb", None), (corridors, "nvw", F.col("b") - F.col("t") >= CORRIDOR_WIDTH)]
     out = pages.select("page_id")
     for own, name, where in counts:
         out = out.join(R.counted(own, where=where).withColumnRenamed("n", name), "page_id", "left")
@@ -61,6 +62,15 @@ def tables(ink: DataFrame, regions: DataFrame, ruled: bool = False) -> DataFrame
     return found.select("page_id.page_id", "page_id.region")
 
 
+def whole_tables(ink: DataFrame, rects: DataFrame) -> DataFrame:
+    """``page_id path`` of the rectangles (page_id path left top right bottom) that are tables: the ``whole`` of recursive cuts.
+
+    ``ink`` is the page as printed, with its rules, whatever page is cut.
+    """
+    regions = rects.select("page_id", F.col("path").alias("region"), F.col("left").alias("l"), F.col("top").alias("t"), F.col("right").alias("r"), F.col("bottom").alias("b"))
+    return tables(ink, regions).withColumnRenamed("region", "path")
+
+
 def has_rules() -> Column:
     return (F.col("nhb") > 1) | (F.col("nvb") > 2)
 

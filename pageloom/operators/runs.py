@@ -123,10 +123,20 @@ def halved(pages: DataFrame) -> DataFrame:
 
 
 def rank_reduced(runs: DataFrame, level: int) -> DataFrame:
-    """Ink where at least ``level`` pixels of a 2 x 2 box are; an odd edge is dropped."""
+    """Ink where at least ``level`` pixels of a 2 x 2 box are; an odd edge is dropped.
+
+    One or all four go by run ends, two and three by pixels of ink.
+    """
     half = lambda c: F.expr(f"{c} div 2").cast("int").alias(c)
-    inside = (F.col("x") < F.col("w") - F.col("w") % 2) & (F.col("y") < F.col("h") - F.col("h") % 2)
-    boxes = pixels(runs).filter(inside).groupBy("page_id", half("w"), half("h"), half("y"), half("x")).count()
+    own = runs.withColumn("r", F.least(F.col("r"), F.col("w") - F.col("w") % 2)).filter("y < h - h % 2 and r > l")
+    size = ("page_id", half("w"), half("h"))
+    if level == 1:
+        return merged(own.select(*size, half("y"), half("l"), F.expr("(r + 1) div 2").alias("r")))
+    if level == 4:
+        inner = own.select(*size, "y", F.expr("(l + 1) div 2").alias("l"), half("r")).filter("r > l")
+        upper, lower = (inner.filter(F.col("y") % 2 == k).withColumn("y", half("y")) for k in (0, 1))
+        return combined(upper, lower, lambda a, b: a & b)
+    boxes = pixels(own).groupBy(*size, half("y"), half("x")).count()
     return of_pixels(boxes.filter(F.col("count") >= level).drop("count"))
 
 

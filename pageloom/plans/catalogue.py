@@ -22,6 +22,12 @@ def query(sql: str):
     return keep
 
 
+def query_without_sql(f):
+    """Registers a query whose rows SQL cannot give within reason; its tests compare it with a plain version."""
+    QUERIES[f.__name__] = f
+    return f
+
+
 def _words(spark, d):
     return words(table(spark, d, "documents"))
 

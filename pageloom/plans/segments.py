@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import xycut
-from .catalogue import query
+from ..operators import blobs, ruled, runs, xycut
+from .catalogue import query, query_without_sql
 from .relations import table
 
 
@@ -60,3 +60,138 @@ def xy_cut(spark, d):
     """Recursive cuts of every customer's page, six levels deep."""
     ink = _plates(spark, d)
     return xycut.xy_cut(ink, ink.groupBy("page_id").agg((F.max("r") + 20).alias("w"), (F.max("b") + 20).alias("h")), least=10)
+
+
+def _components(spark, d) -> DataFrame:
+    """An order's items as components of letters, specks, bars and rules: ``page_id comp l t r b px``."""
+    k, part = F.col("l_linenumber"), F.col("l_partkey")
+    own = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page_id"), (F.col("l_orderkey") * 8 + k).alias("comp"), part.alias("p"), k.alias("k"), F.col("l_orderkey").alias("o"))
+    high = F.expr("CASE o % 11 WHEN 0 THEN 3 + p % 4 WHEN 1 THEN 60 + p % 700 WHEN 2 THEN 8 + p % 3 ELSE 14 + (p + page_id) % 13 END")
+    wide = F.expr("CASE o % 13 WHEN 5 THEN 150 + p % 100 ELSE 5 + (p + k) % 20 END")
+    sized = own.select("page_id", "comp", F.expr("p % 900").alias("l"), F.expr("o % 1200").alias("t"), high.alias("high"), wide.alias("wide"), F.expr("45 + (p + o) % 55").alias("share"))
+    first = sized.groupBy("page_id", "comp").agg(F.min(F.struct("l", "t", "high", "wide", "share")).alias("c"))  # line numbers may repeat
+    box = first.select("page_id", "comp", "c.l", "c.t", (F.col("c.l") + F.col("c.wide")).alias("r"), (F.col("c.t") + F.col("c.high")).alias("b"), F.expr("c.high * c.wide * c.share div 100").alias("px"))
+    return box.select("page_id", "comp", *(F.col(c).cast("int").alias(c) for c in "ltrb"), "px")
+
+
+BLOBS = """WITH every AS (SELECT l_suppkey AS page_id, l_orderkey * 8 + l_linenumber AS comp, l_partkey % 900 AS l, l_orderkey % 1200 AS t,
+  CASE l_orderkey % 11 WHEN 0 THEN 3 + l_partkey % 4 WHEN 1 THEN 60 + l_partkey % 700 WHEN 2 THEN 8 + l_partkey % 3 ELSE 14 + (l_partkey + l_suppkey) % 13 END AS h,
+  CASE l_orderkey % 13 WHEN 5 THEN 150 + l_partkey % 100 ELSE 5 + (l_partkey + l_linenumber) % 20 END AS w, 45 + (l_partkey + l_orderkey) % 55 AS share FROM lineitem),
+box AS (SELECT *, h * w * share // 100 AS px FROM (SELECT *, row_number() OVER (PARTITION BY page_id, comp ORDER BY l, t, h, w, share) AS k FROM every) WHERE k = 1),
+one AS (SELECT *, CASE WHEN h < 7 THEN 'noise' WHEN px >= h * w * 0.7::DOUBLE THEN 'small' ELSE 'blob' END AS c1 FROM box),
+x AS (SELECT page_id, coalesce(list_sort(list(least(h, 599)) FILTER (c1 = 'blob')), []) AS hs FROM one GROUP BY page_id),
+q AS (SELECT page_id, CASE WHEN len(hs) = 0 THEN 0 ELSE v + 1 - (len(list_filter(hs, lambda y: y <= v)) - greatest(1, 0.75::DOUBLE * len(hs))) / len(list_filter(hs, lambda y: y = v)) END::FLOAT AS x
+  FROM (SELECT *, hs[ceil(greatest(1, 0.75::DOUBLE * len(hs)))::INT] AS v FROM x)),
+lim AS (SELECT page_id, x, ceil(x::DOUBLE * 2.5) AS max_y, floor(x / 2) AS min_y, ceil(x::DOUBLE * 8) AS max_x FROM q),
+two AS (SELECT one.*, x, CASE WHEN c1 = 'noise' THEN 'noise' WHEN c1 = 'small' AND h > max_y THEN 'large' WHEN h < min_y THEN 'small' WHEN h > max_y OR w > max_x THEN 'large' ELSE 'blob' END AS class FROM one JOIN lim USING (page_id)),
+y AS (SELECT page_id, any_value(x) AS x, coalesce(list_sort(list(least(h, 599)) FILTER (class = 'blob')), []) AS hs FROM two GROUP BY page_id),
+u AS (SELECT page_id, x, CASE WHEN len(hs) = 0 THEN 0 ELSE v + 1 - (len(list_filter(hs, lambda y: y <= v)) - greatest(1, 0.9::DOUBLE * len(hs))) / len(list_filter(hs, lambda y: y = v)) END::FLOAT AS ile
+  FROM (SELECT *, hs[ceil(greatest(1, 0.9::DOUBLE * len(hs)))::INT] AS v FROM y)),
+ln AS (SELECT page_id, CASE WHEN m = 0 THEN 1 ELSE m END AS m FROM (SELECT page_id, greatest(x, (ile::DOUBLE * (0.5 / 0.75))::FLOAT) AS m FROM u))"""
+
+
+@query(BLOBS + " SELECT page_id, comp, class FROM two")
+def blob_classes(spark, d):
+    """Components of every page sorted into blobs, noise, small and large."""
+    return blobs.sorted_out(_components(spark, d))[0].select("page_id", "comp", "class")
+
+
+@query(BLOBS + " SELECT page_id, round((m::DOUBLE * 1.25)::FLOAT::DOUBLE, 3) AS line_size, round((m::DOUBLE * 2.5)::FLOAT::DOUBLE, 3) AS line_spacing, round(((m::DOUBLE * 1.25)::FLOAT::DOUBLE * 1.3)::FLOAT::DOUBLE, 3) AS max_blob FROM ln")
+def blob_line_sizes(spark, d):
+    """The height and spacing of lines that each page's blobs suggest."""
+    lines = blobs.sorted_out(_components(spark, d))[1]
+    return lines.select("page_id", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("line_size", "line_spacing", "max_blob")))
+
+
+WIDE, HIGH = 150, 230
+
+
+def _forms(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A supplier's page with rules across and down, words at odd places or words in columns; and the pages' sizes."""
+    s = F.col("s_suppkey")
+    own = table(spark, d, "supplier").select(s.alias("page_id"))
+    box = lambda l, t, r, b: F.struct(*(F.expr(x).cast("int").alias(c) for x, c in zip((l, t, r, b), "ltrb", strict=True)))
+    each = lambda n, make: F.transform(F.filter(F.sequence(F.lit(0), F.lit(59)), lambda i: i < F.expr(n)), make)
+    across = each("page_id % 5", lambda i: F.struct(F.lit(4).alias("l"), (15 + 30 * i).alias("t"), F.lit(145).alias("r"), (17 + 30 * i).alias("b")))
+    down = each("page_id div 5 % 5", lambda i: F.struct((8 + 28 * i).alias("l"), F.lit(6).alias("t"), (10 + 28 * i).alias("r"), F.lit(225).alias("b")))
+    p = F.col("page_id").cast("int")
+    odd = each("CASE WHEN page_id % 4 = 3 THEN 0 ELSE 20 + page_id % 13 END", lambda i: F.struct(((i * 37 + p * 11) % 136).alias("l"), ((i * 23 + p * 5) % 222).alias("t"), ((i * 37 + p * 11) % 136 + 3 + (i + p) % 10).alias("r"), ((i * 23 + p * 5) % 222 + 3).alias("b")))
+    even = each("CASE WHEN page_id % 4 = 3 THEN 60 ELSE 0 END", lambda i: F.struct((3 + 21 * (i % 7)).alias("l"), (2 + 24 * F.floor(i / 7).cast("int")).alias("t"), (12 + 21 * (i % 7)).alias("r"), (22 + 24 * F.floor(i / 7).cast("int")).alias("b")))
+    ink = own.select("page_id", F.inline(F.concat(across, down, odd, even)))
+    return ink, own.select("page_id", F.lit(WIDE).alias("w"), F.lit(HIGH).alias("h"))
+
+
+def _form_runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    boxes, pages = _forms(spark, d)
+    return runs.of_boxes(boxes, pages), pages
+
+
+FORMS = f"""WITH RECURSIVE sup AS (SELECT s_suppkey AS page_id, CAST(s_suppkey AS INT) AS p FROM supplier),
+bx AS (SELECT page_id, 4 AS l, 15 + 30 * i AS t, 145 AS r, 17 + 30 * i AS b FROM (SELECT *, unnest(range(p % 5)) AS i FROM sup)
+  UNION ALL SELECT page_id, 8 + 28 * i, 6, 10 + 28 * i, 225 FROM (SELECT *, unnest(range(p // 5 % 5)) AS i FROM sup)
+  UNION ALL SELECT page_id, (i * 37 + p * 11) % 136, (i * 23 + p * 5) % 222, (i * 37 + p * 11) % 136 + 3 + (i + p) % 10, (i * 23 + p * 5) % 222 + 3 FROM (SELECT *, unnest(range(CASE WHEN p % 4 = 3 THEN 0 ELSE 20 + p % 13 END)) AS i FROM sup)
+  UNION ALL SELECT page_id, 3 + 21 * (i % 7), 2 + 24 * (i // 7), 12 + 21 * (i % 7), 22 + 24 * (i // 7) FROM (SELECT *, unnest(range(CASE WHEN p % 4 = 3 THEN 60 ELSE 0 END)) AS i FROM sup)),
+px AS (SELECT DISTINCT page_id, x, y FROM (SELECT page_id, unnest(range(l, least(r, {WIDE}))) AS x, t, b FROM bx), LATERAL (SELECT unnest(range(t, least(b, {HIGH}))) AS y))"""
+
+
+def opening(out: str, own: str, least: int, axis: str) -> str:
+    """SQL of the pixels in lines of at least ``least`` pixels along an axis."""
+    other = {"x": "y", "y": "x"}[axis]
+    return f""",
+{out} AS (SELECT page_id, x, y FROM (SELECT *, count(*) OVER (PARTITION BY page_id, {other}, i) AS n FROM (SELECT *, {axis} - row_number() OVER (PARTITION BY page_id, {other} ORDER BY {axis}) AS i FROM {own})) WHERE n >= {least})"""
+
+
+def closing(out: str, own: str, brick: int, axis: str) -> str:
+    """SQL of the pixels with gaps shorter than the brick filled along an axis."""
+    other = {"x": "y", "y": "x"}[axis]
+    span = f"SELECT page_id, {other}, unnest(range({axis}, CASE WHEN lead({axis}) OVER q - {axis} <= {brick} THEN lead({axis}) OVER q ELSE {axis} + 1 END)) AS {axis} FROM {own} WINDOW q AS (PARTITION BY page_id, {other} ORDER BY {axis})"
+    return f""",
+{out} AS (SELECT page_id, x, y FROM ({span}))"""
+
+
+def spots(out: str, own: str) -> str:
+    """SQL of the components of pixels: ``{out}`` has the runs of rows with the first run that each is connected with."""
+    return f""",
+{out}_r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, l) AS k FROM (SELECT page_id, y, min(x) AS l, max(x) + 1 AS r FROM (SELECT *, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS i FROM {own}) GROUP BY page_id, y, i)),
+{out}_l AS (SELECT a.page_id, a.k AS a, b.k AS b FROM {out}_r a JOIN {out}_r b ON a.page_id = b.page_id AND abs(a.y - b.y) = 1 AND a.l <= b.r AND b.l <= a.r),
+{out}_c AS (SELECT page_id, k, k AS seen FROM {out}_r UNION SELECT c.page_id, c.k, l.b FROM {out}_c c JOIN {out}_l l ON c.page_id = l.page_id AND c.seen = l.a),
+{out} AS (SELECT r.*, label FROM {out}_r r JOIN (SELECT page_id, k, min(seen) AS label FROM {out}_c GROUP BY ALL) m USING (page_id, k))"""
+
+
+RULES = FORMS + opening("o1", "px", 100, "x") + closing("h", "o1", 4, "y") + opening("o2", "px", 100, "y") + closing("v", "o2", 4, "x") + """,
+line AS (SELECT * FROM h UNION SELECT * FROM v),
+hit AS (SELECT px.* FROM px SEMI JOIN line USING (page_id, x, y) UNION SELECT px.* FROM px JOIN hit ON px.page_id = hit.page_id AND px.x BETWEEN hit.x - 1 AND hit.x + 1 AND px.y BETWEEN hit.y - 1 AND hit.y + 1),
+rest AS (SELECT px.* FROM px ANTI JOIN hit USING (page_id, x, y))"""
+
+DECIDED = RULES + closing("t1", "rest", 4, "x") + opening("t2", "t1", 8, "x") + f""",
+dark AS (SELECT page_id, x // 2 AS x, y // 2 AS y FROM t2 WHERE x < {WIDE // 2 * 2} AND y < {HIGH // 2 * 2} GROUP BY page_id, x // 2, y // 2 HAVING count(*) = 4),
+half AS (SELECT page_id, x, y FROM sup, (SELECT unnest(range({WIDE // 2})) AS x), (SELECT unnest(range({HIGH // 2})) AS y)), pale AS (SELECT half.* FROM half ANTI JOIN dark USING (page_id, x, y))""" + opening("lane_y", "pale", 100, "y") + """,
+lane AS (SELECT page_id, y AS x, x AS y FROM lane_y)""" + """,
+side AS (SELECT page_id, y AS x, x AS y FROM v)""" + spots("sh", "h") + spots("sv", "side") + spots("sw", "lane") + """,
+n AS (SELECT page_id, (SELECT count(DISTINCT label) FROM sh WHERE sh.page_id = sup.page_id) AS nhb, (SELECT count(DISTINCT label) FROM sv WHERE sv.page_id = sup.page_id) AS nvb,
+  (SELECT count(*) FROM (SELECT label FROM sw WHERE sw.page_id = sup.page_id GROUP BY label HAVING max(y) + 1 - min(y) >= 5)) AS nvw FROM sup),
+d AS (SELECT *, (nhb > 1)::INT + (nvb > 2)::INT + (nvw > 3)::INT + (nvw > 6)::INT AS score FROM n)"""
+
+
+@query(DECIDED + " SELECT page_id, nhb::INT AS nhb, nvb::INT AS nvb, nvw::INT AS nvw, score, score >= 2 AS is_table, score >= 2 AND (nhb > 1 OR nvb > 2) AS is_ruled FROM d")
+def table_decisions(spark, d):
+    """Rules, corridors and the table score of every page."""
+    table_ = F.col("score") >= ruled.SCORE
+    return ruled.decided(*_form_runs(spark, d)).withColumn("is_table", table_).withColumn("is_ruled", table_ & ruled.has_rules())
+
+
+@query(RULES + " SELECT page_id, y::INT AS y, count(*) AS ink, min(x)::INT AS first, max(x)::INT AS \"last\" FROM rest GROUP BY page_id, y")
+def without_rules(spark, d):
+    """Each row's ink on pages whose rules, and what touches them, are taken off."""
+    own = ruled.without_rules(_form_runs(spark, d)[0])
+    return own.groupBy("page_id", "y").agg(F.sum(F.col("r") - F.col("l")).alias("ink"), F.min("l").alias("first"), (F.max("r") - 1).alias("last"))
+
+
+@query_without_sql
+def xy_cut_tables(spark, d):
+    """Recursive cuts of the forms, which leave whole what is a table on the page as printed."""
+    boxes, pages = _forms(spark, d)
+    ink = runs.of_boxes(boxes, pages)
+    clean = ruled.without_rules(ink)
+    lines = clean.select("page_id", "l", F.col("y").alias("t"), "r", (F.col("y") + 1).alias("b"))
+    return xycut.xy_cut(lines, pages, least=10, whole=lambda rects: ruled.whole_tables(ink, rects))

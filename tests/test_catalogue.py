@@ -25,7 +25,7 @@ def rows(df: pd.DataFrame) -> list:
     return sorted((tuple(norm(x) for x in r) for r in df.astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(catalogue.SQL))
 def test_same_rows(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SF).toPandas()
     want = duck.sql(catalogue.SQL[name]).df()

@@ -1,12 +1,17 @@
 """Recursive cuts: hand-made pages and random ones against a plain recursion over pixels."""
 
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import components, xycut
+sys.path.insert(0, str(Path(__file__).parent))
+import test_runs as grids_  # noqa: E402
+
+from pageloom.operators import components, ruled, xycut  # noqa: E402
 
 
 def axis(inked, share, least, gutters):
@@ -28,8 +33,8 @@ def axis(inked, share, least, gutters):
     return (max(b - a for a, b in good), [(a + b) // 2 for a, b in good]) if good else None
 
 
-def plain(grid, depth, share, least, ink_share=0.0, box=None):
-    """Leaves of a 0/1 grid in reading order."""
+def plain(grid, depth, share, least, ink_share=0.0, box=None, whole=None):
+    """Leaves of a 0/1 grid in reading order; ``whole(box)`` says what is not cut."""
     l, t, r, b = box or (0, 0, grid.shape[1], grid.shape[0])
     part = grid[t:b, l:r]
 
@@ -37,7 +42,7 @@ def plain(grid, depth, share, least, ink_share=0.0, box=None):
         ys, xs = np.nonzero(part)
         return [(l + int(xs.min()), t + int(ys.min()), l + int(xs.max()) + 1, t + int(ys.max()) + 1)] if len(xs) else []
 
-    if depth == 0 or r - l < least or b - t < least:
+    if depth == 0 or r - l < least or b - t < least or whole is not None and whole((l, t, r, b)):
         return leaf()
     share_of = lambda n, k: np.float32(n) / np.float32(k) > np.float32(ink_share)
     v = axis([share_of(n, b - t) for n in part.sum(0)], share, least, True)
@@ -46,9 +51,9 @@ def plain(grid, depth, share, least, ink_share=0.0, box=None):
         return leaf()
     if h is None or v is not None and v[0] >= h[0]:
         edges = [l, *(l + c for c in v[1]), r]
-        return [x for a, c in zip(edges, edges[1:]) for x in plain(grid, depth - 1, share, least, ink_share, (a, t, c, b))]
+        return [x for a, c in zip(edges, edges[1:]) for x in plain(grid, depth - 1, share, least, ink_share, (a, t, c, b), whole)]
     edges = [t, *(t + c for c in h[1]), b]
-    return [x for a, c in zip(edges, edges[1:]) for x in plain(grid, depth - 1, share, least, ink_share, (l, a, r, c))]
+    return [x for a, c in zip(edges, edges[1:]) for x in plain(grid, depth - 1, share, least, ink_share, (l, a, r, c), whole)]
 
 
 def ink_of(spark, grids):
@@ -135,3 +140,24 @@ def test_touching_runs(spark):
         got = sorted((r.page_id, r.run, r.other) for r in components.touching(runs, reach).collect())
         assert got == sorted((a.page_id, a.run, b.run) for a in own for b in own if a.page_id == b.page_id and b.y == a.y + 1 and a.l < b.r + reach and b.l < a.r + reach)
     assert components.touching(runs.filter(F.lit(False)), 1).count() == 0
+
+
+def test_tables_stay_whole(spark):
+    """A ruled table beside text is one leaf, though its rules are off the page that is cut; without the veto it falls into columns."""
+    page = np.zeros((260, 330), bool)
+    page[5:145, 5:155] = grids_.form(150, 140, 4, 4, text=False)
+    for top, bottom, columns in ((25, 140, (20, 48, 76)), (5, 140, (200, 255)), (170, 255, (5, 60, 115, 170, 225, 265))):
+        for y in range(top, bottom - 4, 9):
+            for x in columns:
+                page[y : y + 3, x : x + (14 if x < 100 and top == 25 else 50)] = True
+    grids = {1: page, 2: page & (np.arange(330) < 150)}
+    printed, pages = grids_.to_runs(spark, grids)
+    ink = ruled.without_rules(printed).select("page_id", "l", F.col("y").alias("t"), "r", (F.col("y") + 1).alias("b"))
+    clean = {p: grids_.decide(g)[1] for p, g in grids.items()}
+
+    def is_table(p):
+        return lambda box: min(box[2] - box[0], box[3] - box[1]) >= 100 and grids_.decide(grids[p][box[1] : box[3], box[0] : box[2]])[0][3] >= 2
+
+    got = leaves(xycut.xy_cut(ink, pages, least=10, whole=lambda rects: ruled.whole_tables(printed, rects)))
+    want = {p: plain(g.astype(int), 6, 0.015, 10, whole=is_table(p)) for p, g in clean.items()}
+    assert got == want and len(want[1]) < len(plain(clean[1].astype(int), 6, 0.015, 10))
