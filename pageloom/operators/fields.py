@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import tokens
+from ..functions import boxes, tokens
 
 # Labels and the field each stands for.
 LABELS = {"netto": "net", "ust": "vat", "mwst": "vat", "brutto": "gross", "gesamt": "gross"}
@@ -30,6 +30,79 @@ def checked(fields: DataFrame) -> DataFrame:
     return out.withColumn("sums", F.coalesce(F.col("net") + F.col("vat") == F.col("gross"), F.lit(False)))
 
 
+# The fields of an invoice, each with its kind and its labels.
+INVOICE = {
+    "netto": ("amount", "netto nettobetrag zwischensumme"),
+    "ust": ("amount", "ust ust. mwst mwst. umsatzsteuer mehrwertsteuer"),
+    "brutto": ("amount", "brutto bruttobetrag gesamt gesamtbetrag summe endbetrag total"),
+    "rechnungsnummer": ("id", "rechnungsnr rechnungsnr. rechnungsnummer rechnung-nr re-nr re-nr."),
+    "steuernummer": ("id", "steuernr steuernr. steuernummer st-nr st-nr. ust-idnr ust-idnr. ust-id"),
+    "iban": ("id", "iban"),
+}
+#: Fixed value: longest id that is put together from several words, as an IBAN is printed in groups.
+LONGEST_ID = 34
+
+
+def field_rules(spark: SparkSession, profile: str | None) -> DataFrame | None:
+    """Rules ``key kind label`` of a profile by name, one row a label; None without a name, and an error for one that is unknown."""
+    if not profile:
+        return None
+    if profile != "german_invoice":
+        raise ValueError(f"unknown profile of fields: {profile}")
+    return spark.createDataFrame([(key, kind, label) for key, (kind, labels) in INVOICE.items() for label in labels.split()], "key string, kind string, label string")
+
+
+def value_text(words: DataFrame) -> Column:
+    """A word as its number was read, where it has one."""
+    return F.coalesce("numeric_norm", "text") if "numeric_norm" in words.columns else F.col("text")
+
+
+def _joined_id(found: Column) -> Column:
+    """An id from its words (value l t r b conf), in order: the first, and those behind it while they are letters and digits and there is room."""
+    state = F.struct(found[0]["value"].alias("value"), *(found[0][c].alias(c) for c in "ltrb"), found[0]["conf"].alias("conf"), F.lit(True).alias("open"))
+
+    def step(a, w):
+        room = a["open"] & w["value"].rlike("^[A-Za-z0-9]*$") & (F.octet_length(a["value"]) + F.octet_length(w["value"]) <= LONGEST_ID)
+        grown = F.struct(F.concat(a["value"], w["value"]).alias("value"), *(f(a[c], w[c]).alias(c) for f, c in ((F.least, "l"), (F.least, "t"), (F.greatest, "r"), (F.greatest, "b"))), F.least(a["conf"], w["conf"]).alias("conf"), F.lit(True).alias("open"))
+        shut = F.struct(a["value"].alias("value"), *(a[c].alias(c) for c in "ltrb"), a["conf"].alias("conf"), F.lit(False).alias("open"))
+        return F.when(room, grown).otherwise(shut)
+
+    return F.aggregate(F.slice(found, 2, LONGEST_ID), state, step)
+
+
+def harvested_by(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """``doc_id key label value cents l t r b conf checks``: the fields that ``rules`` (key kind label) find among words.
+
+    A label's value lies to its right, in its line and in its band: the
+    nearest amount, or the nearest word with those that continue it.  The
+    first label in page order that has a value wins.  ``checks``: an IBAN's
+    own digits, and whether net and tax make up the gross amount.
+    """
+    own = words.withColumn("value", value_text(words)).select("doc_id", "line_idx", "word_idx", "text", "value", *"ltrb", "conf")
+    named = own.withColumn("label_key", tokens.label(F.col("text"))).join(rules.withColumnRenamed("label", "label_key"), "label_key")
+    place = boxes.box(*(F.col(c) for c in "ltrb"))
+    named = named.select("doc_id", "line_idx", F.col("word_idx").alias("label_idx"), F.col("text").alias("label"), "key", "kind", place.alias("label_box"))
+    amount = tokens.amount_cents(F.col("value")).alias("cents")
+    near = named.join(own.select("doc_id", "line_idx", "word_idx", "value", *"ltrb", "conf", amount), ["doc_id", "line_idx"])
+    near = near.filter((F.col("word_idx") > F.col("label_idx")) & (F.col("l") >= F.col("label_box.r")) & boxes.same_band(F.col("label_box"), place))
+    near = near.filter((F.col("kind") == "id") | F.col("cents").isNotNull())
+    label = ("doc_id", "key", "kind", "line_idx", "label_idx", "label")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy(*label[:5]).orderBy("word_idx")))
+    near = near.filter(F.col("k") <= F.when(F.col("kind") == "id", LONGEST_ID + 1).otherwise(1))
+    word = F.struct("k", "value", *"ltrb", "conf", "cents")
+    found = near.groupBy(*label).agg(F.array_sort(F.collect_list(word)).alias("found")).withColumn("id", _joined_id(F.col("found")))
+    first = Window.partitionBy("doc_id", "key").orderBy("line_idx", "label_idx")
+    found = found.withColumn("n", F.row_number().over(first)).filter("n = 1")
+    is_id = F.col("kind") == "id"
+    pick = lambda c: F.when(is_id, F.col(f"id.{c}")).otherwise(F.col("found")[0][c]).alias(c)
+    out = found.select("doc_id", "key", "label", pick("value"), F.when(~is_id, F.col("found")[0]["cents"]).alias("cents"), *(pick(c) for c in "ltrb"), pick("conf"))
+    page = Window.partitionBy("doc_id")
+    part = {k: F.max(F.when(F.col("key") == k, F.col("cents"))).over(page) for k in ("netto", "ust", "brutto")}
+    adds_up = F.col("key").isin(*part) & F.coalesce(part["netto"] + part["ust"] == part["brutto"], F.lit(False))
+    checks = F.array(F.when(F.col("cents").isNull() & tokens.iban_valid(F.col("value")), "iban_mod97_ok"), F.when(adds_up, "arithmetic_ok"))
+    return out.withColumn("checks", F.array_compact(checks))
+
+
 def corrected(unknown: DataFrame, lexicon: DataFrame, least: int = 4) -> DataFrame:
     """``word fixed distance`` of words that one edit turns into a known word.
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from pageloom.plans import catalogue, layouts, pages, rasters, segments, texts  # noqa: F401
+from pageloom.plans import catalogue, layouts, pages, rasters, reading, segments, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
