@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blobs, ruled, runs, xycut
+from ..operators import blobs, masks, ruled, runs, xycut
 from .catalogue import query, query_without_sql
 from .relations import table
 
@@ -195,3 +195,34 @@ def xy_cut_tables(spark, d):
     clean = ruled.without_rules(ink)
     lines = clean.select("page_id", "l", F.col("y").alias("t"), "r", (F.col("y") + 1).alias("b"))
     return xycut.xy_cut(lines, pages, least=10, whole=lambda rects: ruled.whole_tables(ink, rects))
+
+
+def _prints(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A supplier's page with a picture or none, one to three columns of words in lines, and the pages' sizes."""
+    own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.col("s_suppkey").cast("int").alias("p"))
+    p = F.col("p")
+    picture = F.when(p % 3 != 0, F.struct((20 + p % 17).alias("l"), (20 + p % 13).alias("t"), (90 + p % 60).alias("r"), (80 + p % 30).alias("b")))
+    words = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.struct((i % 3).alias("column"), (F.floor(i / 3) % 3).cast("int").alias("k"), F.floor(i / 9).cast("int").alias("line")))
+    place = lambda i: F.struct((150 + 56 * i["column"] + 18 * i["k"] - (i["column"] * (p % 4))).alias("l"), (12 + 16 * i["line"]).alias("t"), (162 + 56 * i["column"] + 18 * i["k"] + p % 4 - (i["column"] * (p % 4))).alias("r"), (20 + 16 * i["line"]).alias("b"))
+    drawn = F.transform(F.filter(words, lambda i: i["column"] <= p % 3), place)
+    ink = own.select("page_id", F.inline(F.array_compact(F.concat(F.array(picture), drawn))))
+    return ink, own.select("page_id", F.lit(340).alias("w"), F.lit(280).alias("h"))
+
+
+@query_without_sql
+def page_masks(spark, d):
+    """Ink by rows of each page's masks of pictures, text lines and text blocks."""
+    boxes, pages = _prints(spark, d)
+    found = masks.regions(runs.of_boxes(boxes, pages), pages)
+    out = None
+    for kind, own in found.items():
+        part = own.groupBy("page_id", "y").agg(F.sum(F.col("r") - F.col("l")).alias("ink"), F.min("l").alias("first"), F.max("r").alias("last")).withColumn("mask", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query_without_sql
+def page_figures(spark, d):
+    """The boxes of each page's pictures."""
+    boxes, pages = _prints(spark, d)
+    return masks.figures(masks.regions(runs.of_boxes(boxes, pages), pages)["halftone"])

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import ruled, runs
+from pageloom.operators import masks, ruled, runs
+from pageloom.plans import segments
 
 SCHEMA = "page_id long, w int, h int, y int, l int, r int"
 
@@ -220,3 +221,66 @@ def test_repainted(spark):
             fill = fill if fill is not None else middle(grey[p][~g])
             want[y][gone[y]] = 255 if fill is None else fill
         assert (got[p] == want).all() and gone.any()
+
+
+def printed(seed, picture=True, columns=2):
+    """A page of 340 x 280 with a picture, a speckled one for odd seeds, and columns of words in lines."""
+    rng, grid = np.random.default_rng(seed), np.zeros((281, 343), bool)
+    if picture:
+        grid[30:110, 30:130] = rng.random((80, 100)) < (0.97 if seed % 2 else 1.1)
+    for c in range(columns):
+        for y in range(20 if c or not picture else 130, 262, 12):
+            for x in range(0, 60, 24):
+                left = (30, 160, 250)[(c + 1) % 3] + x
+                grid[y : y + 5, left : left + 14 + int(rng.integers(0, 5))] = True
+    return grid
+
+
+def masks_of(grid):
+    """(halftone, textline, textblock) by plain steps."""
+    half = reduced(grid, 1)
+    seeds = opening(reduced(reduced(half, 4), 4), 5, 5).repeat(4, 0).repeat(4, 1)
+    h, w = seeds.shape
+    mask = filled(seeds, closing(half, 4, 4)[:h, :w], 4)
+    text = half.copy()
+    text[:h, :w] &= ~mask
+    paper = ~text
+    lanes = opening(opening(paper & ~opening(paper, 80, 60), 5, 1), 1, 200)
+    lines = opening(closing(text, 30, 1) & ~lanes, 3, 3)
+    solid = of_components(opening(closing(lines, 1, 10), 4, 1), lambda x: dilate(closing(x, 30, 30), 3, 3))
+    blocks = chosen(closing(solid, 10, 1) & ~lanes, lambda a, b: a >= 25 and b >= 5)
+    blocks = chosen(blocks, lambda a, b: a >= 60 or b >= 60, 4)
+    twice = lambda g: g.repeat(2, 0).repeat(2, 1)
+    big = twice(mask)
+    return big | filled(big, grid[: big.shape[0], : big.shape[1]], 8), dilate(twice(lines), 3, 3), dilate(twice(blocks), 3, 3)
+
+
+def test_masks(spark):
+    grids = {1: printed(1), 2: printed(2, columns=3), 3: printed(3, picture=False), 4: np.zeros((220, 210), bool), 5: printed(5)[:150, :190]}
+    own, pages = to_runs(spark, grids)
+    found, want = masks.regions(own, pages), {p: masks_of(g) for p, g in grids.items() if p != 5}
+    for k, kind in enumerate(("halftone", "textline", "textblock")):
+        got = to_grids(found[kind], {p: x[k].shape for p, x in want.items()})  # a page that is too small at half size has no masks
+        for p in want:
+            assert (got[p] == want[p][k]).all(), (kind, p)
+    assert want[1][0].any() and not want[3][0].any() and want[1][2].any() and want[2][1].any()
+    boxes = sorted((r.page_id, r.figure, r.l, r.t, r.r, r.b) for r in masks.figures(found["halftone"]).collect())
+    assert [b[:2] for b in boxes] == [(1, 0), (2, 0)] and all(abs(x - y) <= 2 for x, y in zip(boxes[0][2:], (30, 30, 130, 110)))
+
+
+def test_mask_queries(spark):
+    """The registered pages, some with pictures and some without, against plain steps."""
+    boxes, pages = segments._prints(spark, "/root/testdata/sf0.001")
+    grids = {r.page_id: np.zeros((r.h, r.w), bool) for r in pages.collect()}
+    for r in boxes.collect():
+        grids[r.page_id][r.t : r.b, r.l : r.r] = True
+    want = {p: masks_of(g) for p, g in list(grids.items())[:4]}
+    got = {}
+    for r in segments.page_masks(spark, "/root/testdata/sf0.001").collect():
+        got[r.page_id, r["mask"], r.y] = (r.ink, r.first, r.last)
+    for p, masks_ in want.items():
+        for kind, grid in zip(("halftone", "textline", "textblock"), masks_, strict=True):
+            for y, row in enumerate(grid):
+                at = np.flatnonzero(row)
+                assert got.get((p, kind, y)) == ((len(at), at[0], at[-1] + 1) if len(at) else None), (p, kind, y)
+    assert any(w[0].any() for w in want.values()) and not all(w[0].any() for w in want.values())
