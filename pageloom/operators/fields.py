@@ -103,24 +103,52 @@ def harvested_by(words: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("checks", F.array_compact(checks))
 
 
-def corrected(unknown: DataFrame, lexicon: DataFrame, least: int = 4) -> DataFrame:
-    """``word fixed distance`` of words that one edit turns into a known word.
+def _cuts(word: Column, times: int) -> Column:
+    """The strings that are left of a word without up to ``times`` of its letters."""
+    once = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    out = F.array(word)
+    for _ in range(times):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, once))))
+    return out
+
+
+def corrected(unknown: DataFrame, lexicon: DataFrame, least: int = 4, short: int = 1, long: int = 1, long_from: int = 8) -> DataFrame:
+    """``word fixed distance`` of words that few edits turn into a known word: ``short``, or ``long`` from a length of ``long_from``.
 
     ``unknown``: word; ``lexicon``: word weight.  Ties: distance, shorter, more
     frequent, earlier in the alphabet.  Words meet under the strings that
-    remain when one letter is deleted, so that no pair is compared without one
-    such string in common.
+    remain when as many letters are deleted, so that no pair is compared
+    without one such string in common.
     """
-
-    def reduced(df):
-        n = F.length("word")
-        cuts = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, n)))
-        return df.withColumn("cut", F.explode(F.array_distinct(F.concat(F.array("word"), cuts))))
-
-    known = lexicon.filter(F.length("word") >= least - 1)
-    open_ = unknown.filter(F.length("word") >= least).select("word").distinct().join(known, "word", "left_anti")
-    right = reduced(known).select(F.col("word").alias("fixed"), "weight", "cut")
-    pairs = reduced(open_).join(right, "cut").select("word", "fixed", "weight").distinct()
-    pairs = pairs.withColumn("distance", F.levenshtein("word", "fixed", 1)).filter("distance >= 0")
+    budget, most = boxes.edits_allowed(F.length("word"), short, long, long_from), max(short, long)
+    reduced = lambda df, n: df.withColumn("cut", F.explode(_cuts(F.col("word"), n)))
+    known = lexicon.filter(F.length("word") >= least - most)
+    open_ = unknown.filter(F.length("word") >= least).select("word").distinct().join(lexicon, "word", "left_anti").withColumn("budget", budget)
+    left = None
+    for n in sorted({short, long}):
+        part = reduced(open_.filter(F.col("budget") == n), n)
+        left = part if left is None else left.unionByName(part)
+    right = reduced(known, most).select(F.col("word").alias("fixed"), "weight", "cut")
+    pairs = left.join(right, "cut").filter(F.abs(F.length("word") - F.length("fixed")) <= F.col("budget")).select("word", "fixed", "weight", "budget").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("word", "fixed", most)).filter((F.col("distance") >= 0) & (F.col("distance") <= F.col("budget")))
     best = F.min_by(F.struct("fixed", "distance"), F.struct("distance", F.length("fixed"), -F.col("weight"), "fixed"))
     return pairs.groupBy("word").agg(best.alias("b")).select("word", "b.fixed", "b.distance")
+
+
+def corrected_words(words: DataFrame, lexicon: DataFrame, least: int = 4, short: int = 1, long: int = 1, long_from: int = 8) -> DataFrame:
+    """``words`` with ``fixed`` and ``distance``: the text put right, or as it is, and null.
+
+    Signs around a word and its capitals stay.  A token with a digit is data
+    and never touched, nor is a known word.  Each distinct word is looked up once.
+    """
+    own = words.withColumn("core", F.when(~F.col("text").rlike(r"\p{N}"), F.lower(boxes.core(F.col("text"))["core"])))
+    found = corrected(own.filter("core is not null").select(F.col("core").alias("word")), lexicon, least, short, long, long_from)
+    part = boxes.core(F.col("text"))
+    own = own.join(found.withColumnRenamed("word", "core").withColumnRenamed("fixed", "known"), "core", "left")
+    put = F.concat(part["prefix"], boxes.cased_like(part["core"], F.col("known")), part["suffix"])
+    return own.withColumn("fixed", F.when(F.col("known").isNotNull(), put).otherwise(F.col("text"))).drop("core", "known")
+
+
+def corrections(fixed_words: DataFrame) -> DataFrame:
+    """The audit rows of ``corrected_words``: every word that was changed."""
+    return fixed_words.filter("distance is not null and fixed <> text").withColumnRenamed("text", "from").withColumnRenamed("fixed", "to")

@@ -32,8 +32,10 @@ def cropped(rows: DataFrame, left: int, top: int, right: int, bottom: int) -> Da
 
 
 def mirrored(rows: DataFrame, n: int) -> DataFrame:
-    """``n`` pixels around the page, mirrored at its edges, which are doubled."""
-    last = F.max("y").over(Window.partitionBy("page_id"))
+    """``n`` pixels around the page, mirrored at its edges, which are doubled; a page narrower or lower than ``n`` has no such border and is left out."""
+    page = Window.partitionBy("page_id")
+    last = F.max("y").over(page)
+    rows = rows.withColumn("fits", (F.min(F.size("v")).over(page) >= n) & (last + 1 >= n)).filter("fits").drop("fits")
     wide = F.concat(F.reverse(F.slice("v", 1, n)), "v", F.reverse(F.slice("v", F.size("v") - n + 1, n)))
     y, end = F.col("y"), F.col("last")
     places = F.filter(F.array(y + n, F.when(y < n, n - 1 - y), F.when(y > end - n, 2 * end + 1 - y + n)), lambda p: p.isNotNull())

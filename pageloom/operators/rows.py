@@ -93,7 +93,8 @@ def closed_safely(rows: DataFrame, w: int, h: int) -> DataFrame:
 def rank_reduced(rows: DataFrame, level: int) -> DataFrame:
     """Ink where at least ``level`` pixels of a 2 x 2 box are ink; an odd edge is dropped."""
     below = F.lead("ink").over(_page())
-    boxes = F.transform(F.sequence(F.lit(1), F.floor(F.size("ink") / 2).cast("int")), lambda i: sum((F.element_at(c, i * 2 - k) for c in ("ink", "below") for k in (0, 1)), F.lit(0)))
+    places = F.slice(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("ink") / 2).cast("int"))), F.lit(1), F.floor(F.size("ink") / 2).cast("int"))  # none on a page one pixel wide
+    boxes = F.transform(places, lambda i: sum((F.element_at(c, i * 2 - k) for c in ("ink", "below") for k in (0, 1)), F.lit(0)))
     pairs = rows.withColumn("below", below).filter("y % 2 = 0 and below is not null")
     return pairs.select("page_id", F.expr("y div 2").cast("int").alias("y"), F.transform(boxes, lambda n: (n >= level).cast("int")).alias("ink"))
 
@@ -189,10 +190,16 @@ def window_statistics(rows: DataFrame, k: int) -> DataFrame:
     return own.select("page_id", "y", "v", mean.alias("m"), square.alias("q"))
 
 
+def fits(k: int) -> Column:
+    """Whether a page is large enough for windows of half size ``k``, over its rows ``v``."""
+    page = Window.partitionBy("page_id")
+    return F.lit(k >= 2) & (F.min(F.size("v")).over(page) >= 2 * k + 3) & (F.count("*").over(page) >= 2 * k + 3)
+
+
 def local_thresholds(rows: DataFrame, k: int, sauvola: float = 0.34, wolf: float = 0.5, singh: float = 0.06) -> DataFrame:
-    """Rows ``v`` with the thresholds that three local methods set at each pixel."""
+    """Rows ``v`` with the thresholds that three local methods set at each pixel; pages too small for the window are left out."""
     single = lambda x: F.lit(x).cast("float")
-    own = window_statistics(rows, k)
+    own = window_statistics(rows.withColumn("fits", fits(k)).filter("fits").drop("fits"), k)
     deviation = F.zip_with("m", "q", lambda m, q: F.when(q >= m * m, F.sqrt((q - m * m).cast("float")).cast("float")))
     own = own.withColumn("sd", deviation)
     page = Window.partitionBy("page_id")
@@ -235,15 +242,28 @@ def ink_share(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg((F.sum(F.aggregate("ink", F.lit(0), lambda a, v: a + v)) / F.sum(F.size("ink"))).alias("share"))
 
 
+def binarized_with(mode: str, otsu: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``page_id y ink`` by one method; pages too small for a local window go by Otsu's."""
+    if mode == "otsu":
+        return otsu.select("page_id", "y", "ink")
+    local = inked(local_thresholds(rows, k), mode)
+    small = rows.select("page_id", fits(k).alias("fits")).filter("not fits").select("page_id").distinct()
+    return local.unionByName(otsu.join(small, "page_id", "left_semi").select("page_id", "y", "ink"))
+
+
 def escalated(otsu: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """``page_id mode y ink`` of the first method with a plausible share of ink: Otsu, Sauvola, Wolf, and else Singh.
 
-    Local thresholds are computed for the pages alone that Otsu's method fails.
+    Local thresholds are computed for the pages alone that Otsu's method fails;
+    on pages too small for them every method is Otsu's, and the last is kept.
     """
     share = ink_share(otsu)
     good = share.filter(plausible(F.col("share"))).select("page_id")
     done = otsu.join(good, "page_id").select("page_id", F.lit("otsu").alias("mode"), "y", "ink")
-    local = local_thresholds(rows.join(good, "page_id", "left_anti"), k)
+    open_ = rows.join(good, "page_id", "left_anti").withColumn("fits", fits(k))
+    small = open_.filter("not fits").select("page_id").distinct()
+    done = done.unionByName(otsu.join(small, "page_id").select("page_id", F.lit("singh").alias("mode"), "y", "ink"))
+    local = local_thresholds(open_.filter("fits").drop("fits"), k)
     for mode in ("sauvola", "wolf", "singh"):
         local = local.withColumn(mode, F.zip_with("v", mode, lambda v, t: (v < t).cast("int")))
     page, size = Window.partitionBy("page_id"), F.size("v")

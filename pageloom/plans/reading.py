@@ -88,3 +88,24 @@ def reading_verdicts(spark, d):
     second = F.when(F.col("turn") % 2 == 0, F.translate("text", "lo", "10")).otherwise(F.translate("text", "l", "1"))
     own = said.select(F.col("text").alias("true"), F.translate("text", "lo", "10").alias("a"), second.alias("b"))
     return alignment.verdicts(own).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+#: Accented letters as single bytes, for an edit distance that counts bytes.
+BYTES = "translate({}, 'àâäáãåçéèêëîïíìôöóòõùûüúñßæœÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ012')"
+
+
+@query(r"""WITH lex AS (SELECT word, count(*) AS weight FROM (SELECT unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 3 GROUP BY word),
+tok AS (SELECT conv_id, turn, unnest(range(len(ws))) AS word_idx, unnest(ws) AS token FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations WHERE text IS NOT NULL)),
+part AS (SELECT *, regexp_extract(token, '(\p{L}(?:.*\p{L})?)', 1) AS core FROM tok),
+unk AS (SELECT DISTINCT lower(core) AS word, CASE WHEN length(core) >= 8 THEN 2 ELSE 1 END AS budget FROM part WHERE NOT regexp_matches(token, '\p{N}') AND length(core) >= 4 AND lower(core) NOT IN (SELECT word FROM lex)),
+c AS (SELECT u.word, l.word AS fixed, l.weight, levenshtein(""" + BYTES.format("u.word") + ", " + BYTES.format("l.word") + r""") AS d, budget FROM unk u JOIN lex l ON abs(length(u.word) - length(l.word)) <= budget),
+fix AS (SELECT word, fixed, d FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, length(fixed), weight DESC, fixed) AS k FROM c WHERE d <= budget) WHERE k = 1),
+put AS (SELECT part.*, d, CASE WHEN upper(core[1]) = core[1] AND lower(core[1]) <> core[1] THEN CASE WHEN length(regexp_replace(core[2:], '\P{L}', '', 'g')) > 0 AND upper(core[2:]) = core[2:] AND lower(core[2:]) <> core[2:] THEN upper(fixed) ELSE upper(fixed[1]) || fixed[2:] END ELSE fixed END AS shown
+  FROM part JOIN fix ON lower(core) = word WHERE NOT regexp_matches(token, '\p{N}'))
+SELECT conv_id, turn, word_idx, token AS "from", replace(token, core, shown) AS "to", CAST(d AS INT) AS distance FROM put WHERE replace(token, core, shown) <> token""")
+def text_corrections(spark, d):
+    """Every word of a conversation that a lexicon puts right, as an audit row."""
+    split = F.explode(F.split(F.lower("text"), "[^a-zà-ÿ]+")).alias("word")
+    lexicon = table(spark, d, "benchmark").select(split).filter("length(word) >= 3").groupBy("word").agg(F.count("*").alias("weight"))
+    words = table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
+    return fields.corrections(fields.corrected_words(words, lexicon, long=2))

@@ -87,3 +87,15 @@ def test_own_rules(spark):
     assert fields.field_rules(spark, None) is None and fields.field_rules(spark, "") is None
     with pytest.raises(ValueError):
         fields.field_rules(spark, "french_invoice")
+
+
+def test_corrections(spark):
+    lexicon = spark.createDataFrame([("glukose", 50), ("beginning", 40), ("ergebnis", 70), ("cart", 31), ("care", 90), ("card", 90)], "word string, weight long")
+    tokens = ["Glukosc:", "(GLUK0SE)", "glukse", "ERGEBMIS,", "begimnimg", "begxmnimg", "Beginning", "carx", "cut", "—", "Ergebnis", "zzzzzzzz"]
+    words = spark.createDataFrame([(1, i, t, "clash") for i, t in enumerate(tokens)], "doc_id long, word_idx int, text string, weight string")
+    fixed = fields.corrected_words(words, lexicon, long=2)
+    assert [r.fixed for r in fixed.orderBy("word_idx").collect()] == ["Glukose:", "(GLUK0SE)", "glukose", "ERGEBNIS,", "beginning", "begxmnimg", "Beginning", "card", "cut", "—", "Ergebnis", "zzzzzzzz"]
+    audit = {(r["from"], r["to"], r.distance) for r in fields.corrections(fixed).collect()}
+    assert audit == {("Glukosc:", "Glukose:", 1), ("glukse", "glukose", 1), ("ERGEBMIS,", "ERGEBNIS,", 1), ("begimnimg", "beginning", 2), ("carx", "card", 1)}
+    strict = fields.corrected_words(words, lexicon)
+    assert [r.fixed for r in strict.filter("word_idx = 4").collect()] == ["begimnimg"]

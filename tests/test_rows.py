@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import components, rows
+from pageloom.operators import page as paging
 
 
 def page(spark, *lines, column="ink"):
@@ -64,3 +65,42 @@ def test_ladder_keeps_lazy_order(spark):
     flat = page(spark, *[" ".join(["200"] * 7)] * 7, column="v")
     none = flat.select("page_id", "y", F.transform("v", lambda _: F.lit(0)).alias("ink"))
     assert {r["mode"] for r in rows.escalated(none, flat, 2).collect()} == {"singh"}
+
+
+def test_tiny_pages(spark):
+    """Pages too small for a step are left out, give nothing or go another way, beside a page of full size."""
+    grey = [(1, y, [0 if 3 < x < 7 and y > 2 else 200 for x in range(12)]) for y in range(11)] + [(2, y, [10, 200, 90]) for y in range(3)] + [(3, 0, [7]), (4, 0, [5, 250]), (4, 1, [5, 250])]
+    own = spark.createDataFrame(grey, "page_id long, y int, v array<int>")
+    ink = own.select("page_id", "y", F.transform("v", lambda v: (v < 100).cast("int")).alias("ink"))
+    assert {r.page_id for r in rows.local_thresholds(own, 4).collect()} == {1}
+    assert rows.local_thresholds(own, 1).count() == 0  # a window's half size is two at least
+    for mode in ("sauvola", "wolf", "singh"):
+        got = {(r.page_id, r.y): r.ink for r in rows.binarized_with(mode, ink, own, 4).collect()}
+        assert len(got) == len(grey) and got[2, 0] == [1, 0, 1] and got[3, 0] == [1] and got[4, 1] == [1, 0]
+    assert {(r.page_id, r.y): r.ink for r in rows.binarized_with("otsu", ink, own, 4).collect()} == {(r.page_id, r.y): r.ink for r in ink.collect()}
+    modes = {r.page_id: r["mode"] for r in rows.escalated(ink, own, 4).collect()}
+    assert modes.keys() == {1, 2, 3, 4} and all(modes[p] == "singh" for p in (2, 3, 4))
+    assert {r.page_id: r.ink for r in rows.rank_reduced(ink, 1).filter("y = 0").collect() if r.ink}.keys() == {1, 2, 4}
+    assert rows.rank_reduced(ink.filter("page_id = 4"), 2).collect()[0].ink == [1]
+    assert {r.page_id for r in paging.mirrored(own, 3).collect()} == {1, 2} and {r.page_id for r in paging.mirrored(own, 2).collect()} == {1, 2, 4}
+
+
+def test_ladder_takes_every_rung(spark):
+    """Pages of stripes on which each method in turn is the first with a plausible share of ink."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pages = {}
+    pages[1] = np.full((40, 40), 230)
+    pages[1][10:12, 5:35] = 20  # clean: Otsu
+    for page in range(2, 40):
+        shade = np.linspace(60 + 4 * (page % 7), 240, 40)[None, :] * np.linspace(1, 0.5 + (page % 5) / 10, 40)[:, None]
+        pages[page] = shade.copy()
+        pages[page][10:30:6, 5:35] -= 6 + 3 * (page % 9)
+        pages[page] = np.clip(pages[page] + rng.normal(0, page % 3, (40, 40)), 0, 255).astype(int)
+    own = spark.createDataFrame([(p, y, [int(v) for v in row]) for p, g in pages.items() for y, row in enumerate(g)], "page_id long, y int, v array<int>").repartition(4, "page_id")
+    ink = spark.createDataFrame([(p, y, [int(v < (128 if p == 1 else int(np.median(g)))) for v in row]) for p, g in pages.items() for y, row in enumerate(g)], "page_id long, y int, ink array<int>")
+    share = {m: {r.page_id: r.share for r in rows.ink_share(rows.binarized_with(m, ink, own, 4)).collect()} for m in ("otsu", "sauvola", "wolf", "singh")}
+    got = {r.page_id: r["mode"] for r in rows.escalated(ink, own, 4).select("page_id", "mode").distinct().collect()}
+    want = {p: next((m for m in ("otsu", "sauvola", "wolf") if 0.005 <= share[m][p] <= 0.15), "singh") for p in pages}
+    assert got == want and len(set(got.values())) >= 3, (set(got.values()))
