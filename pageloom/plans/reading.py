@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment, fields
+from ..streaming import arrivals
 from .catalogue import query, query_without_sql
 from .relations import table
 
@@ -109,3 +110,11 @@ def text_corrections(spark, d):
     lexicon = table(spark, d, "benchmark").select(split).filter("length(word) >= 3").groupBy("word").agg(F.count("*").alias("weight"))
     words = table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
     return fields.corrections(fields.corrected_words(words, lexicon, long=2))
+
+
+@query("""WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOURS, TRUE)::INT AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    """Runs of every user's events with less than six hours between them."""
+    return arrivals.sessions(table(spark, d, "events"), "6 hours")
