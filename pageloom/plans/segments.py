@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blobs, masks, ruled, runs, xycut
-from .catalogue import query, query_without_sql
-from .relations import table
+from ..operators import blobs, masks, ruled, runs, scaling, xycut
+from .catalogue import P, query, query_without_sql
+from .relations import HEIGHT, WIDTH, pixels, table
 
 
 def _plates(spark, d) -> DataFrame:
@@ -103,6 +103,7 @@ def blob_line_sizes(spark, d):
     return lines.select("page_id", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("line_size", "line_spacing", "max_blob")))
 
 
+#: Sides of the forms.
 WIDE, HIGH = 150, 230
 
 
@@ -226,3 +227,32 @@ def page_figures(spark, d):
     """The boxes of each page's pictures."""
     boxes, pages = _prints(spark, d)
     return masks.figures(masks.regions(runs.of_boxes(boxes, pages), pages)["halftone"])
+
+
+FACTORS = (0.3, 0.5, 0.6, 0.8, 1.0, 1.3, 1.7, 0.15, 0.25)
+
+SCALED = P + f""",
+pg AS (SELECT doc_id AS page_id, ([{", ".join(map(str, FACTORS))}])[doc_id % {len(FACTORS)} + 1]::FLOAT AS f FROM documents),
+sz AS (SELECT *, trunc((f * {WIDTH}::FLOAT)::FLOAT + 0.5::FLOAT)::INT AS wd, trunc((f * {HEIGHT}::FLOAT)::FLOAT + 0.5::FLOAT)::INT AS hd FROM pg),
+tg AS (SELECT page_id, f, i, j, trunc((sy * i::FLOAT)::FLOAT)::INT AS yu, trunc(sy::DOUBLE * (i + 1))::INT AS yl, trunc((sx * j::FLOAT)::FLOAT)::INT AS xu, trunc(sx::DOUBLE * (j + 1))::INT AS xl
+  FROM (SELECT *, ((16::FLOAT * {WIDTH}::FLOAT)::FLOAT / wd::FLOAT)::FLOAT AS sx, ((16::FLOAT * {HEIGHT}::FLOAT)::FLOAT / hd::FLOAT)::FLOAT AS sy, unnest(range(wd)) AS j FROM sz) s, LATERAL (SELECT unnest(range(s.hd)) AS i)),
+li AS (SELECT tg.page_id, f, i AS y, j AS x, (sum((CASE dy WHEN 0 THEN 16 - yu % 16 ELSE yu % 16 END) * (CASE dx WHEN 0 THEN 16 - xu % 16 ELSE xu % 16 END) * v) + 128) // 256 AS v
+  FROM tg, (SELECT unnest([0, 1]) AS dy) a, (SELECT unnest([0, 1]) AS dx) b, px WHERE px.page_id = tg.page_id AND px.y = least(yu // 16 + dy, {HEIGHT - 1}) AND px.x = least(xu // 16 + dx, {WIDTH - 1}) AND f >= 0.7::FLOAT AND f <> 1 GROUP BY tg.page_id, f, i, j),
+wt AS (SELECT tg.*, px.y, px.x, v, CASE px.y WHEN yu // 16 THEN 16 - yu % 16 WHEN yl // 16 THEN yl % 16 ELSE 16 END AS wy, CASE px.x WHEN xu // 16 THEN 16 - xu % 16 WHEN xl // 16 THEN xl % 16 ELSE 16 END AS wx
+  FROM tg JOIN px ON px.page_id = tg.page_id AND px.y BETWEEN yu // 16 AND yl // 16 AND px.x BETWEEN xu // 16 AND xl // 16 WHERE f < 0.7::FLOAT AND f NOT IN (0.5, 0.25)),
+am AS (SELECT page_id, f, i AS y, j AS x, CASE WHEN yl // 16 > {HEIGHT - 2} OR xl // 16 > {WIDTH - 2} THEN max(CASE WHEN y = yu // 16 AND x = xu // 16 THEN v END) ELSE (sum(wy * wx * v) + 128) // sum(wy * wx) END AS v FROM wt GROUP BY page_id, f, i, j, yu, yl, xu, xl),
+h1 AS (SELECT px.page_id, f, px.y // 2 AS y, px.x // 2 AS x, sum(v) // 4 AS v FROM px JOIN pg ON px.page_id = pg.page_id WHERE f IN (0.5, 0.25) GROUP BY px.page_id, f, px.y // 2, px.x // 2),
+h2 AS (SELECT page_id, f, y // 2 AS y, x // 2 AS x, sum(v) // 4 AS v FROM h1 WHERE f = 0.25 GROUP BY page_id, f, y // 2, x // 2),
+sc AS (SELECT * FROM li UNION ALL SELECT * FROM am UNION ALL SELECT * FROM h1 WHERE f = 0.5 UNION ALL SELECT * FROM h2 UNION ALL SELECT px.page_id, f, y, x, v FROM px JOIN pg ON px.page_id = pg.page_id WHERE f = 1),
+hw AS (SELECT *, CASE WHEN f = 1 THEN NULL WHEN f >= 0.7::FLOAT AND f < 1.4::FLOAT THEN 2 WHEN f < 0.7::FLOAT AND f > 0.2::FLOAT THEN 1 END AS k FROM sc),
+bm AS (SELECT a.page_id, a.y, a.x, any_value(a.v) AS v, any_value(a.k) AS k, count(*) AS n, sum(b.v) AS s FROM hw a LEFT JOIN sc b ON a.page_id = b.page_id AND abs(a.y - b.y) <= a.k AND abs(a.x - b.x) <= a.k GROUP BY a.page_id, a.y, a.x)
+SELECT page_id, y::INT AS y, x::INT AS x, CASE WHEN k IS NULL OR n < (2 * k + 1) * (2 * k + 1) THEN v
+  ELSE greatest(0, least(255, trunc((v::FLOAT + ((CASE k WHEN 2 THEN 0.4 ELSE 0.2 END)::FLOAT * (v::FLOAT - ((1::DOUBLE / ((2 * k + 1) * (2 * k + 1)))::FLOAT * s::FLOAT)::FLOAT)::FLOAT)::FLOAT)::FLOAT::DOUBLE + 0.5::DOUBLE)::INT)) END::INT AS v FROM bm"""
+
+
+@query(SCALED)
+def scaled_pages(spark, d):
+    """Pages of nine factors: copied, interpolated, area-mapped and halved, with and without sharpening."""
+    docs = table(spark, d, "documents")
+    factor = F.element_at(F.array(*map(F.lit, FACTORS)), (F.col("doc_id") % len(FACTORS) + 1).cast("int"))
+    return scaling.scaled(pixels(docs), docs.select(F.col("doc_id").alias("page_id"), F.lit(WIDTH).alias("w"), F.lit(HEIGHT).alias("h"), factor.alias("f")))
