@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blobs, masks, ruled, runs, scaling, xycut
+from ..operators import blobs, masks, ruled, runs, scaling, seams, xycut
 from .catalogue import P, query, query_without_sql
 from .relations import HEIGHT, WIDTH, pixels, table
 
@@ -256,3 +256,39 @@ def scaled_pages(spark, d):
     docs = table(spark, d, "documents")
     factor = F.element_at(F.array(*map(F.lit, FACTORS)), (F.col("doc_id") % len(FACTORS) + 1).cast("int"))
     return scaling.scaled(pixels(docs), docs.select(F.col("doc_id").alias("page_id"), F.lit(WIDTH).alias("w"), F.lit(HEIGHT).alias("h"), factor.alias("f")))
+
+
+def _beside(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A customer's orders as rows of glyphs (their items), with initials of many sizes at the left: rows, spans and initials."""
+    item = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    left = F.expr("20 + l_orderkey % 23 + 14 * (l_linenumber - 1) + l_partkey % 5").cast("int")
+    spans = item.select(F.col("o_custkey").alias("page_id"), F.col("l_orderkey").alias("row"), left.alias("l"), (left + F.expr("6 + l_partkey % 6").cast("int")).alias("r"))
+    low = F.expr("row % 9 * 20").cast("int")
+    rows = spans.groupBy("page_id", "row").agg(F.min("l").alias("left")).join(seams.reaches(spans), ["page_id", "row"]).select("page_id", "row", "left", low.alias("bottom"), (low + 16).alias("top"), "reach")
+    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("cap"))
+    x, y = F.expr("(page_id + cap) % 7").cast("int"), F.expr("(page_id * 3 + cap * 5) % 8 * 20").cast("int")
+    caps = customer.select("page_id", "cap", x.alias("l"), y.alias("b"), (x + F.expr("14 + (page_id + 2 * cap) % 19").cast("int")).alias("r"), (y + F.expr("10 + (page_id + cap) % 30").cast("int")).alias("t"))
+    return rows, spans, caps
+
+
+BESIDE = """WITH sp AS (SELECT o_custkey AS page_id, l_orderkey AS row, l, l + (6 + l_partkey % 6)::INT AS r FROM (SELECT *, (20 + l_orderkey % 23 + 14 * (l_linenumber - 1) + l_partkey % 5)::INT AS l FROM lineitem) JOIN orders ON l_orderkey = o_orderkey),
+st AS (SELECT page_id, row, l, CASE WHEN before IS NOT NULL THEN greatest((l + r - before) // 2, 0) END AS step FROM (SELECT *, lag(l + r) OVER (PARTITION BY page_id, row ORDER BY l, r) AS before FROM sp)),
+re AS (SELECT page_id, row, min(l) AS "left", ((sum(step)::FLOAT / count(step)::FLOAT)::FLOAT / 2::FLOAT)::FLOAT AS reach FROM st GROUP BY page_id, row HAVING count(step) > 0),
+wi AS (SELECT page_id, row, median(r - l)::FLOAT AS width FROM sp GROUP BY page_id, row),
+ro AS (SELECT re.*, width, (row % 9 * 20)::INT AS bottom, (row % 9 * 20 + 16)::INT AS top FROM re JOIN wi USING (page_id, row)),
+ca AS (SELECT page_id, cap, x AS l, y AS b, x + 14 + (page_id + 2 * cap) % 19 AS r, y + 10 + (page_id + cap) % 30 AS t FROM (SELECT c_custkey AS page_id, cap, (c_custkey + cap) % 7 AS x, (c_custkey * 3 + cap * 5) % 8 * 20 AS y FROM customer, (SELECT unnest([0, 1, 2]) AS cap)))"""
+
+
+@query(BESIDE + " SELECT page_id, row, round(reach::DOUBLE, 4) AS reach FROM re")
+def row_reaches(spark, d):
+    """Half the mean step between the glyphs of every row."""
+    return seams.reaches(_beside(spark, d)[1]).withColumn("reach", F.round(F.col("reach").cast("double"), 4))
+
+
+@query(BESIDE + """, me AS (SELECT ro.*, cap, l, r, least(t, top) - greatest(b, bottom) AS overlap FROM ro JOIN ca ON ro.page_id = ca.page_id AND abs("left" - r) <= reach AND least(t, top) - greatest(b, bottom) >= 8),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, row ORDER BY overlap DESC, l, cap) AS k FROM me) WHERE k = 1),
+mo AS (SELECT page_id, row, cap, "left" AS old, greatest(least("left", r) - round(least(reach, width))::INT, l, 0) AS "left" FROM be)
+SELECT page_id, row, cap::INT AS cap, "left"::INT AS "left" FROM mo WHERE "left" < old""")
+def rows_beside_initials(spark, d):
+    """Rows that begin further left, beside an initial."""
+    return seams.extended_left(*_beside(spark, d)).withColumns({c: F.col(c).cast("int") for c in ("cap", "left")})
