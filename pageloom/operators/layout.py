@@ -54,7 +54,8 @@ def merged(spans: DataFrame, *keys: str) -> DataFrame:
 
 
 def valleys(inked: DataFrame, *keys: str) -> DataFrame:
-    """``s e first last`` of each key: gaps between its spans (s e), and the ends of its ink."""
+    """``s e first last`` of each key, ``page_id`` unless others are given: gaps between its spans (s e), and the ends of its ink."""
+    keys = keys or ("page_id",)
     page = Window.partitionBy(*keys)
     own = merged(inked, *keys).withColumn("first", F.min("s").over(page)).withColumn("last", F.max("e").over(page))
     gap = own.withColumn("next", F.lead("s").over(page.orderBy("s"))).filter("next is not null")
