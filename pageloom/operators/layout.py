@@ -210,10 +210,13 @@ LEAST_SLOPE = 0.0087
 
 
 def shear_ramp(rows: DataFrame, height: int) -> DataFrame:
-    """``page_id m0 m1 significant``: the slope of a page's rows (page_id y slope) as a line over y."""
+    """``page_id m0 m1 significant``: the slope of a page's rows (page_id y slope) as a line over y.
+
+    Slopes are compared at nine decimals, for the sums behind them differ in their last bits.
+    """
     own = rows.groupBy("page_id").agg(F.avg("slope").alias("mean"), F.regr_slope("slope", "y").alias("m1"), F.regr_intercept("slope", "y").alias("m0"))
     own = own.select("page_id", F.coalesce("m0", "mean").alias("m0"), F.coalesce("m1", F.lit(0.0)).alias("m1"))
-    return own.withColumn("significant", (F.abs("m0") > LEAST_SLOPE) | (F.abs("m1") * height > LEAST_SLOPE))
+    return own.withColumn("significant", (F.round(F.abs("m0"), 9) > LEAST_SLOPE) | (F.round(F.abs("m1") * height, 9) > LEAST_SLOPE))
 
 
 def without_trend(sizes: DataFrame, gate: float = 0.5) -> DataFrame:

@@ -80,3 +80,11 @@ def test_paragraphs(spark):
     blank = layout.valleys(lines.selectExpr("page_id", "t as s", "b as e"))
     assert listed(layout.paragraph_starts(lines, blank), "line_idx") == [(1, 3)]
     assert listed(layout.paragraph_starts(lines.filter("line_idx < 2"), blank), "line_idx") == []
+
+
+def test_ramp_at_the_least_slope(spark):
+    slopes = [(7, 0.007), (7, 0.003), (3, 0.011), (2, 0.014), (1, 0.001)]
+    rows = spark.createDataFrame([(1, 100 * n, s) for n, s in slopes], "page_id int, y int, slope double").coalesce(1)
+    same = [r.significant for turn in range(5) for r in layout.shear_ramp(rows.orderBy((rows.y + 100 * turn) % 700, "slope").coalesce(1), 800).collect()]
+    got = layout.shear_ramp(rows, 800).first()
+    assert same == [False] * 5 and not got.significant and round(got.m0, 12) == 0.0087  # as the sum has it, a little more or less
