@@ -1,9 +1,11 @@
 """Edit operations and fields by rules, against plain versions and by hand."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.operators import alignment, fields
 
@@ -41,6 +43,32 @@ def test_edits():
             assert alignment.edits(read, true) == plain(read, true), (read, true)
 
 
+def test_long_strings_take_the_band(monkeypatch):
+    rng = random.Random(7)
+    for bits in (0, 1 << 28):
+        monkeypatch.setattr(alignment, "BITS", bits)
+        for _ in range(60):
+            true, read = ("".join(rng.choices("abc\U0001f600", k=rng.randint(0, 30))) for _ in range(2))
+            assert alignment.edits(read, true) == plain(read, true), (read, true)
+
+
+def test_a_row_takes_little_time():
+    rng = random.Random(8)
+    true = "".join(rng.choices("abcdefghij", k=2000))
+    read = "".join(rng.choice("xyz") if rng.random() < 0.2 else c for c in true)
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        assert sum(alignment.edits(read, true)[:3]) <= sum(a != b for a, b in zip(read, true, strict=True))
+        took.append(time.process_time() - began)
+    assert min(took) < 0.03
+
+
+def test_a_small_file_is_many_tasks(spark):
+    pairs = spark.createDataFrame([(i, f"a{i}", f"b{i}") for i in range(400)], "id long, read string, true string").coalesce(1)
+    assert alignment.aligned(pairs, "id").select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
 def test_confusions(spark):
     rows = [(1, "he11o", "hello"), (2, "wor1d", "world"), (3, None, "a"), (4, "b", None), (5, None, None), (1, "he11o", "hello")]
     pairs = spark.createDataFrame([(*r, "clash") for r in rows], "id long, read string, true string, errors string")
