@@ -21,8 +21,7 @@ a document with more tokens that occur nowhere else than that leaves at once.
    add, prefix-filtered by the overlap that is then still needed, in order of
    rarity; under what they lack only for pairs that need add nothing in common,
    of which one adds little itself.  A list that is still long after that gets
-   a hub of its own, its smallest member, and is described anew; the smallest
-   member of a group lacks least of what the others have.
+   a hub of its own, its most central member, and is described anew.
 
 Candidate pairs whose signatures collide ``MATCHES`` times are confirmed on the
 full sets, which are made again from the texts.  A pair of the least
@@ -44,7 +43,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -293,12 +292,15 @@ def paired(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def rehubbed(hot: DataFrame) -> DataFrame:
-    """``a b``: the hub of each list in ``hot``, its smallest member, with every other member.
+    """``a b``: the hub of each list in ``hot``, its most central member, with every other member.
 
-    A list takes the smallest hub that any list of its members has, so that
-    lists of the same members share one.
+    Central is who has most in common with these lists and least beside it: of
+    an outlier as hub, members of one template would all differ alike.  A list
+    takes the most central hub that any list of its members has, so that lists
+    of the same members share one.
     """
-    lists = hot.groupBy("a", "element").agg(F.min(F.struct("n", "b")).alias("least"))
+    beside = F.col("m") + F.col("h") - 2 * F.count("*").over(Window.partitionBy("a", "b"))
+    lists = hot.withColumn("beside", beside).groupBy("a", "element").agg(F.min(F.struct("beside", "n", "b")).alias("least"))
     best = hot.join(lists, ["a", "element"]).groupBy("a", "b").agg(F.min("least").alias("best"))
     hubs = hot.join(best, ["a", "b"]).groupBy("a", "element").agg(F.min("best")["b"].alias("hub"))
     return hot.join(hubs, ["a", "element"]).filter("hub <> b").select(F.col("hub").alias("a"), "b").distinct()

@@ -410,3 +410,13 @@ def test_neardup_work_on_template_pages(spark, monkeypatch):
         assert got.filter("kept").count() == n
         count[n] = made["pairs"]
     assert all(count[2 * n] <= 2.2 * count[n] + 2000 for n in (200, 400, 800)), count
+
+
+def test_neardup_hub_of_a_long_list_is_central(spark):
+    """Of a template, an outlier that happens to be smallest, and a larger text that holds it, the template is the hub."""
+    rows = [(1, e, True, 20, 400, 30, 10) for e in range(30)]
+    rows += [(1, e, True, 10, 380, 90, 90) for e in range(28)]
+    rows += [(1, e, True, 30, 900, 530, 0) for e in range(30)]
+    hot = spark.createDataFrame(rows, "a long, element long, adds boolean, b long, n long, m int, h int")
+    got = {tuple(r) for r in neardup.rehubbed(hot).collect()}
+    assert got == {(20, 10), (20, 30)}
