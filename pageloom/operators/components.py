@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, kept
+from .shared import dealt_once, dropped, kept
+
+#: Runs that a task links and labels; the number of tasks is given to Spark, which would merge them by their packed size.
+RUNS = 100_000
 
 
 def ink_runs(rows: DataFrame) -> DataFrame:
@@ -47,23 +50,27 @@ def labelled(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     Runs in neighbouring rows touch where they overlap, with connectivity 8
     also where they meet at a corner.  Each round takes the least label among
     neighbours and then that label's own label, so rounds are few; each is
-    written to the shared folder and the one before deleted.
+    written to the shared folder and the one before deleted.  A round deals
+    labels and links by page once, and all of its joins take them so.
     """
     runs = kept(runs)
-    down = touching(runs, 1 if connectivity == 8 else 0)
-    links = kept(down.unionByName(down.select("page_id", F.col("other").alias("run"), F.col("run").alias("other"))))
-    own, labels = None, runs.select("page_id", "run", F.col("run").alias("label"))
-    while True:
-        near = links.join(labels.select("page_id", F.col("run").alias("other"), F.col("label").alias("theirs")), ["page_id", "other"]).groupBy("page_id", "run").agg(F.min("theirs").alias("theirs"))
-        next_ = labels.join(near, ["page_id", "run"], "left").select("page_id", "run", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label")).alias("label"))
-        jump = next_.select("page_id", F.col("run").alias("label"), F.col("label").alias("further"))
-        next_ = kept(next_.join(jump, ["page_id", "label"]).select("page_id", "run", "old", F.col("further").alias("label")))
-        if own is not None:
-            dropped(own)
-        own, labels = next_, next_.drop("old")
-        if own.filter("old <> label").isEmpty():
-            dropped(links)
-            return runs.join(labels, ["page_id", "run"])
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RUNS))
+    by_page = runs.repartition(n, "page_id")
+    down = touching(by_page, 1 if connectivity == 8 else 0)
+    with dealt_once(runs.sparkSession):
+        links = kept(down.unionByName(down.select("page_id", F.col("other").alias("run"), F.col("run").alias("other"))))
+        own, labels = None, by_page.select("page_id", "run", F.col("run").alias("label"))
+        while True:
+            near = links.repartition(n, "page_id").join(labels.select("page_id", F.col("run").alias("other"), F.col("label").alias("theirs")), ["page_id", "other"]).groupBy("page_id", "run").agg(F.min("theirs").alias("theirs"))
+            next_ = labels.join(near, ["page_id", "run"], "left").select("page_id", "run", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label")).alias("label"))
+            jump = next_.select("page_id", F.col("run").alias("label"), F.col("label").alias("further"))
+            next_ = kept(next_.join(jump, ["page_id", "label"]).select("page_id", "run", "old", F.col("further").alias("label")))
+            if own is not None:
+                dropped(own)
+            own, labels = next_, next_.drop("old").repartition(n, "page_id")
+            if own.filter("old <> label").isEmpty():
+                dropped(links)
+                return runs.join(own.drop("old"), ["page_id", "run"])
 
 
 def components(labels: DataFrame) -> DataFrame:

@@ -104,3 +104,15 @@ def test_ladder_takes_every_rung(spark):
     got = {r.page_id: r["mode"] for r in rows.escalated(ink, own, 4).select("page_id", "mode").distinct().collect()}
     want = {p: next((m for m in ("otsu", "sauvola", "wolf") if 0.005 <= share[m][p] <= 0.15), "singh") for p in pages}
     assert got == want and len(set(got.values())) >= 3, (set(got.values()))
+
+
+def test_labels_shuffle_by_page_once(spark, monkeypatch):
+    """A round of labels deals links and labels by page, and no join deals either again; the setting comes back."""
+    plans, kept = [], components.kept
+    monkeypatch.setattr(components, "kept", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    runs = spark.createDataFrame([(p, 4 * y + x, y, 2 * x, 2 * x + 1) for p in range(3) for y in range(4) for x in range(4)], "page_id long, run int, y int, l int, r int")
+    assert {r.label for r in components.labelled(runs, 4).collect()} == {0, 1, 2, 3}
+    rounds = plans[2:]
+    assert rounds and not any("ENSURE_REQUIREMENTS" in plan for plan in rounds)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
