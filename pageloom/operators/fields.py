@@ -75,25 +75,23 @@ def harvested_by(words: DataFrame, rules: DataFrame) -> DataFrame:
 
     A label's value lies to its right, in its line and in its band: the
     nearest amount, or the nearest word with those that continue it.  The
-    first label in page order that has a value wins.  ``checks``: an IBAN's
+    first label in page order that has a value wins.  A line's words are brought
+    together once; words dealt by doc_id are not shuffled at all.  ``checks``: an IBAN's
     own digits, and whether net and tax make up the gross amount.
     """
-    own = words.withColumn("value", value_text(words)).select("doc_id", "line_idx", "word_idx", "text", "value", *"ltrb", "conf")
-    named = own.withColumn("label_key", tokens.label(F.col("text"))).join(rules.withColumnRenamed("label", "label_key"), "label_key")
-    place = boxes.box(*(F.col(c) for c in "ltrb"))
-    named = named.select("doc_id", "line_idx", F.col("word_idx").alias("label_idx"), F.col("text").alias("label"), "key", "kind", place.alias("label_box"))
-    amount = tokens.amount_cents(F.col("value")).alias("cents")
-    near = named.join(own.select("doc_id", "line_idx", "word_idx", "value", *"ltrb", "conf", amount), ["doc_id", "line_idx"])
-    near = near.filter((F.col("word_idx") > F.col("label_idx")) & (F.col("l") >= F.col("label_box.r")) & boxes.same_band(F.col("label_box"), place))
-    near = near.filter((F.col("kind") == "id") | F.col("cents").isNotNull())
-    label = ("doc_id", "key", "kind", "line_idx", "label_idx", "label")
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy(*label[:5]).orderBy("word_idx")))
-    near = near.filter(F.col("k") <= F.when(F.col("kind") == "id", LONGEST_ID + 1).otherwise(1))
-    word = F.struct("k", "value", *"ltrb", "conf", "cents")
-    found = near.groupBy(*label).agg(F.array_sort(F.collect_list(word)).alias("found")).withColumn("id", _joined_id(F.col("found")))
+    named = rules.groupBy("label").agg(F.collect_list(F.struct("key", "kind")).alias("rules"))
+    own = words.filter("doc_id is not null and line_idx is not null").withColumn("value", value_text(words)).withColumn("label", tokens.label(F.col("text"))).join(F.broadcast(named), "label", "left")
+    place = lambda w: boxes.box(*(w[c] for c in "ltrb"))
+    word = F.struct("word_idx", "value", *"ltrb", "conf", tokens.amount_cents(F.col("value")).alias("cents"))
+    named = F.struct("word_idx", "text", F.struct(*"ltrb").alias("box"), "rules")
+    lines = own.groupBy("doc_id", "line_idx").agg(F.array_sort(F.collect_list(word)).alias("words"), F.collect_list(F.when(F.col("rules").isNotNull(), named)).alias("labels"))
+    found = lines.select("doc_id", "line_idx", "words", F.explode("labels").alias("at")).select("doc_id", "line_idx", F.col("at.word_idx").alias("label_idx"), F.col("at.text").alias("label"), F.col("at.box").alias("label_box"), "words", F.inline("at.rules"))
+    is_id = F.col("kind") == "id"
+    fits = lambda w: (w["word_idx"] > F.col("label_idx")) & (w["l"] >= F.col("label_box.r")) & boxes.same_band(F.col("label_box"), place(w)) & (is_id | w["cents"].isNotNull())
+    found = found.withColumn("found", F.slice(F.filter("words", fits), F.lit(1), F.when(is_id, LONGEST_ID + 1).otherwise(1))).drop("words").filter(F.size("found") > 0)
+    found = found.withColumn("id", F.when(is_id, _joined_id(F.col("found"))))
     first = Window.partitionBy("doc_id", "key").orderBy("line_idx", "label_idx")
     found = found.withColumn("n", F.row_number().over(first)).filter("n = 1")
-    is_id = F.col("kind") == "id"
     pick = lambda c: F.when(is_id, F.col(f"id.{c}")).otherwise(F.col("found")[0][c]).alias(c)
     out = found.select("doc_id", "key", "label", pick("value"), F.when(~is_id, F.col("found")[0]["cents"]).alias("cents"), *(pick(c) for c in "ltrb"), pick("conf"))
     page = Window.partitionBy("doc_id")

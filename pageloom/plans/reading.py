@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import alignment, fields
 from ..streaming import arrivals
 from .catalogue import query, query_without_sql
-from .relations import table
+from .relations import dealt, table
 
 
 def _invoice_words(spark, d) -> DataFrame:
     """An order as an invoice of five lines, some with values out of the label's band, without tax, with wrong sums or wrong IBANs."""
     o = F.col("o_orderkey")
-    own = table(spark, d, "orders").select(o.alias("doc_id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("g"), F.format_string("%018d", o * 7919 + 13).alias("bban"))
+    own = dealt(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    own = own.select(o.alias("doc_id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("g"), F.format_string("%018d", o * 7919 + 13).alias("bban"))
     own = own.withColumn("v", F.expr("g * 19 div 119"))
     rest = 98 - (F.concat("bban", F.lit("131400")).cast("decimal(38,0)") % 97).cast("int")
     own = own.withColumn("iban", F.concat(F.lit("DE"), F.lpad(F.when(F.col("doc_id") % 2 == 0, rest).otherwise((rest + 5) % 97).cast("string"), 2, "0"), "bban"))
