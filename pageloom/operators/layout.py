@@ -96,15 +96,19 @@ def table_cells(words: DataFrame) -> DataFrame:
     Columns are parted where more than half of the rows are blank over at
     least twice the usual word height; two such gaps with a sliver between
     them, narrower than both and than a word is high, count as one.  A word
-    belongs to the column of its centre.  Row 0 is the header.
+    belongs to the column of its centre.  Row 0 is the header.  Words dealt by
+    table_id are not shuffled again: all else goes by tables.
     """
-    table, at = Window.partitionBy("table_id"), Window.partitionBy("table_id").orderBy("x")
-    shape = words.groupBy("table_id").agg(F.min("l").alias("x0"), F.max("r").alias("x1"), F.count_distinct("row").alias("n_rows"), upper_median("greatest(b - t, 1)").alias("high"))
-    covered = merged(words.select("table_id", "row", F.col("l").alias("s"), F.col("r").alias("e")), "table_id", "row")
-    step = lambda x, d: F.struct(F.col(x).alias("x"), F.lit(d).alias("d"))
-    steps = covered.select("table_id", F.inline(F.array(step("s", 1), step("e", -1)))).unionByName(shape.select("table_id", F.inline(F.array(step("x0", 0), step("x1", 0)))))
-    rows = steps.groupBy("table_id", "x").agg(F.sum("d").alias("d")).withColumn("rows", F.sum("d").over(at)).withColumn("end", F.lead("x").over(at))
-    own = rows.join(shape, "table_id").filter("end is not null").withColumn("blank", F.expr("n_rows - rows >= n_rows div 2 + 1"))
+    table, row = Window.partitionBy("table_id"), Window.partitionBy("table_id", "row").orderBy("l", "r")
+    at = table.orderBy("x")
+    words = words.filter("table_id is not null")
+    placed = words.withColumn("reach", F.max("r").over(row.rowsBetween(Window.unboundedPreceding, -1))).withColumn("first", (F.row_number().over(row) == 1) & F.col("row").isNotNull())
+    shape = {"x0": F.min("l"), "x1": F.max("r"), "n_rows": F.sum(F.col("first").cast("int")), "high": upper_median("greatest(b - t, 1)")}
+    placed = placed.withColumns({k: v.over(table) for k, v in shape.items()}).withColumn("s", F.greatest("l", "reach"))
+    new = F.coalesce((F.col("r") > F.col("l")) & (F.col("r") > F.col("s")), F.lit(False))  # what a word covers beyond those before it in its row
+    step = lambda x, d: F.struct(x.alias("x"), F.when(new, d).otherwise(0).alias("d"))
+    steps = placed.select("table_id", "x1", "n_rows", "high", F.inline(F.array(step(F.when(new, F.col("s")).otherwise(F.col("l")), 1), step(F.col("r"), -1)))).filter("x is not null")
+    own = steps.withColumn("rows", F.sum("d").over(at)).withColumn("end", F.lead("x").over(at)).filter("end > x").withColumn("blank", F.expr("n_rows - rows >= n_rows div 2 + 1"))
     own = own.withColumn("turn", F.coalesce(F.col("blank") != F.lag("blank").over(at), F.lit(True)).cast("int")).withColumn("run", F.sum("turn").over(at)).filter("blank")
     gaps = own.groupBy("table_id", "run").agg(F.min("x").alias("s"), F.max("end").alias("e"), F.first("x1").alias("x1"), F.first("high").alias("high")).filter("e < x1")
 
@@ -115,10 +119,8 @@ def table_cells(words: DataFrame) -> DataFrame:
     gaps = gaps.withColumn("k", F.row_number().over(Window.partitionBy("table_id", "chain").orderBy("s"))).filter("k % 2 = 1")
     gaps = gaps.withColumn("e", F.when(F.col("near"), F.col("next_e")).otherwise(F.col("e"))).filter("e - s >= 2 * high")
     cuts = gaps.groupBy("table_id").agg(F.collect_list(F.expr("(s + e) div 2")).alias("cuts"))  # no more than a page's width holds
-
-    columns = shape.join(cuts, "table_id", "left").select("table_id", "x0", "x1", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"))
-    centre = F.greatest(F.col("x0"), F.least(F.expr("(l + r) div 2"), F.greatest(F.col("x1"), F.col("x0") + 1) - 1))
-    put = words.join(columns, "table_id").withColumn("x", centre).withColumn("col", F.size(F.filter("cuts", lambda c: c <= F.col("x"))))
+    put = words.join(cuts.hint("merge"), "table_id", "left")  # a cut lies within the table, so a centre beyond its edge is on the same side of all
+    put = put.withColumn("col", F.coalesce(F.size(F.filter("cuts", lambda c: F.coalesce(c <= F.expr("(l + r) div 2"), F.lit(True)))), F.lit(0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda w: w["text"]), " ")
     return put.groupBy("table_id", "row", "col").agg(*_union(), text.alias("text"), F.min("conf").alias("conf")).withColumn("header", F.col("row") == 0)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import document, layout
 from .catalogue import LINES, W, _words, query
-from .relations import table
+from .relations import dealt, table
 
 
 def _lines(spark, d) -> DataFrame:
@@ -49,11 +49,11 @@ def page_regions(spark, d):
 def _table_words(spark, d) -> DataFrame:
     """An order's items as the rows of a table: four columns with ragged edges, the last of two words."""
     place = [("l_partkey", 0, 7), ("l_suppkey", 70, 31), ("l_quantity", 150, 23), ("l_orderkey", 240, 13), ("l_extendedprice", 300, 11)]
-    word = lambda i, name, at, rag: F.struct(F.lit(i).alias("word_idx"), F.col(name).cast("bigint").cast("string").alias("text"), (at + F.col("l_partkey") % rag + F.col("l_linenumber")).cast("int").alias("l"))
-    own = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("row"), (F.col("l_linenumber") * 5 + F.col("l_partkey")).alias("seed"), F.explode(F.array(*(word(i, *p) for i, p in enumerate(place)))).alias("w"),
-    )
-    first = own.groupBy("table_id", "row", "w.word_idx").agg(F.min(F.struct("seed", "w.text", "w.l")).alias("w"))  # line numbers may repeat
+    word = lambda name, at, rag: F.struct(F.col("seed"), F.col(name).cast("bigint").cast("string").alias("text"), (at + F.col("l_partkey") % rag + F.col("l_linenumber")).cast("int").alias("l"))
+    items = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), "l_orderkey")
+    own = items.withColumn("table_id", F.col("l_orderkey")).withColumn("row", F.col("l_linenumber") - 1).withColumn("seed", F.col("l_linenumber") * 5 + F.col("l_partkey"))
+    first = own.groupBy("table_id", "row").agg(*(F.min(word(*p)).alias(p[0]) for p in place))  # line numbers may repeat
+    first = first.select("table_id", "row", F.posexplode(F.array(*(p[0] for p in place))).alias("word_idx", "w"))
     size = 10 * F.length("w.text")
     return first.select("table_id", "row", "word_idx", "w.text", "w.l", (24 * F.col("row")).alias("t"), (F.col("w.l") + size).alias("r"), (24 * F.col("row") + 8 + F.col("w.seed") % 5).cast("int").alias("b"), (40 + F.col("w.seed") % 61).cast("int").alias("conf"))
 
