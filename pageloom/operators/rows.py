@@ -257,13 +257,16 @@ def escalated(otsu: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     Local thresholds are computed for the pages alone that Otsu's method fails;
     on pages too small for them every method is Otsu's, and the last is kept.
     """
-    share = ink_share(otsu)
-    good = share.filter(plausible(F.col("share"))).select("page_id")
-    done = otsu.join(good, "page_id").select("page_id", F.lit("otsu").alias("mode"), "y", "ink")
-    open_ = rows.join(good, "page_id", "left_anti").withColumn("fits", fits(k))
-    small = open_.filter("not fits").select("page_id").distinct()
-    done = done.unionByName(otsu.join(small, "page_id").select("page_id", F.lit("singh").alias("mode"), "y", "ink"))
-    local = local_thresholds(open_.filter("fits").drop("fits"), k)
+    return laddered(rows.join(otsu, ["page_id", "y"], "full"), k)
+
+
+def laddered(rows: DataFrame, k: int) -> DataFrame:
+    """The same for rows that hold ``v`` and, by Otsu's method, ``ink``; rows dealt by page are not shuffled."""
+    whole = Window.partitionBy("page_id")
+    share = F.sum(F.aggregate("ink", F.lit(0), lambda a, v: a + v)).over(whole) / F.sum(F.when(F.col("ink").isNotNull(), F.size("ink"))).over(whole)
+    own = rows.filter("page_id is not null").withColumn("good", F.coalesce(plausible(share), F.lit(False))).withColumn("fits", fits(k))
+    done = own.filter("ink is not null and (good or not fits)").select("page_id", F.when(F.col("good"), "otsu").otherwise("singh").alias("mode"), "y", "ink")
+    local = local_thresholds(own.filter("not good and fits and v is not null").select("page_id", "y", "v"), k)
     for mode in ("sauvola", "wolf", "singh"):
         local = local.withColumn(mode, F.zip_with("v", mode, lambda v, t: (v < t).cast("int")))
     page, size = Window.partitionBy("page_id"), F.size("v")

@@ -13,10 +13,15 @@ def _rows(spark, d):
     return page_rows(table(spark, d, "documents"))
 
 
-def _ink(spark, d):
+def _graded(spark, d):
+    """Rows with their values and their ink."""
     grey = _rows(spark, d)
     cut = F.coalesce("threshold", F.lit(-1))
-    return grey.join(raster.otsu(rows.exploded(grey)), "page_id", "left").select("page_id", "y", F.transform("v", lambda v: (v <= cut).cast("int")).alias("ink"))
+    return grey.join(raster.otsu(rows.exploded(grey)), "page_id", "left").select("page_id", "y", "v", F.transform("v", lambda v: (v <= cut).cast("int")).alias("ink"))
+
+
+def _ink(spark, d):
+    return _graded(spark, d).drop("v")
 
 
 def dilation(out: str, own: str, w: int, h: int) -> str:
@@ -167,7 +172,7 @@ md AS (SELECT page_id, CASE WHEN o BETWEEN 0.005 AND 0.15 THEN 'otsu' WHEN s BET
 SELECT page_id, mode, y, string_agg(CASE mode WHEN 'otsu' THEN ink WHEN 'sauvola' THEN CAST(v < sauvola AS INT) WHEN 'wolf' THEN CAST(v < wolf AS INT) ELSE CAST(v < singh AS INT) END, '' ORDER BY x) AS bits
 FROM bits JOIN lt USING (page_id, y, x) JOIN md USING (page_id) GROUP BY page_id, mode, y""")
 def binarize_ladder(spark, d):
-    out = rows.escalated(_ink(spark, d), _rows(spark, d), K)
+    out = rows.laddered(_graded(spark, d), K)
     return out.select("page_id", "mode", "y", F.array_join(F.transform("ink", lambda v: v.cast("string")), "").alias("bits"))
 
 

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DEALT = {"harvest_by_rules": "doc_id", "table_grid": "table_id"}
+DEALT = {"harvest_by_rules": "doc_id", "table_grid": "table_id", "binarize_ladder": "page_id"}
 
 
 @pytest.mark.parametrize("name", DEALT)
