@@ -5,7 +5,8 @@ exclusive): runs of pixels, components or words.  A frontier rectangle is the
 set of ink rows that share a ``path``, whose parts sort into reading order.
 Each level finds the gaps along both axes of every frontier rectangle at once
 and deals its ink rows to the children; rectangles without a cut leave as
-leaves.  A level is written to the shared folder before the next.
+leaves.  A level is written to the shared folder before the next; it deals its
+ink rows by page once, and all that it does with them takes them so.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import axis_cuts
-from .shared import dropped, kept
+from .shared import dealt_once, dropped, kept
 
 RECT = ("page_id", "path")
 EDGES = ("left", "top", "right", "bottom")
+#: Ink rows that a task takes in a level; the number of tasks is given to Spark, which would merge them by their packed size.
+INK = 1 << 18
 
 
 def _spans(ink: DataFrame, ink_share: float) -> DataFrame:
@@ -82,16 +85,21 @@ def xy_cut(ink: DataFrame, pages: DataFrame, depth: int = 6, share: float = 0.01
     """
     size = pages.select("page_id", F.lit("").alias("path"), F.lit(0).alias("left"), F.lit(0).alias("top"), F.col("w").cast("int").alias("right"), F.col("h").cast("int").alias("bottom"))
     own = ink.filter("r > l and b > t").join(size, "page_id").select("page_id", "path", *(F.col(c).cast("int").alias(c) for c in "ltrb"), *EDGES)
-    leaves, spent = None, []
-    for level in range(depth + 1):
-        own = open_ = kept(own)
-        if whole is not None:
-            open_ = own.join(whole(own.select(*RECT, *EDGES).distinct()).select(*RECT), list(RECT), "left_anti")
-        found = kept(cuts(open_, share, least, ink_share)) if level < depth else None
-        done = kept(boxes(own if found is None else own.join(found, list(RECT), "left_anti")))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        dropped(*spent)
-        if found is None or found.isEmpty():
-            break
-        spent, own = [own, found], dealt(own, found)
+    leaves, spent, spark = None, [], ink.sparkSession
+    least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with dealt_once(spark):
+        for level in range(depth + 1):
+            own = kept(own)
+            n = max(least_tasks, -(-own.count() // INK))
+            by_page = open_ = own.repartition(n, "page_id")
+            if whole is not None:
+                open_ = by_page.join(whole(own.select(*RECT, *EDGES).distinct()).select(*RECT), list(RECT), "left_anti")
+            found = kept(cuts(open_, share, least, ink_share)) if level < depth else None
+            cut = None if found is None else found.repartition(n, "page_id")
+            done = kept(boxes(by_page if cut is None else by_page.join(cut, list(RECT), "left_anti")))
+            leaves = done if leaves is None else leaves.unionByName(done)
+            dropped(*spent)
+            if found is None or found.isEmpty():
+                break
+            spent, own = [own, found], dealt(by_page, cut)
     return leaves.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("path")) - 1).alias("leaf"), "l", "t", "r", "b")
