@@ -4,11 +4,15 @@ Every window of ``LEAST`` bytes has an anchor: the gram of ``GRAM`` bytes with
 the least hash in it.  Equal windows have equal anchors at the same place, so
 only text around anchors that repeat is compared.
 
+0. Of whole texts that are equal only the first is compared: what a copy
+   holds, the first holds earlier.  A copy goes as a whole.
 1. Each task lists the anchors of its texts, with the span of bytes that their
    windows cover and a hash of it.  Spans that repeat within the task are
    settled there, which thins hot groups before the shuffle.
 2. Anchors are sorted by hash.  All but the first of equal spans are repeats;
    where an anchor has several distinct spans, the first of each is a context.
+   A window holds one of four stretches around its anchor, so a context that
+   agrees with no other in any of these is dropped.
 3. Contexts are cut from the texts and brought together by anchor.  Their
    suffixes are put in order by induced sorting; of windows that agree in
    ``LEAST`` bytes with a neighbour all but the first are repeats.  An anchor
@@ -36,6 +40,10 @@ from .induced import common_prefix, suffix_order
 from .neardup import BYTE, INVERSE, RADIX, mixed, powers
 
 LEAST, GRAM = 100, 24
+#: Every window holds its anchor, some multiple k of these bytes before it, and 3 - k times as many behind.
+SIDE = (LEAST - GRAM) // 4
+#: Contexts of one anchor that are held to be compared by their sides; of more than that, all stay.
+HELD = 1 << 17
 #: Contexts of an anchor beyond which its windows are dealt by their own hashes.
 HOT = 4000
 #: Anchors settled together in a task, and bytes sorted together.
@@ -55,14 +63,16 @@ def _window_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, packed span hash, anchor's place, and text number, of texts that lie end to end in ``data``.
+    """Anchor hash, packed span hash, anchor's place, text number, and sides, of texts that lie end to end in ``data``.
 
     The packed value holds 50 bits of the span's hash, the anchor's distance
-    from the first window's start, and the number of windows less one.
+    from the first window's start, and the number of windows less one.  Sides
+    are 16 bits each of the hashes of four stretches of the anchor with 0 to 3
+    times ``SIDE`` bytes before it and the rest behind, 0 where the text ends.
     """
     n = len(data)
     if n < LEAST:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     with np.errstate(over="ignore"):
         prefix = _prefix(data)
         gram = mixed((prefix[GRAM:] - prefix[:-GRAM]) * _POWERS[1][: n - GRAM + 1])
@@ -83,7 +93,28 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         at = place[low]
         span = _window_hash(prefix, low, high + LEAST)
         packed = (span >> np.uint64(14) << np.uint64(14)) | ((at - low).astype(np.uint64) << np.uint64(7)) | (high - low).astype(np.uint64)
-        return gram[at].view(np.int64), packed.view(np.int64), at, text[low]
+        own = text[low]
+        begin, end = ends[own - 1] * (own > 0), ends[own]
+        side = np.zeros(len(at), np.uint64)
+        for k in range(4):
+            a, b = at - k * SIDE, at + GRAM + (3 - k) * SIDE
+            part = _window_hash(prefix, np.maximum(a, 0), np.minimum(b, n)) >> np.uint64(48) | np.uint64(1)
+            side = side << np.uint64(16) | np.where((a >= begin) & (b <= end), part, np.uint64(0))
+        return gram[at].view(np.int64), packed.view(np.int64), at, own, side.view(np.int64)
+
+
+def _paired(a, side):
+    """Whether each context has another of its anchor that is equal in one of the four stretches."""
+    out = np.zeros(len(a), bool)
+    with np.errstate(over="ignore"):
+        for k in range(4):
+            part = side.view(np.uint64) >> np.uint64(16 * k) & np.uint64(0xFFFF)
+            some = np.flatnonzero(part)
+            key = mixed(a[some].view(np.uint64) + part[some] * RADIX)
+            order = np.argsort(key)
+            alike = key[order][1:] == key[order][:-1]
+            out[some[order[1:][alike]]] = out[some[order[:-1][alike]]] = True
+    return out
 
 
 def _batches(texts: list[bytes]):
@@ -101,15 +132,15 @@ def _batches(texts: list[bytes]):
         yield group
 
 
-def _settle(a, w, doc, at):
+def _settle(a, w, doc, at, side):
     """First of equal spans, and the intervals of the rest, merged where they touch."""
     order = np.lexsort((at, doc, w, a))
-    a, w, doc, at = a[order], w[order], doc[order], at[order]
+    a, w, doc, at, side = a[order], w[order], doc[order], at[order], side[order]
     fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
-    a, w, doc, at = a[fresh], w[fresh], doc[fresh], at[fresh]  # of a repeated row, one
+    a, w, doc, at, side = a[fresh], w[fresh], doc[fresh], at[fresh], side[fresh]  # of a repeated row, one
     again = np.concatenate([[False], (a[1:] == a[:-1]) & (w[1:] == w[:-1])])
     start = at[again] - ((w[again] >> 7) & 127)
-    return (a[~again], w[~again], doc[~again], at[~again]), _union(doc[again], start, start + (w[again] & 127) + LEAST)
+    return (a[~again], w[~again], doc[~again], at[~again], side[~again]), _union(doc[again], start, start + (w[again] & 127) + LEAST)
 
 
 def _union(doc, start, end):
@@ -129,14 +160,13 @@ def _union(doc, start, end):
 
 
 def listed(docs: DataFrame) -> DataFrame:
-    """``kind a w doc_id at``: anchors (kind 0), and intervals settled in the task (kind 1: doc_id, w: start, at: end)."""
+    """``kind a w doc_id at side``: anchors (kind 0), and intervals settled in the task (kind 1: doc_id, w: start, at: end)."""
 
     def rows(held):
-        a, w, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        first, (d, s, e) = _settle(a, w, doc, at)
+        first, (d, s, e) = _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield _table(np.zeros(len(first[0]), np.int32), *first)
         if len(d):
-            yield _table(np.ones(len(d), np.int32), mixed(d.view(np.uint64)).view(np.int64), s, d, e)
+            yield _table(np.ones(len(d), np.int32), mixed(d.view(np.uint64)).view(np.int64), s, d, e, np.zeros(len(d), np.int64))
 
     def run(batches):
         held, count = [], 0
@@ -145,9 +175,9 @@ def listed(docs: DataFrame) -> DataFrame:
             for group in _batches([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]):
                 data = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
                 ends = np.cumsum([len(g[2]) for g in group])
-                a, w, at, own = anchors(data, ends)
+                a, w, at, own, side = anchors(data, ends)
                 number, shift = np.array([g[0] for g in group]), np.array([g[1] for g in group]) - np.concatenate([[0], ends[:-1]])
-                held.append((a, w, ids[number[own]], at + shift[own]))
+                held.append((a, w, ids[number[own]], at + shift[own], side))
                 count += len(a)
                 if count >= CHUNK:
                     yield from rows(held)
@@ -155,56 +185,57 @@ def listed(docs: DataFrame) -> DataFrame:
         if count:
             yield from rows(held)
 
-    return common.texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(run, "kind int, a long, w long, doc_id long, at long")
+    return common.texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(run, "kind int, a long, w long, doc_id long, at long, side long")
 
 
 def _table(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "a", "w", "doc_id", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "a", "w", "doc_id", "at", "side"][: len(columns)])
 
 
 def matched(anchored: DataFrame) -> DataFrame:
     """Repeats (kind 1: doc_id, w: start, at: end) and contexts (kind 2: a, w, doc_id, at)."""
 
     def run(batches):
-        held = None  # the last first-of-its-span row, and whether the row before has its anchor
-        last = None
+        held = [np.zeros(0, np.int64)] * 5  # first-of-its-span rows of the anchor that came last
+        whole = last = None  # an anchor whose contexts all stay; the last first-of-its-span row
+
+        def several(rows, keep):
+            if keep.any():
+                yield _table(np.full(keep.sum(), 2, np.int32), *(x[keep] for x in rows[:4]))
+
         for batch in batches:
-            kind, a, w, doc, at = (batch.column(c).to_numpy() for c in ("kind", "a", "w", "doc_id", "at"))
+            kind, *rows = (batch.column(c).to_numpy() for c in ("kind", "a", "w", "doc_id", "at", "side"))
             known = kind == 1
             if known.any():
-                yield _table(kind[known], a[known], w[known], doc[known], at[known])
-            a, w, doc, at = (x[~known] for x in (a, w, doc, at))
+                yield _table(kind[known], *(x[known] for x in rows[:4]))
+            a, w, doc, at, side = (x[~known] for x in rows)
             if not len(a):
                 continue
             if last is not None:
-                a, w, doc, at = (np.concatenate([[x], y]) for x, y in zip(last, (a, w, doc, at), strict=True))
+                a, w, doc, at, side = (np.concatenate([[x], y]) for x, y in zip(last, (a, w, doc, at, side), strict=True))
             alike = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
             twice = alike & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])  # a repeated row
             own = np.concatenate([[last is None], ~twice])
             again = np.concatenate([[False], alike])[own]
-            last = a[-1], w[-1], doc[-1], at[-1]
-            a, w, doc, at = (x[own] for x in (a, w, doc, at))
+            last = a[-1], w[-1], doc[-1], at[-1], side[-1]
+            a, w, doc, at, side = (x[own] for x in (a, w, doc, at, side))
             if not len(a):
                 continue
             if again.any():
                 start = at[again] - ((w[again] >> 7) & 127)
                 d, s, e = _union(doc[again], start, start + (w[again] & 127) + LEAST)
                 yield _table(np.ones(len(d), np.int32), np.zeros(len(d), np.int64), s, d, e)
-            a, w, doc, at = (x[~again] for x in (a, w, doc, at))
-            if not len(a):
+            rows = [np.concatenate([x, y[~again]]) for x, y in zip(held, (a, w, doc, at, side), strict=True)]
+            if not len(rows[0]):
                 continue
-            before = False
-            if held is not None:
-                row, before = held
-                a, w, doc, at = (np.concatenate([[r], x]) for r, x in zip(row, (a, w, doc, at), strict=True))
-            alike = a[1:] == a[:-1]
-            several = np.concatenate([[before], alike]) | np.concatenate([alike, [False]])
-            held = (a[-1], w[-1], doc[-1], at[-1]), bool(several[-1])
-            several = several[:-1]
-            if several.any():
-                yield _table(np.full(several.sum(), 2, np.int32), *(x[:-1][several] for x in (a, w, doc, at)))
-        if held is not None and held[1]:
-            yield _table(np.array([2], np.int32), *(np.array([x]) for x in held[0]))
+            ended = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+            done, held = [x[:ended] for x in rows], [x[ended:] for x in rows]
+            yield from several(done, _paired(done[0], done[4]) | (done[0] == whole))
+            if len(held[0]) > HELD or held[0][0] == whole:
+                whole = held[0][0]
+                yield from several(held, np.ones(len(held[0]), bool))
+                held = [x[:0] for x in held]
+        yield from several(held, _paired(held[0], held[4]))
 
     n = int(anchored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = anchored.repartition(n, "a").sortWithinPartitions("a", "w", "doc_id", "at")
@@ -298,6 +329,12 @@ def resolved(spans: DataFrame, budget: int = 64 << 20) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, end long").unionByName(known)
 
 
+def firsts(docs: DataFrame) -> DataFrame:
+    """``doc_id`` of the first of each group of equal texts; the others are copies."""
+    own = common.texts(docs.filter(F.col("doc_id").isNotNull())).groupBy(F.unhex(F.sha2("text", 256)).alias("key")).agg(F.min("doc_id").alias("doc_id"))
+    return own.select("doc_id").distinct()
+
+
 def intervals(docs: DataFrame) -> DataFrame:
     """``doc_id start end``: every byte that a repeated window covers lies in one of these."""
     found = common.written(matched(listed(docs)), "matched")
@@ -312,15 +349,19 @@ def cut(docs: DataFrame, *keep: str, as_text: bool = False) -> DataFrame:
     With ``as_text`` the kept bytes are text; what is left of a character cut
     in half goes too.
     """
-    own = intervals(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    first = common.written(firsts(docs), "firsts").hint("merge")
+    own = intervals(docs.join(first, "doc_id", "left_semi")).unionByName(first.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))
+    own = own.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))  # a copy has none, others at least an empty one
     joined = common.texts(docs, *keep).join(own, "doc_id", "left")
 
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "text", 4 << 20):
                 kept, rows = [], []
-                for text, cuts in zip(part.column("text").to_pylist(), part.column("cuts").to_pylist(), strict=True):
+                for doc, text, cuts in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "cuts")), strict=True):
                     data, out, at, removed, n = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
+                    if cuts is None and doc is not None and len(data) >= LEAST:
+                        cuts = [{"start": 0, "end": len(data)}]
                     for c in sorted((c["start"], c["end"]) for c in cuts or ()):
                         a, b = max(c[0], at), c[1]
                         if b <= a:

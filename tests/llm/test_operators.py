@@ -286,6 +286,26 @@ def test_suffix_on_repeated_rows(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 400), (3, 400)]
 
 
+def test_suffix_compares_what_can_be_equal(spark):
+    """Copies of a whole text are not compared, nor contexts that have only an anchor's bytes in common."""
+    rng = random.Random(11)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    text, phrase, passage = own(5000), own(60), own(120)
+    rows = [(i, text) for i in range(20)] + [(20 + i, own(300) + phrase + own(300)) for i in range(20)]
+    docs = spark.createDataFrame([*rows, (40, own(90) + passage + own(90)), (41, passage[5:] + own(90))], "doc_id long, text string")
+    first = suffix.firsts(docs)
+    assert {r.doc_id for r in first.collect()} == {0, *range(20, 42)}
+    found = suffix.matched(suffix.listed(docs.join(first, "doc_id", "left_semi"))).filter("kind = 2").collect()
+    assert found and {r.doc_id for r in found} == {40, 41}
+    assert {r.doc_id: r.n_removed for r in suffix.cut(docs).collect() if r.n_removed} == {41: 115} | dict.fromkeys(range(1, 20), 5000)
+
+
+def test_suffix_keeps_contexts_of_anchors_beyond_the_bound(spark, texts, docs, monkeypatch):
+    monkeypatch.setattr(suffix, "HELD", 0)
+    got = by_id(suffix.cut(docs))
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for d, r in got.items()} == brute.cut(texts)
+
+
 def test_suffix_over_a_mebibyte(spark):
     rng = random.Random(10)
     long = "".join(rng.choices("abcdefghijklmnop", k=1 << 20)) + "".join(rng.choices("qrstuv", k=3000))
