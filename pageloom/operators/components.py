@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .shared import dealt_once, dropped, kept
 
 #: Runs that a task links and labels; the number of tasks is given to Spark, which would merge them by their packed size.
 RUNS = 100_000
+#: Links that a task takes together, in whole pages; a page of more is taken in parts.
+LINKS = 1 << 20
 
 
 def ink_runs(rows: DataFrame) -> DataFrame:
@@ -44,21 +48,97 @@ def touching(runs: DataFrame, reach: int) -> DataFrame:
     return wanted.join(own.select("page_id", "y", "k", F.col("run").alias("other")), ["page_id", "y", "k"]).select("page_id", "run", "other")
 
 
+def least_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of ``n`` nodes reaches by the links a-b."""
+    own = np.arange(n)
+    while True:
+        x, y = own[a], own[b]
+        less, next_ = np.minimum(x, y), own.copy()
+        np.minimum.at(next_, x, less)
+        np.minimum.at(next_, y, less)
+        while (next_[next_] != next_).any():
+            next_ = next_[next_]
+        if (next_ == own).all():
+            return own
+        own = next_
+
+
+def contracted(links: DataFrame, n: int) -> DataFrame:
+    """``page_id run other parted``: each linked run with the first run of its component, as far as ``LINKS`` links show it.
+
+    Only a page of more links is ``parted``: its components may go on in other parts.
+    """
+    limit = LINKS
+
+    def stars(part, parted):
+        key, run, other = (part.column(c).to_numpy() for c in ("key", "run", "other"))
+        page = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        size = max(int(run.max()), int(other.max())) + 1
+        nodes, at, inverse = np.unique(np.concatenate([page * size + run, page * size + other]), return_index=True, return_inverse=True)
+        least = nodes[least_of(inverse[: len(run)], inverse[len(run) :], len(nodes))] % size
+        pages = part.column("page_id").take(pa.array(at % len(run))).combine_chunks()
+        columns = pages, pa.array((nodes % size).astype(np.int64)), pa.array(least.astype(np.int64)), pa.array(np.full(len(nodes), parted))
+        return pa.RecordBatch.from_arrays([*columns], ["page_id", "run", "other", "parted"])
+
+    def run(batches):
+        held, part_of = None, None  # links of whole pages, but for the last; the page that is taken in parts
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            if held.num_rows < limit:
+                continue
+            key = held.column("key").to_numpy()
+            if part_of is not None:  # the rest of a page of which parts have gone
+                rest = int(np.argmax(key != part_of)) if key[-1] != part_of else len(key)
+                if rest:
+                    yield stars(held.slice(0, rest), True)
+                held, key, part_of = held.slice(rest), key[rest:], part_of if rest == len(key) else None
+                if not held.num_rows:
+                    continue
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if last:
+                yield stars(held.slice(0, last), False)
+                held, key = held.slice(last), key[last:]
+            if held.num_rows >= limit:
+                yield stars(held, True)
+                held, part_of = held.slice(0, 0), key[-1]
+        if held is not None and held.num_rows:
+            key = held.column("key").to_numpy()
+            rest = 0 if part_of is None else int((key == part_of).sum())
+            if rest:
+                yield stars(held.slice(0, rest), True)
+            if rest < held.num_rows:
+                yield stars(held.slice(rest), False)
+
+    own = links.select("page_id", F.col("run").cast("long").alias("run"), F.col("other").cast("long").alias("other"), F.xxhash64("page_id").alias("key"))
+    own = own.repartition(n, "page_id").sortWithinPartitions("key", "page_id", "run")
+    schema = own.select("page_id", "run", "other", F.lit(True).alias("parted")).schema
+    return own.mapInArrow(run, schema)
+
+
 def labelled(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     """``runs`` with ``label``, the first run of each run's component.
 
     Runs in neighbouring rows touch where they overlap, with connectivity 8
-    also where they meet at a corner.  Each round takes the least label among
+    also where they meet at a corner.  A task labels whole pages, as far as it
+    can hold their links, and one round gives all runs these labels; where a
+    page has more links, further rounds go over what its parts
+    found.  Each round takes the least label among
     neighbours and then that label's own label, so rounds are few; each is
     written to the shared folder and the one before deleted.  A round deals
     labels and links by page once, and all of its joins take them so.
     """
-    runs = kept(runs)
-    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RUNS))
+    runs = kept(runs.filter("page_id is not null and run is not null"))
+    n = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // RUNS))
     by_page = runs.repartition(n, "page_id")
     down = touching(by_page, 1 if connectivity == 8 else 0)
     with dealt_once(runs.sparkSession):
-        links = kept(down.unionByName(down.select("page_id", F.col("other").alias("run"), F.col("run").alias("other"))))
+        found = kept(contracted(down, n))
+        whole = found.filter("parted").isEmpty()
+        stars = found.filter("run <> other").select("page_id", *(F.col(c).cast(runs.schema["run"].dataType).alias(c) for c in ("run", "other")))
+        links = stars.unionByName(stars.select("page_id", F.col("other").alias("run"), F.col("run").alias("other")))
         own, labels = None, by_page.select("page_id", "run", F.col("run").alias("label"))
         while True:
             near = links.repartition(n, "page_id").join(labels.select("page_id", F.col("run").alias("other"), F.col("label").alias("theirs")), ["page_id", "other"]).groupBy("page_id", "run").agg(F.min("theirs").alias("theirs"))
@@ -68,7 +148,7 @@ def labelled(runs: DataFrame, connectivity: int = 8) -> DataFrame:
             if own is not None:
                 dropped(own)
             own, labels = next_, next_.drop("old").repartition(n, "page_id")
-            if own.filter("old <> label").isEmpty():
+            if whole or own.filter("old <> label").isEmpty():
                 dropped(links)
                 return runs.join(own.drop("old"), ["page_id", "run"])
 

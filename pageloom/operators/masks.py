@@ -22,8 +22,8 @@ def resized(ink: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.filter("y < h and l < r").select(*R.ROW, "l", "r")
 
 
-def pictures(ink: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The mask of pictures, and the page without them; pages below ``SIDE`` have neither.
+def pictures(ink: DataFrame, pages: DataFrame) -> DataFrame:
+    """The mask of pictures; pages below ``SIDE`` have none.
 
     What is dense at an eighth of the size is a seed, and grows within the
     closed page.  The mask ends with the last whole box of four pixels.
@@ -31,8 +31,11 @@ def pictures(ink: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ink = kept(large(ink))
     seeds = kept(R.replicated(R.opened(R.rank_reduced(R.rank_reduced(ink, 4), 4), 5, 5), 4))
     sizes = large(pages).select("page_id", F.expr("w div 4 * 4").cast("int").alias("w"), F.expr("h div 4 * 4").cast("int").alias("h"))
-    mask = kept(R.seed_filled(seeds, resized(R.closed(ink, 4, 4), sizes), 4))
-    return mask, kept(R.subtracted(ink, resized(mask, large(pages))))
+    return kept(R.seed_filled(seeds, resized(R.closed(ink, 4, 4), sizes), 4))
+
+
+def without_pictures(ink: DataFrame, mask: DataFrame, pages: DataFrame) -> DataFrame:
+    return kept(R.subtracted(large(ink), resized(mask, large(pages))))
 
 
 def text_lines(text: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,17 +53,27 @@ def text_blocks(lines: DataFrame, lanes: DataFrame) -> DataFrame:
     return kept(R.selected(R.subtracted(R.closed(solid, 10, 1), lanes), F.expr("r - l >= 25 and b - t >= 5")))
 
 
+def brought_back(mask: DataFrame, ink: DataFrame, pages: DataFrame) -> DataFrame:
+    """The mask of pictures that was found at half the size, grown within the page's ink."""
+    twice = R.replicated(mask, 2)
+    sizes = pages.select("page_id", F.expr("w div 2 div 4 * 8").cast("int").alias("w"), F.expr("h div 2 div 4 * 8").cast("int").alias("h"))
+    return kept(R.united(twice, R.seed_filled(twice, resized(ink, sizes), 8)))
+
+
+def halftone(ink: DataFrame, pages: DataFrame) -> DataFrame:
+    """The mask of pictures alone."""
+    ink, pages = kept(large(ink)), large(pages)
+    return brought_back(pictures(R.rank_reduced(ink, 1), R.halved(pages)), ink, pages)
+
+
 def regions(ink: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     """``halftone``, ``textline`` and ``textblock`` masks, found at half the size and brought back to the page's."""
     ink, pages = kept(large(ink)), large(pages)
     half, size = kept(R.rank_reduced(ink, 1)), R.halved(pages)
-    mask, text = pictures(half, size)
-    lines, lanes = text_lines(text, size)
+    mask = pictures(half, size)
+    lines, lanes = text_lines(without_pictures(half, mask, size), size)
     blocks = R.selected(text_blocks(lines, lanes), F.expr(f"r - l >= {BLOCK} or b - t >= {BLOCK}"), 4)
-    twice = R.replicated(mask, 2)
-    sizes = pages.select("page_id", F.expr("w div 2 div 4 * 8").cast("int").alias("w"), F.expr("h div 2 div 4 * 8").cast("int").alias("h"))
-    grown = R.seed_filled(twice, resized(ink, sizes), 8)
-    return {"halftone": kept(R.united(twice, grown)), "textline": kept(R.dilated(R.replicated(lines, 2), 3, 3)), "textblock": kept(R.dilated(R.replicated(blocks, 2), 3, 3))}
+    return {"halftone": brought_back(mask, ink, pages), "textline": kept(R.dilated(R.replicated(lines, 2), 3, 3)), "textblock": kept(R.dilated(R.replicated(blocks, 2), 3, 3))}
 
 
 def figures(halftone: DataFrame, least: int = 1) -> DataFrame:

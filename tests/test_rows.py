@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import components, rows
+from pageloom.operators import components, rows, shared
 from pageloom.operators import page as paging
 
 
@@ -116,3 +116,21 @@ def test_labels_shuffle_by_page_once(spark, monkeypatch):
     rounds = plans[2:]
     assert rounds and not any("ENSURE_REQUIREMENTS" in plan for plan in rounds)
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+
+
+@pytest.mark.parametrize("links", [1 << 20, 3, 1])
+def test_labels_of_pages_in_parts(spark, monkeypatch, links):
+    """Snakes through all rows, of one component each, beside single runs; whole pages in one task, or pages of more links than a task takes."""
+    monkeypatch.setattr(components, "LINKS", links)
+    rows = [(p, y, y, *((0, 9) if y % 2 == 0 else (8, 9) if y % 4 == 1 else (0, 1))) for p in (1, 2) for y in range(12)]
+    rows += [(3, k, 2 * k, 0, 5) for k in range(6)]
+    runs = spark.createDataFrame(rows, "page_id int, run int, y int, l int, r int")
+    got = {(r.page_id, r.run): r.label for r in components.labelled(runs, 4).collect()}
+    assert got == {(p, k): 0 if p < 3 else k for p, k, *_ in rows}
+
+
+def test_whole_pages_are_labelled_without_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "kept", lambda df: written.append(df) or shared.kept(df))
+    runs = spark.createDataFrame([(1, k, k, 0, 3) for k in range(64)], "page_id int, run int, y int, l int, r int")
+    assert {r.label for r in components.labelled(runs, 4).collect()} == {0} and len(written) == 3

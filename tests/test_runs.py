@@ -284,3 +284,20 @@ def test_mask_queries(spark):
                 at = np.flatnonzero(row)
                 assert got.get((p, kind, y)) == ((len(at), at[0], at[-1] + 1) if len(at) else None), (p, kind, y)
     assert any(w[0].any() for w in want.values()) and not all(w[0].any() for w in want.values())
+
+
+def test_figures_take_only_the_mask_of_pictures(spark, monkeypatch):
+    """Boxes of the pictures of the registered pages, without a text line or block being looked for."""
+    boxes, pages = segments._prints(spark, "/root/testdata/sf0.001")
+    few = boxes.filter("page_id <= 4")
+    want = []
+    for p in sorted({r.page_id for r in few.select("page_id").distinct().collect()}):
+        grid = np.zeros((280, 340), bool)
+        for r in few.filter(f"page_id = {p}").collect():
+            grid[r.t : r.b, r.l : r.r] = True
+        at = np.argwhere(masks_of(grid)[0])
+        if len(at):
+            want.append((p, 0, at[:, 1].min(), at[:, 0].min(), at[:, 1].max() + 1, at[:, 0].max() + 1))
+    monkeypatch.setattr(masks, "text_lines", None)
+    got = sorted((r.page_id, r.figure, r.l, r.t, r.r, r.b) for r in segments.page_figures(spark, "/root/testdata/sf0.001").filter("page_id <= 4").collect())
+    assert want and got == want
