@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
@@ -27,10 +28,10 @@ SELECT doc_id, line_idx, word_idx, '[' || l || ',' || t || ',' || greatest(r, r2
   printf('left:%.3f%%;top:%.3f%%;width:%.3f%%;height:%.3f%%', l / 2000.0::DOUBLE * 100, t / 3000.0::DOUBLE * 100, (r - l) / 2000.0::DOUBLE * 100, 20 / 3000.0::DOUBLE * 100) AS css_percent,
   round(r * 72.0::DOUBLE / 300, 3) AS right_pt FROM nx""")
 def neighbour_boxes(spark, d):
-    own = _words(spark, d).withColumn("box", F.struct("l", "t", "r", "b"))
-    other = own.select("doc_id", "line_idx", (F.col("word_idx") - 1).alias("word_idx"), F.col("box").alias("other"))
-    a, b = F.col("box"), F.col("other")
-    return own.join(other, ["doc_id", "line_idx", "word_idx"]).select(
+    nearest = F.lead(F.struct("word_idx", F.struct("l", "t", "r", "b").alias("box"))).over(Window.partitionBy("doc_id", "line_idx").orderBy("word_idx"))
+    own = _words(spark, d).filter("doc_id is not null").withColumn("next", nearest).filter(F.col("next.word_idx") == F.col("word_idx") + 1)
+    a, b = F.struct("l", "t", "r", "b"), F.col("next.box")
+    return own.select(
         "doc_id", "line_idx", "word_idx", boxes.json_box(boxes.union(a, b)).alias("both_json"), boxes.same_band(a, b).alias("banded"), boxes.css_box(a).alias("css"),
         boxes.percent_box(a, F.lit(2000), F.lit(3000)).alias("css_percent"), F.round(boxes.points(a["r"], F.lit(300)), 3).alias("right_pt"),
     )
