@@ -52,7 +52,9 @@ def axis(pages: DataFrame, side: str, area: bool) -> DataFrame:
 def weighted(px: DataFrame, pages: DataFrame, area: bool) -> DataFrame:
     """Pixels ``page_id y x v`` of the scaled pages."""
     named = lambda df, side, at: df.select(F.col("side").alias(side), "f", F.col("source").alias(at), F.col("target").alias(f"to_{at}"), F.col("weight").alias(f"weight_{at}"), (F.col("source") == F.col("first")).alias(f"first_{at}"), F.col("edge").alias(f"edge_{at}"))
-    own = px.join(pages, "page_id").join(named(axis(pages, "h", area), "h", "y"), ["h", "f", "y"]).join(named(axis(pages, "w", area), "w", "x"), ["w", "f", "x"])
+    # an axis has a few rows for each length, factor and line, whatever the number of pages
+    down, across = F.broadcast(named(axis(pages, "h", area), "h", "y")), F.broadcast(named(axis(pages, "w", area), "w", "x"))
+    own = px.join(pages, "page_id").join(down, ["h", "f", "y"]).join(across, ["w", "f", "x"])
     weight = F.col("weight_y") * F.col("weight_x")
     corner = F.max(F.when(F.col("first_y") & F.col("first_x"), F.col("v")))
     out = own.groupBy("page_id", F.col("to_y").alias("y"), F.col("to_x").alias("x")).agg(F.sum(weight * F.col("v")).alias("s"), F.sum(weight).alias("a"), corner.alias("corner"), F.max(F.col("edge_y") | F.col("edge_x")).alias("edge"))
@@ -77,7 +79,9 @@ def sharpened(px: DataFrame, half: int, strength: float) -> DataFrame:
 def scaled(px: DataFrame, pages: DataFrame) -> DataFrame:
     """Pixels of pages (page_id w h f) scaled by ``f`` each: interpolated, area-mapped or halved, and sharpened, as its factor asks for.
 
-    Factors below ``LEAST`` are not scaled; their pages are left out.
+    Factors below ``LEAST`` are not scaled; their pages are left out.  Pages
+    meet their pixels where these are dealt by page, and are not gathered on
+    the driver, however small Spark takes them for; pixels need no sorting.
     """
     pages = pages.select("page_id", "w", "h", F.col("f").cast("float").alias("f"))
     f = F.col("f")
@@ -85,8 +89,8 @@ def scaled(px: DataFrame, pages: DataFrame) -> DataFrame:
     way = F.when(f == 1, "same").when(f >= _float(SHARPENED), "interpolated").when(f >= _float(INTERPOLATED), "interpolated sharp").when(halving.isNotNull(), F.concat(F.lit("halved "), halving.cast("string")))
     way = way.when(f > _float(REDUCED_SHARPENED), "mapped sharp").when(f >= _float(LEAST), "mapped")
     own = pages.withColumn("way", way)
-    of = lambda name: own.filter(F.col("way") == name).drop("way")
-    source = lambda name: px.join(of(name).select("page_id"), "page_id", "left_semi")
+    of = lambda name: own.filter(F.col("way") == name).drop("way").hint("shuffle_hash")
+    source = lambda name: px.join(of(name).select("page_id").hint("shuffle_hash"), "page_id", "left_semi")
     out = source("same").select("page_id", "y", "x", "v").unionByName(weighted(px, of("interpolated"), False)).unionByName(weighted(px, of("mapped"), True))
     out = out.unionByName(sharpened(weighted(px, of("interpolated sharp"), False), *STRONG)).unionByName(sharpened(weighted(px, of("mapped sharp"), True), *WEAK))
     for k, n in HALVINGS.items():
