@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runs as R
+from . import sheets as S
 from .shared import kept
 
 #: Least side of a page that masks are made of, and least side of a block.
@@ -76,6 +78,76 @@ def regions(ink: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
     return {"halftone": brought_back(mask, ink, pages), "textline": kept(R.dilated(R.replicated(lines, 2), 3, 3)), "textblock": kept(R.dilated(R.replicated(blocks, 2), 3, 3))}
 
 
+KINDS = ("halftone", "textline", "textblock")
+
+
+def listed(found: dict[str, DataFrame]) -> DataFrame:
+    """``page_id mask y l r``: the runs of masks by their names."""
+    out = None
+    for kind, own in found.items():
+        part = own.select("page_id", F.lit(kind).alias("mask"), "y", "l", "r")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _pictures(ink: np.ndarray) -> np.ndarray:
+    seeds = S.replicated(S.opened(S.rank_reduced(S.rank_reduced(ink, 4), 4), 5, 5), 4)
+    h, w = seeds.shape
+    return S.seed_filled(seeds, S.closed(ink, 4, 4)[:h, :w], 4)
+
+
+def _brought_back(mask: np.ndarray, ink: np.ndarray) -> np.ndarray:
+    twice = S.replicated(mask, 2)
+    h, w = twice.shape
+    return twice | S.seed_filled(twice, ink[:h, :w], 8)
+
+
+def _text(half: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The masks of text lines and text blocks at half the size."""
+    h, w = half.shape
+    text = half & ~S.resized(mask, w, h)
+    lanes = S.opened(S.opened(~text & ~S.opened(~text, 80, 60), 5, 1), 1, 200)
+    lines = S.opened(S.closed(text, 30, 1) & ~lanes, 3, 3)
+    joined = S.opened(S.closed(lines, 1, 10), 4, 1)
+    solid = S.by_component(joined, lambda part: S.dilated(S.closed(part, 30, 30), 3, 3), 8)
+    blocks = S.selected(S.closed(solid, 10, 1) & ~lanes, lambda w, h: (w >= 25) & (h >= 5), 8)
+    return lines, S.selected(blocks, lambda w, h: (w >= BLOCK) | (h >= BLOCK), 4)
+
+
+def _rows(*columns) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate([c, []]) for c in columns)
+
+
+def whole_regions(sheets: DataFrame) -> DataFrame:
+    """``regions`` of whole pages, as ``listed``."""
+
+    def masks(ink: np.ndarray):
+        half = S.rank_reduced(ink, 1)
+        if min(half.shape) < SIDE:
+            return _rows([], [], [], [])
+        mask = _pictures(half)
+        twice = (S.dilated(S.replicated(own, 2), 3, 3) for own in _text(half, mask))
+        own = [S.Runs(a) for a in (_brought_back(mask, ink), *twice)]
+        return np.repeat(np.arange(len(own)), [len(k.y) for k in own]), *(np.concatenate([getattr(k, c) for k in own]) for c in "ylr")
+
+    own = S.each(sheets, masks, "kind", "y", "l", "r")
+    return own.select("page_id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("mask"), "y", "l", "r")
+
+
+def whole_figures(sheets: DataFrame, least: int = 1) -> DataFrame:
+    """``figures`` of whole pages' pictures."""
+
+    def boxes(ink: np.ndarray):
+        half = S.rank_reduced(ink, 1)
+        if min(half.shape) < SIDE:
+            return _rows([], [], [], [], [])
+        _, *box = S.Runs(_brought_back(_pictures(half), ink), 8).boxes()
+        fit = (box[2] - box[0] >= least) & (box[3] - box[1] >= least)
+        return np.arange(fit.sum()), *(c[fit] for c in box)
+
+    return S.each(sheets, boxes, "figure", *"ltrb")
+
+
 def figures(halftone: DataFrame, least: int = 1) -> DataFrame:
     """``page_id figure l t r b``: boxes of the pictures, numbered in raster order of their first pixel."""
     own = R.boxes(R.labelled(halftone, 8)).filter((F.col("r") - F.col("l") >= least) & (F.col("b") - F.col("t") >= least))
