@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runs as R
+from . import sheets as S
 from .shared import kept
+from .xycut import EDGES
 
 #: Length of a rule and of a corridor, gap within a rule, width of a corridor at half size, least side of a table, least score.
 RULE, RULE_GAP, CORRIDOR, CORRIDOR_WIDTH, SIDE, SCORE = 100, 4, 100, 5, 100, 2
@@ -36,10 +39,58 @@ def decided(ink: DataFrame, pages: DataFrame) -> DataFrame:
     for own, name, where in counts:
         out = out.join(R.counted(own, where=where).withColumnRenamed("n", name), "page_id", "left")
     out = out.select("page_id", *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("nhb", "nvb", "nvw")))
+    return _scored(out)
+
+
+def _decided(ink: np.ndarray) -> tuple[int, int, int]:
+    across, down = _rules(ink)
+    text = S.opened(S.closed(ink & ~S.seed_filled(across | down, ink, 8), 4, 1), 8, 1)
+    return S.counted(across), S.counted(down), S.counted(S.opened(~S.rank_reduced(text, 4), 1, CORRIDOR), CORRIDOR_WIDTH)
+
+
+def _rules(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return S.closed(S.opened(ink, RULE, 1), 1, RULE_GAP), S.closed(S.opened(ink, 1, RULE), RULE_GAP, 1)
+
+
+def _scored(out: DataFrame) -> DataFrame:
     signs = ("nhb > 1", "nvb > 2", "nvw > 3", "nvw > 6")
     return out.withColumn("score", sum((F.expr(s).cast("int") for s in signs), F.lit(0)))
 
 
+def whole_decided(sheets: DataFrame) -> DataFrame:
+    """``decided`` of whole pages."""
+    return _scored(S.each(sheets, lambda ink: tuple(np.array([n]) for n in _decided(ink)), "nhb", "nvb", "nvw"))
+
+
+def whole_without_rules(sheets: DataFrame) -> DataFrame:
+    """``page_id l t r b``: the ink of whole pages without the components that hold a rule, in boxes of equal runs one below the other."""
+
+    def boxes(ink: np.ndarray):
+        across, down = _rules(ink)
+        own = S.Runs(ink & ~S.seed_filled(across | down, ink, 8))
+        order = np.lexsort((own.y, own.r, own.l))
+        l, r, y = own.l[order], own.r[order], own.y[order]
+        first = np.flatnonzero(np.concatenate([[True], (l[1:] != l[:-1]) | (r[1:] != r[:-1]) | (y[1:] != y[:-1] + 1)])[: len(l)])
+        return l[first], y[first], r[first], y[np.append(first[1:], len(l)) - 1] + 1 if len(l) else y
+
+    return S.each(sheets, boxes, *"ltrb")
+
+
+def tables_whole(sheets: DataFrame, rects: DataFrame) -> DataFrame:
+    """``whole_tables`` of whole pages: ``page_id path`` of the rectangles that are tables on the sheets of the pages as printed."""
+    large = rects.filter(F.least(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")) >= SIDE)
+
+    def scored(ink: np.ndarray, left: int, top: int, right: int, bottom: int):
+        part = ink[max(top, 0) : max(bottom, 0), max(left, 0) : max(right, 0)]
+        if min(part.shape) < SIDE:
+            return (np.empty(0),)
+        nhb, nvb, nvw = _decided(part)
+        score = np.array([(nhb > 1) + (nvb > 2) + (nvw > 3) + (nvw > 6)])
+        return (score[score >= SCORE],)
+
+    return S.each(large.join(sheets, "page_id"), scored, "score", given=EDGES, keep=("page_id", "path")).select("page_id", "path")
+
+
 def cropped(ink: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Regions (page_id region l t r b) as pages of their own, whose ``page_id`` is a struct of both ids; and their sizes."""
     own = regions.join(ink.select("page_id", "w", "h").distinct(), "page_id")
